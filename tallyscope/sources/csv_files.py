@@ -57,8 +57,7 @@ def scan_csv(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if multi_line is None:
-        split = spark.sparkContext._jsc.sc().conf().get("spark.sql.files.maxPartitionBytes", "134217728")
-        bound = int(split) if split.isdigit() else 128 * 2**20
+        bound = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
         large = not _files(spark, paths).where(F.col("length") > bound).isEmpty()
         multi_line = _has_line_breaks_in_quotes(spark, paths) if large else True
     raw = (

@@ -10,6 +10,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(frame: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Give a table that arrives in fewer splits than there are cores a share for every core.
+
+    A table of the size this library is meant for has far more splits than cores and is returned
+    as it is; the row count comes from file footers, not from a scan.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    wanted = min(cores, frame.count() // rows_per_task)
+    return frame.repartition(wanted) if wanted > 1 else frame
+
+
 def business(spark: SparkSession, folder: str) -> DataFrame:
     """One wide row per order line.
 
@@ -17,7 +30,7 @@ def business(spark: SparkSession, folder: str) -> DataFrame:
     No side is forced to broadcast: sizes decide, at run time too, and a hot part or order key is
     split by the adaptive skew join. Money is decimal, which makes sums independent of row order.
     """
-    line, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    line, part = spread(table(spark, folder, "lineitem")), table(spark, folder, "part")
     orders = (
         table(spark, folder, "orders")
         .join(table(spark, folder, "customer"), F.expr("o_custkey = c_custkey"))
@@ -74,3 +87,22 @@ def dirty(spark: SparkSession, folder: str) -> DataFrame:
     # every 50th order twice, in one pass over the joined rows
     copies = F.when(order % 50 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return rows.withColumn("__copy", F.explode(copies)).drop("__copy")
+
+
+def narratives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a sectioned narrative: headings, bullets and a repeated first line."""
+    lines = F.split("text", "\n")
+
+    def part(start: int, length: int, bullet: str, join: str):
+        chosen = F.slice(lines, start, length)
+        return F.when(F.size(chosen) > 0, F.concat(F.lit(bullet), F.array_join(chosen, join)))
+
+    first = F.concat(F.lit("- "), F.get(lines, F.lit(0)))
+    text = F.concat_ws(
+        "\n",
+        F.lit("ExecutiveSummary:"), first, first, F.lit(""),
+        F.lit("Key Insights :"), part(2, 4, "* ", "\n* "),
+        F.lit("## Risks"), part(6, 3, "1. ", "\n2.  "),
+        F.lit("RecommendedActions:"), part(9, 2**31 - 1, "- ", " ..\n-"),
+    )
+    return table(spark, folder, "documents").select("doc_id", text.alias("narrative"))
