@@ -159,6 +159,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # One rounding step per lambda, so each intermediate is computed once. ``u`` is the power of two
 # that makes the number a whole mantissa; ``r`` is the exact remainder that decides the direction.
 _ROUND = """

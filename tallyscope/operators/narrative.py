@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope import fixed_values as V
-from tallyscope.functions.coerce import strip
+from tallyscope.functions.coerce import let, strip
 from tallyscope.functions.naming import quoted
 
 # Patterns. Blank means any white space, also beyond ASCII.
-BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-BULLET = r"(?md)^[\-\*•]" + BLANK + "*"
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BULLET = r"(?md)^[-*\u2022]" + BLANK + "*"
 SQUASHED_HEADING = r"(?md)^([A-Z])([a-z]+)([A-Z][a-z]+):" + BLANK + "*$"
 SPACE_BEFORE_MARK = BLANK + r"+([,.;:])"
 REPEATED_MARK = r"([:;,.!?]){2,}"
-LINE_BREAKS = r"[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
+LINE_BREAKS = r"[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 NUMBERING = r"^\p{Nd}+\." + BLANK + "*"
 LEADING_SECTION = (
     r"^(?i)(executive summary|key insights|risks|recommended actions)" + BLANK + "*:" + BLANK + "*"
@@ -68,7 +68,7 @@ def _content(line: Column) -> Column:
     c = strip(F.ltrim(line, F.lit("-* ")))
     c = F.regexp_replace(F.regexp_replace(c, NUMBERING, ""), LEADING_SECTION, "")
     c = F.btrim(F.regexp_replace(c, BLANK + "+", " "), F.lit(" -"))
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
 def comparable(text: Column) -> Column:
@@ -76,15 +76,21 @@ def comparable(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def _first_different(items: Column, limit: Column | int) -> Column:
-    """The first ``limit`` items that differ after normalisation, in order."""
+def _first_different(items: Column, limit: int | None) -> Column:
+    """The items that differ after normalisation, in order, at most ``limit``."""
+
+    def chosen(pairs: Column) -> Column:
+        def picked(keys: Column) -> Column:
+            different = F.array_distinct(keys)
+            kept = different if limit is None else F.slice(different, 1, limit)
+            return F.transform(
+                kept, lambda k: F.get(pairs, (F.array_position(keys, k) - 1).cast("int"))["item"]
+            )
+
+        return let(F.transform(pairs, lambda p: p["key"]), picked)
+
     pairs = F.transform(items, lambda i: F.struct(comparable(i).alias("key"), i.alias("item")))
-    pairs = F.filter(pairs, lambda p: p["key"] != "")
-    keys = F.transform(pairs, lambda p: p["key"])
-    kept = F.slice(F.array_distinct(keys), 1, limit)
-    return F.transform(
-        kept, lambda k: F.get(pairs, (F.array_position(keys, k) - 1).cast("int"))["item"]
-    )
+    return let(F.filter(pairs, lambda p: p["key"] != ""), chosen)
 
 
 def structured(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,7 +148,7 @@ def structured(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.select("doc_id", "cleaned", flat.alias("items"), section_rows.alias("sections"))
     content = F.filter("items", lambda i: ~i.isin(*V.NARRATIVE_SECTIONS))
     rows = rows.withColumn("content", content)
-    rows = rows.withColumn("unique_items", _first_different(F.col("content"), F.size("content") + 1))
+    rows = rows.withColumn("unique_items", _first_different(F.col("content"), None))
     bad = F.size(F.filter("unique_items", looks_malformed))
     unique = F.size("unique_items")
     reason = (

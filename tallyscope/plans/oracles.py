@@ -408,17 +408,17 @@ def findings_sql(metric: str, dimension: str, by=()) -> str:
 
 def trend_sql(view_cte: str, view: str, metric: str, date: str, by=(), group: str | None = None) -> str:
     k, g = keys(by), f'{group} "group", ' if group else ""
-    depth = f"date_sub('day', min(at) over ({over(by)}), max(at) over ({over(by)}))"
+    depth = f"date_sub('day', min(moment) over ({over(by)}), max(moment) over ({over(by)}))"
     limit = ""
     if group:
         limit = f"where (select count(distinct {group}) from {view}) between 2 and 8"
     return f"""with {view_cte},
-rows_ as (select {k}{group + ', ' if group else ''}{NUMBER.get(metric, metric)} m, {date} at from {view}),
-dated as (select *, {depth} depth from rows_ where m is not null and at is not null),
+rows_ as (select {k}{group + ', ' if group else ''}{NUMBER.get(metric, metric)} m, {date} moment from {view}),
+dated as (select *, {depth} depth from rows_ where m is not null and moment is not null),
 grained as (select *, case when depth >= 180 then 'M' when depth >= 60 then 'W' else 'D' end frequency
   from dated)
-select {k}frequency, cast(case frequency when 'M' then date_trunc('month', at) when 'W' then
-  date_trunc('week', at) else date_trunc('day', at) end as timestamp) period, {g}
+select {k}frequency, cast(case frequency when 'M' then date_trunc('month', moment) when 'W' then
+  date_trunc('week', moment) else date_trunc('day', moment) end as timestamp) period, {g}
   cast(sum(m) as double) metric_value from grained {limit} group by all"""
 
 
@@ -429,17 +429,19 @@ def series_ctes(view: str, metric: str, date: str, by=(), complete: bool = False
     k = keys(by)
     group = f"group by {', '.join(by)}" if by else ""
     join = f"join si using ({', '.join(by)})" if by else ", si"
-    last = f"qualify period < max(period) over ({over(by)})" if complete else ""
+    last = "where period < last_period" if complete else ""
     return f"""
 si as (select {k}count({date})::double / count(*) parse_rate, count({metric})::double / count(*) metric_ratio,
   date_sub('day', min({date}), max({date})) depth,
   case when date_sub('day', min({date}), max({date})) >= 365 then 'M'
     when date_sub('day', min({date}), max({date})) >= 90 then 'W' else 'D' end grain
   from {view} {group}),
-hi as (select {k}grain, cast(case grain when 'M' then date_trunc('month', {date}) when 'W' then
+h0 as (select {k}grain, cast(case grain when 'M' then date_trunc('month', {date}) when 'W' then
     date_trunc('week', {date}) else date_trunc('day', {date}) end as timestamp) period,
   cast(sum({metric}) as double) mv from {view} {join}
-  where {date} is not null and {metric} is not null group by all {last})"""
+  where {date} is not null and {metric} is not null group by all),
+h1 as (select *, max(period) over ({over(by)}) last_period from h0),
+hi as (select * exclude (last_period) from h1 {last})"""
 
 
 def state_ctes(by=(), horizon: int = 6, conditional: bool = False) -> str:

@@ -93,7 +93,7 @@ def narratives(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a sectioned narrative: headings, bullets and a repeated first line."""
     lines = F.split("text", "\n")
 
-    def part(start: int, length: int, bullet: str, join: str):
+    def part(start: int, length, bullet: str, join: str):
         chosen = F.slice(lines, start, length)
         return F.when(F.size(chosen) > 0, F.concat(F.lit(bullet), F.array_join(chosen, join)))
 
@@ -103,6 +103,6 @@ def narratives(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("ExecutiveSummary:"), first, first, F.lit(""),
         F.lit("Key Insights :"), part(2, 4, "* ", "\n* "),
         F.lit("## Risks"), part(6, 3, "1. ", "\n2.  "),
-        F.lit("RecommendedActions:"), part(9, 2**31 - 1, "- ", " ..\n-"),
+        F.lit("RecommendedActions:"), part(9, F.size(lines), "- ", " ..\n-"),
     )
     return table(spark, folder, "documents").select("doc_id", text.alias("narrative"))
