@@ -22,7 +22,13 @@ from tallyscope.functions.coerce import (
     whole_days,
 )
 from tallyscope.functions.naming import first_column_with
-from tallyscope.operators.shape import attach, columns_of, first_rows, number_rows
+from tallyscope.operators.shape import (
+    attach,
+    columns_of,
+    first_rows,
+    number_rows,
+    numbered_items,
+)
 
 # Finding texts, in the order they appear (%s = name or formatted number).
 FINDING_TOP = "Top contributor: %s drives %s%% of total %s (%s)."
@@ -448,15 +454,8 @@ def _finding_texts() -> Column:
     return F.when(F.col("group_count") > 0, F.array_compact(F.array(*present))).otherwise(absent)
 
 
-def text_rows(frame: DataFrame, by: Sequence[str], array: str, order: str, text: str) -> DataFrame:
-    """An array of texts as rows numbered from 1."""
-    return frame.select(*columns_of(by), F.posexplode(array).alias("__i", text)).select(
-        *columns_of(by), (F.col("__i") + 1).cast("long").alias(order), text
-    )
-
-
 def diagnostic_findings(
     frame: DataFrame, metric: str, dimension: str, by: Sequence[str] = ()
 ) -> DataFrame:
     facts = diagnostic_facts(frame, metric, dimension, by)
-    return text_rows(facts, by, "findings", "finding_order", "finding")
+    return numbered_items(facts, by, "findings", "finding_order", "finding")

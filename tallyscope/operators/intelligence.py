@@ -404,13 +404,13 @@ def signal_flags(facts: DataFrame) -> DataFrame:
 
 
 def business_signals(facts: DataFrame) -> DataFrame:
-    return facts.select(F.posexplode("business_signals").alias("i", "signal")).select(
+    return facts.select(F.posexplode_outer("business_signals").alias("i", "signal")).select(
         (F.col("i") + 1).cast("long").alias("signal_order"), "signal"
     )
 
 
 def type_scores(facts: DataFrame) -> DataFrame:
-    return facts.select(F.posexplode("type_scores").alias("i", "score")).select(
+    return facts.select(F.posexplode_outer("type_scores").alias("i", "score")).select(
         F.get(F.array(*[F.lit(t) for t in V.DATASET_TYPES]), F.col("i")).alias("dataset_type"), "score"
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyscope import fixed_values as V
 from tallyscope.functions.coerce import let, strip
 from tallyscope.functions.naming import quoted
+from tallyscope.operators.shape import numbered_items
 
 # Patterns. Blank means any white space, also beyond ASCII.
 BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -36,11 +37,14 @@ def _clean_line(line: Column) -> Column:
     tidy = F.regexp_replace(
         F.regexp_replace(strip(line), SPACE_BEFORE_MARK, "$1"), REPEATED_MARK, "$1"
     )
-    repaired = F.when(F.lit(False), tidy)
-    for section in V.NARRATIVE_SECTIONS:
-        squashed = section.replace(" ", "").lower()
-        repaired = repaired.when(F.lower(F.rtrim(tidy, F.lit(":"))) == squashed, section + ":")
-    return repaired.otherwise(tidy)
+
+    def repaired(tidied: Column) -> Column:
+        line_words = F.lower(F.rtrim(tidied, F.lit(":")))
+        squashed = {s.replace(" ", "").lower(): s + ":" for s in V.NARRATIVE_SECTIONS}
+        names = F.create_map(*[F.lit(x) for pair in squashed.items() for x in pair])
+        return F.coalesce(F.try_element_at(names, line_words), tidied)
+
+    return let(tidy, repaired)
 
 
 def cleaned_text(text: Column) -> Column:
@@ -57,10 +61,8 @@ def _heading(line: Column) -> Column:
     """The section a line announces, null for content."""
     bare = F.btrim(F.btrim(strip(line), F.lit("#")), F.lit("-"))
     bare = F.lower(F.rtrim(strip(bare), F.lit(":")))
-    found = F.when(F.lit(False), "")
-    for section in V.NARRATIVE_SECTIONS:
-        found = found.when(bare == section.lower(), section)
-    return found
+    names = F.create_map(*[F.lit(x) for s in V.NARRATIVE_SECTIONS for x in (s.lower(), s)])
+    return F.try_element_at(names, bare)
 
 
 def _content(line: Column) -> Column:
@@ -68,7 +70,9 @@ def _content(line: Column) -> Column:
     c = strip(F.ltrim(line, F.lit("-* ")))
     c = F.regexp_replace(F.regexp_replace(c, NUMBERING, ""), LEADING_SECTION, "")
     c = F.btrim(F.regexp_replace(c, BLANK + "+", " "), F.lit(" -"))
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
+    return let(
+        c, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
+    )
 
 
 def comparable(text: Column) -> Column:
@@ -178,9 +182,7 @@ def looks_malformed(line: Column) -> Column:
 
 
 def _numbered(rows: DataFrame, array: str | Column, name: str) -> DataFrame:
-    return rows.select("doc_id", F.posexplode(array).alias("i", name)).select(
-        "doc_id", (F.col("i") + 1).cast("long").alias("position"), name
-    )
+    return numbered_items(rows, ["doc_id"], array, "position", name)
 
 
 def narrative_lines(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -191,7 +193,8 @@ def narrative_lines(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def narrative_sections(documents: DataFrame, key: str, text: str) -> DataFrame:
     """The kept items per section, in report order."""
-    return structured(documents, key, text).select("doc_id", F.inline("sections"))
+    rows = structured(documents, key, text).select("doc_id", F.inline_outer("sections"))
+    return rows.where("item is not null")
 
 
 def narrative_items(documents: DataFrame, key: str, text: str) -> DataFrame:

@@ -22,8 +22,7 @@ from tallyscope.functions.coerce import (
     round_exact,
     whole_days,
 )
-from tallyscope.operators.diagnostic import text_rows
-from tallyscope.operators.shape import columns_of
+from tallyscope.operators.shape import columns_of, numbered_items
 
 # Message texts.
 MESSAGE_PARSE = (
@@ -375,7 +374,8 @@ def _findings(readiness_status: str) -> Column:
 
 
 def forecast_projection(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return state.select(*columns_of(by), F.inline("points")).select(
+    rows = state.select(*columns_of(by), F.inline_outer("points")).where("step is not null")
+    return rows.select(
         *columns_of(by), "step", "period", F.date_format("period", "yyyy-MM-dd").alias("label"),
         F.col("value").alias("metric_value"),
     )
@@ -419,15 +419,15 @@ def forecast_volatility(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def forecast_validation(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return text_rows(state, by, "messages", "message_order", "message")
+    return numbered_items(state, by, "messages", "message_order", "message")
 
 
 def forecast_findings(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return text_rows(state, by, "findings", "finding_order", "finding")
+    return numbered_items(state, by, "findings", "finding_order", "finding")
 
 
 def forecast_reasons(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return text_rows(state, by, "readiness_reasons", "reason_order", "reason")
+    return numbered_items(state, by, "readiness_reasons", "reason_order", "reason")
 
 
 def forecast_chart(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -445,4 +445,4 @@ def forecast_chart(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = F.concat(
         labelled("history", "metric_value", "Actual"), labelled("points", "value", "Forecast")
     )
-    return state.select(*columns_of(by), F.inline(rows))
+    return state.select(*columns_of(by), F.inline_outer(rows)).where("period is not null")

@@ -16,8 +16,7 @@ from tallyscope.functions.coerce import fixed_text
 from tallyscope.operators import diagnostic as D
 from tallyscope.operators import intelligence as I
 from tallyscope.operators import predictive as P
-from tallyscope.operators.diagnostic import text_rows
-from tallyscope.operators.shape import attach, columns_of
+from tallyscope.operators.shape import attach, columns_of, numbered_items
 from tallyscope.session import materialise
 
 # Categories, bases and texts of the rules.
@@ -388,10 +387,8 @@ def prescriptive(
 
 
 def recommendations(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return result.select(*columns_of(by), F.posexplode("recommendations").alias("__i", "r")).select(
-        *columns_of(by), (F.col("__i") + 1).cast("long").alias("position"),
-        *[F.col(f"r.{f}").alias(f) for f in FIELDS],
-    )
+    rows = numbered_items(result, by, "recommendations", "position", "r")
+    return rows.select(*columns_of(by), "position", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
 
 
 def prescriptive_summary(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -416,8 +413,8 @@ def prescriptive_summary(result: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def prescriptive_findings(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return text_rows(result, by, "findings", "finding_order", "finding")
+    return numbered_items(result, by, "findings", "finding_order", "finding")
 
 
 def prescriptive_limitations(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return text_rows(result, by, "limitations", "limitation_order", "limitation")
+    return numbered_items(result, by, "limitations", "limitation_order", "limitation")

@@ -125,7 +125,7 @@ def quality_log(frame: DataFrame, profile: DataFrame) -> DataFrame:
         F.lit(LOG_UNCHANGED),
     )
     return kpi.withColumn("dates", dates).select(
-        F.posexplode(messages).alias("position", "message")
+        F.posexplode_outer(messages).alias("position", "message")
     ).select((F.col("position") + 1).cast("long").alias("message_order"), "message")
 
 

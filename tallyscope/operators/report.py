@@ -12,7 +12,7 @@ from tallyscope.operators import columns as C
 from tallyscope.operators import intelligence as I
 from tallyscope.operators import prescriptive as X
 from tallyscope.operators import quality as Q
-from tallyscope.operators.shape import attach, columns_of
+from tallyscope.operators.shape import attach, columns_of, numbered_items
 from tallyscope.session import materialise
 
 # Section titles and item texts.
@@ -175,13 +175,9 @@ def report_sections(
 
 def report_lines(sections: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The report as rows (section order, section, item order, item)."""
-    rows = sections.select(*columns_of(by), F.inline("sections"))
-    return rows.select(
-        *columns_of(by), "section_order", "section", F.posexplode("items").alias("__i", "item")
-    ).select(
-        *columns_of(by), "section_order", "section", (F.col("__i") + 1).cast("long").alias("item_order"),
-        "item",
-    )
+    titles = ("section_order", "section")
+    rows = sections.select(*columns_of(by), F.inline_outer("sections"))
+    return numbered_items(rows, (*by, *titles), "items", "item_order", "item")
 
 
 def report_text(
@@ -246,9 +242,8 @@ def insight_facts(run: dict) -> DataFrame:
     if chosen["diagnostic"]:
         parts.append(of("Diagnostic", F.slice(d["findings"], 1, 3)))
     parts += [of("Predictive direction", F.array(outlook)), of("Recommendation", advice)]
-    return run["result"].select(*columns_of(by), F.posexplode(F.concat(*parts)).alias("__i", "f")).select(
-        *columns_of(by), (F.col("__i") + 1).cast("long").alias("fact_order"), "f.kind", "f.fact"
-    )
+    told = numbered_items(run["result"], by, F.concat(*parts), "fact_order", "f")
+    return told.select(*columns_of(by), "fact_order", "f.kind", "f.fact")
 
 
 def fallback_summary(run: dict) -> DataFrame:

@@ -85,3 +85,18 @@ def number_rows(
         *[quoted(c) for c in frame.columns],
         (F.col("__global") - F.col("__first") + 1).cast("long").alias(position),
     )
+
+
+def numbered_items(
+    frame: DataFrame, by: Sequence[str], array: str | Column, position: str, item: str
+) -> DataFrame:
+    """Array elements as rows numbered from 1.
+
+    The outer form is deliberate: for the inner one the optimizer adds a size filter below the
+    explode and repeats the expressions behind the array in it.
+    """
+    return (
+        frame.select(*columns_of(by), F.posexplode_outer(array).alias("__i", item))
+        .where(F.col(item).isNotNull())
+        .select(*columns_of(by), (F.col("__i") + 1).cast("long").alias(position), item)
+    )

@@ -105,4 +105,4 @@ def narratives(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("## Risks"), part(6, 3, "1. ", "\n2.  "),
         F.lit("RecommendedActions:"), part(9, F.size(lines), "- ", " ..\n-"),
     )
-    return table(spark, folder, "documents").select("doc_id", text.alias("narrative"))
+    return spread(table(spark, folder, "documents"), 100).select("doc_id", text.alias("narrative"))
