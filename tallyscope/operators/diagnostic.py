@@ -68,7 +68,12 @@ WEAK_EFFICIENCY_SHARE = 0.75
 
 
 def _group_totals(frame: DataFrame, metric: str, dimension: str, by: Sequence[str]) -> DataFrame:
-    """Sum and count per (by, group), the rows without a group included under a null group."""
+    """Sum and count per (by, group), the rows without a group included under a null group.
+
+    ``grouped`` marks the others. It is an aggregate, so a filter on it stays above the shuffle and
+    every use of the totals reads the same shuffle output; a filter on ``group`` would move into
+    the scan and make it another one.
+    """
     return (
         frame.select(
             *columns_of(by),
@@ -76,12 +81,16 @@ def _group_totals(frame: DataFrame, metric: str, dimension: str, by: Sequence[st
             as_number(frame, metric).alias("metric"),
         )
         .groupBy(*columns_of(by), "group")
-        .agg(F.sum("metric").alias("total"), F.count("metric").alias("row_count"))
+        .agg(
+            F.sum("metric").alias("total"),
+            F.count("metric").alias("row_count"),
+            F.bool_or(F.col("group").isNotNull()).alias("grouped"),
+        )
     )
 
 
 def _usable(totals: DataFrame) -> DataFrame:
-    return totals.where("`group` is not null and row_count > 0")
+    return totals.where("grouped and row_count > 0").drop("grouped")
 
 
 def _as_double(name: str) -> Column:
@@ -157,7 +166,7 @@ def concentration_class(share: Column) -> Column:
 
 def _key_summary(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per key from the group totals: extremes, totals and means in a single fold."""
-    usable = F.col("group").isNotNull() & (F.col("row_count") > 0)
+    usable = F.col("grouped") & (F.col("row_count") > 0)
     entry = F.struct(
         F.col("group").alias("name"), _as_double("total").alias("value"), _mean().alias("mean")
     )
@@ -279,15 +288,15 @@ def margin_flags(frame: DataFrame, dimension: str, by: Sequence[str] = ()) -> Da
         frame.select(
             *keys,
             clean_dimension(frame, dimension).alias("group"),
-            as_number(frame, discount).alias("discount"),
-            as_number(frame, profit).alias("profit"),
+            as_number(frame, discount).alias("__discount"),
+            as_number(frame, profit).alias("__profit"),
         )
-        .dropna(subset=["group", "discount", "profit"])
+        .dropna(subset=["group", "__discount", "__profit"])
         .groupBy(*keys, "group")
         .agg(
-            F.sum("discount").cast("double").alias("__discounts"),
+            F.sum("__discount").cast("double").alias("__discounts"),
             F.count("*").alias("__rows"),
-            F.sum("profit").cast("double").alias("total_profit"),
+            F.sum("__profit").cast("double").alias("total_profit"),
         )
         .select(
             *keys, "group", (F.col("__discounts") / F.col("__rows")).alias("average_discount"),
@@ -333,6 +342,7 @@ def _dated_totals(
             F.sum("metric").alias("total"),
             F.min("at").alias("first_at"),
             F.max("at").alias("last_at"),
+            *([F.bool_or(F.col("group").isNotNull()).alias("grouped")] if group else []),
         )
     )
 
@@ -371,11 +381,11 @@ def trend_by_dimension(
     )
     facts = cells.groupBy(*columns_of(by)).agg(
         whole_days(F.min("first_at"), F.max("last_at")).alias("__depth"),
-        F.count_distinct("group").alias("__groups"),
+        F.count_distinct(F.when(F.col("grouped"), F.col("group"))).alias("__groups"),
     )
     return (
         attach(cells, facts, by)
-        .where(F.col("group").isNotNull() & F.col("__groups").between(2, V.MAX_TREND_GROUPS))
+        .where(F.col("grouped") & F.col("__groups").between(2, V.MAX_TREND_GROUPS))
         .withColumn("frequency", _grain(F.col("__depth")))
         .withColumn("period", _period())
         .groupBy(*columns_of(by), "frequency", "period", "group")
