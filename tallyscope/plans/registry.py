@@ -17,7 +17,7 @@ from tallyscope.operators import quality as Q
 from tallyscope.operators import report as R
 from tallyscope.session import scratch_path
 from tallyscope.sources import csv_files as S
-from tallyscope.sources.tables import business, dirty, narratives, spread, table
+from tallyscope.sources.tables import business, dirty, narratives, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +49,7 @@ def _csv_copy(spark: SparkSession, folder: str) -> str:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "events")).select(
+    return table(spark, folder, "events").select(
         "event_type", "ts", F.col("value").cast("decimal(18,4)").alias("value")
     )
 
