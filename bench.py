@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default all)
-BENCH_RUNS     timed runs per query after one warm-up run (default 2, the best one counts)
+BENCH_RUNS     timed runs per query after one warm-up run (default 1, the best one counts)
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     conf = {
         "spark.master": f"local[{cpus}]",
         "spark.ui.enabled": "false",
