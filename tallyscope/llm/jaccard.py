@@ -4,16 +4,19 @@ A text's set holds the 64-bit hashes of its distinct five-word shingles. Two set
 100 * intersection >= 80 * union; then at most a ninth of both sizes together is in one set only.
 
 1. Shingles are hashed to groups, more of them than two linked sets of a size class can differ in,
-   with a margin for empty groups. By the pigeonhole principle linked sets agree wholly in a group that
-   isn't empty. Each set is listed under the fingerprints of its groups, in its own size class and the next
-   (a set with more empty groups than the margin is listed under them as well, so nothing is lost).
-   Listings go through one shuffle as packed blocks; fingerprints that a single set has are dropped.
-2. Of the sets under one fingerprint, the one that shares most is the pivot. Every other is compared
-   with it exactly: this finds nearly all links of a group of near copies with one comparison each.
-3. Where the sets under a fingerprint still lie in several components, they are points of counts in
-   ``DIMENSIONS`` groups. Trees of boxes over parts of at most about ``PART`` points are joined: the summed
-   coordinate minima of two boxes, then of two points, bound the overlap. Pairs that survive are
-   compared exactly. Pairs inside one component are never made.
+   with a margin for empty groups. By the pigeonhole principle linked sets agree wholly in at least
+   ``needed`` groups that aren't empty. Each set is listed under the fingerprints of its groups, in its own
+   size class and the next (a set with more empty groups than the margin is listed under them as well, so
+   nothing is lost). Listings go through one shuffle as packed blocks; fingerprints that a single set has
+   are dropped there.
+2. Up to ``SMALL`` sets under one fingerprint give their pairs, counted over fingerprints; pairs that share
+   fewer groups than linked sets must are dropped, the others compared exactly.
+3. Of more sets under one fingerprint, the one that shares most is the pivot, and every other is compared
+   with it: this finds nearly all links of a large group of near copies with one comparison each. Where
+   such sets still lie in several components, they are points of counts in ``DIMENSIONS`` groups. Trees of
+   boxes over parts of about ``PART`` points are joined: the summed coordinate minima of two boxes, then of
+   two points, bound the overlap. Surviving pairs are compared exactly. Pairs inside one component are
+   never made.
 4. Components come from the links by large and small stars.
 
 A tree over whole documents would not prune: sets of one size overlap in every low dimension. The
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import documents, scratch, ship, text_bytes
@@ -37,10 +40,11 @@ from tallyscope.llm.components import components
 
 SHINGLE = 5
 DIMENSIONS = 64
+SMALL = 32
 PART = 1000
 LEAF = 32
 BLOCK_BYTES = 24 << 20
-LISTED = 13  # bytes of a listing: 5 of the fingerprint, 8 of the set
+LISTED = 14  # bytes of a listing: 5 of the fingerprint, 8 of the set, 1 of the size class
 FLUSH = 1 << 20
 #: Sets whose documents are looked up by a broadcast of this many rows at most; beyond, by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -105,21 +109,30 @@ def differing(level: int) -> int:
     return int(2 * LEVELS[level] // 9)
 
 
-def listings(items: np.ndarray) -> np.ndarray:
-    """Fingerprints under which a set is listed."""
+def needed(level: int) -> int:
+    """The least number of groups that linked sets of a class agree in."""
+    return 1 + differing(level) // 10
+
+
+def groups_of(level: int) -> int:
+    return differing(level) + needed(level) + 3 + differing(level) // 10
+
+
+def listings(items: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Classes, and fingerprints under which a set is listed in each."""
     own, out = int(np.searchsorted(LEVELS, len(items))), []
     weights = mixed(items + np.uint64(0x8EBC6AF09C88C6E3))
     for level in (own, own + 1):
-        most = differing(level)
-        groups = most + 3 + most // 10
+        groups = groups_of(level)
         group = ((items >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)  # rising, as the items are
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         salt = np.uint64(level << 40)
-        out.append(mixed(np.add.reduceat(weights, starts) ^ mixed(group[starts] + salt)))
-        if groups - len(starts) >= groups - most:  # so many empty groups that they might be all it shares
+        out.append((level, mixed(np.add.reduceat(weights, starts) ^ mixed(group[starts] + salt))))
+        # with so many empty groups, too few of the groups it must share might be others
+        if groups - differing(level) - (groups - len(starts)) < needed(level):
             empty = np.setdiff1d(np.arange(groups, dtype="u8"), group[starts])
-            out.append(mixed(mixed(empty + salt)))
-    return np.concatenate(out)
+            out.append((level, mixed(mixed(empty + salt))))
+    return out
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -140,61 +153,121 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
-    """(fingerprint, node) for fingerprints that at least two different sets have."""
+    """What sets share a fingerprint: pairs (a, b) with the number of small prints they share in a class, and
+    (print, a) for the sets under a large one, b then being null."""
     buckets = max(64, total_shingles * 2 // 3 * LISTED // BLOCK_BYTES)
 
-    def packed(prints: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    def packed(prints: list[np.ndarray], nodes: list[int], levels: list[int]) -> pa.RecordBatch:
         p = np.concatenate(prints)
-        n = np.repeat(np.array(nodes, "i8"), [len(x) for x in prints])
+        n, level = (np.repeat(np.array(x, t), [len(y) for y in prints]) for x, t in ((nodes, "i8"), (levels, "u1")))
         bucket = ((p >> np.uint64(40)) % np.uint64(buckets)).astype("i8")
         order = np.argsort(bucket, kind="stable")
-        p, n, bucket = p[order], n[order], bucket[order]
+        p, n, level, bucket = p[order], n[order], level[order], bucket[order]
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
         blocks, start = [], 0
         for end in ends:
             part = p[start:end]
             high = (part >> np.uint64(32)).astype("u1")
-            blocks.append(part.astype("<u4").tobytes() + high.tobytes() + n[start:end].astype("<i8").tobytes())
+            blocks.append(
+                part.astype("<u4").tobytes() + high.tobytes() + n[start:end].astype("<i8").tobytes() + level[start:end].tobytes()
+            )
             start = end
         return pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def run(batches):
         for batch in batches:
-            prints, nodes, seen, size = [], [], set(), 0
+            prints, nodes, levels, seen, size = [], [], [], set(), 0
             for text in batch.column(0).to_pylist():
                 items = shingles(text)
                 if not len(items) or (node := node_of(items)) in seen:
                     continue
                 seen.add(node)
-                prints.append(listings(items))
-                nodes.append(node)
-                size += len(prints[-1])
+                for level, some in listings(items):
+                    prints.append(some)
+                    nodes.append(node)
+                    levels.append(level)
+                    size += len(some)
                 if size >= FLUSH:
-                    yield packed(prints, nodes)
-                    prints, nodes, size = [], [], 0
+                    yield packed(prints, nodes, levels)
+                    prints, nodes, levels, size = [], [], [], 0
             if prints:
-                yield packed(prints, nodes)
+                yield packed(prints, nodes, levels)
 
     def shared(table: pa.Table) -> pa.Table:
-        low, high, node = [], [], []
+        low, high, node, level = [], [], [], []
         for block in table["block"].to_pylist():
             k = len(block) // LISTED
             low.append(np.frombuffer(block, "<u4", k))
             high.append(np.frombuffer(block, "u1", k, 4 * k))
             node.append(np.frombuffer(block, "<i8", k, 5 * k))
+            level.append(np.frombuffer(block, "u1", k, 13 * k))
         prints = np.concatenate(low).astype("i8") | np.concatenate(high).astype("i8") << 32
-        nodes = np.concatenate(node)
+        nodes, levels = np.concatenate(node), np.concatenate(level).astype("i8")
         order = np.argsort(prints, kind="stable")
-        prints, nodes = prints[order], nodes[order]
+        prints, nodes, levels = prints[order], nodes[order], levels[order]
         starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
         several = np.minimum.reduceat(nodes, starts) != np.maximum.reduceat(nodes, starts)
         keep = np.repeat(several, np.diff(np.append(starts, len(prints))))
         bucket = int(table["bucket"][0].as_py())
-        rows = np.unique(np.stack([prints[keep], nodes[keep]], axis=1), axis=0)
-        return pa.table({"print": pa.array(rows[:, 0] | bucket << 40), "node": pa.array(rows[:, 1])})
+        prints, nodes, levels = prints[keep], nodes[keep], levels[keep]
+        order = np.lexsort((nodes, prints))
+        prints, nodes, levels = prints[order], nodes[order], levels[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (nodes[1:] != nodes[:-1])
+        prints, nodes, levels = prints[new], nodes[new], levels[new]
+        starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(prints)])
+        sizes = np.repeat(np.diff(np.append(starts, len(prints))), np.diff(np.append(starts, len(prints))))
+        large, small = sizes > SMALL, sizes <= SMALL
+        few = [x[small] for x in (prints, nodes, levels)]
+        pairs = []
+        for apart in range(1, SMALL):
+            same = few[0][apart:] == few[0][:-apart]
+            if not same.any():
+                break
+            pairs.append(np.stack([few[1][:-apart][same], few[1][apart:][same], few[2][apart:][same]]))
+        a, b, level = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), "i8")
+        order = np.lexsort((level, b, a))
+        a, b, level = a[order], b[order], level[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (level[1:] != level[:-1])])[: len(a)])
+        shares = np.diff(np.append(at, len(a)))
+        n = int(large.sum())
+        return pa.table(
+            {
+                "print": pa.array(np.concatenate([prints[large] | bucket << 40, np.zeros(len(at), "i8")])),
+                "level": pa.array(np.concatenate([levels[large], level[at]])),
+                "a": pa.array(np.concatenate([nodes[large], a[at]])),
+                "b": pa.array(np.concatenate([np.zeros(n, "i8"), b[at]]), mask=np.arange(n + len(at)) < n),
+                "shares": pa.array(np.concatenate([np.ones(n, "i8"), shares])),
+            }
+        )
 
     blocks = docs.select(text_bytes().cast("binary").alias("text")).mapInArrow(run, "bucket long, block binary")
-    return blocks.groupBy("bucket").applyInArrow(shared, "print long, node long")
+    return blocks.groupBy("bucket").applyInArrow(shared, "print long, level long, a long, b long, shares long")
+
+
+def enough() -> Column:
+    """The number of shared groups that a class asks for."""
+    return F.get(F.array(*(F.lit(needed(i)) for i in range(64))), F.col("level").cast("int"))
+
+
+def small_pairs(listed: DataFrame) -> DataFrame:
+    """Pairs that share enough; what they may share of large prints counts for them."""
+    pairs = listed.where("b is not null").groupBy("a", "b", "level").agg(F.sum("shares").alias("shares"))
+    large = listed.where("b is null").groupBy("a", "level").agg(F.count("*").alias("large"))
+    for k in "ab":
+        side = large.select(F.col("a").alias(k), "level", F.col("large").alias(f"{k}_large"))
+        pairs = pairs.join(side, [k, "level"], "left")
+    more = F.least(F.coalesce("a_large", F.lit(0)), F.coalesce("b_large", F.lit(0)))
+    return pairs.where(F.col("shares") + more >= enough()).select("a", "b").distinct()
+
+
+def star_pairs(live: DataFrame) -> DataFrame:
+    """Every set under a large print with the print's pivot."""
+    weights = live.join(live.groupBy("print").agg(F.count("*").alias("size")), "print")
+    weights = weights.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = live.join(weights, "node").groupBy("print").agg(F.max(F.struct("weight", "node")).alias("pivot"))
+    pairs = live.join(pivots.select("print", F.col("pivot.node").alias("b")), "print").where("node <> b")
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -207,11 +280,13 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
     found = rows.join(chosen, (F.xxhash64("text") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
 
     def run(batches):
+        seen = set()  # rows that repeat in a task are skipped
         for batch in batches:
             out = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                items = shingles(text)
+                items = shingles(text) if node not in seen else ()
                 if len(items) and node_of(items) == node:
+                    seen.add(node)
                     counts = np.bincount((items & np.uint64(DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS)
                     out.append((node, len(items), items.tobytes(), counts.astype("<u4").tobytes()))
             if out:
@@ -221,7 +296,7 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
                 )
 
     made = found.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, n long, items binary, counts binary")
-    return scratch(made.dropDuplicates(["node"]), "sets")
+    return scratch(made, "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,13 +314,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("items").alias(f"{k}_items")) for k in "ab")
-    narrow = sets.select("node", "n")
-    # sizes first, on narrow rows: sets of very different sizes need no comparison
-    sized = pairs.join(narrow.withColumnsRenamed({"node": "a", "n": "a_n"}), "a").join(narrow.withColumnsRenamed({"node": "b", "n": "b_n"}), "b")
-    sized = sized.where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b")
-    both = sized.join(left.drop("a_n"), "a").join(right.drop("b_n"), "b").select("a", "b", "a_items", "b_items")
-    return both.mapInArrow(run, "a long, b long")
+    def bounded(batches):
+        for batch in batches:
+            shared = np.zeros(batch.num_rows, "i8")
+            for at in range(0, batch.num_rows, PART):
+                x, y = (b"".join(batch.column(f"{k}_counts").slice(at, PART).to_pylist()) for k in "ab")
+                x, y = (np.frombuffer(z, "<u4").reshape(-1, DIMENSIONS) for z in (x, y))
+                shared[at : at + PART] = np.minimum(x, y).sum(axis=1)
+            both = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * both))
+
+    # sizes and the summed minima of counts come first, on narrow rows
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("counts").alias(f"{k}_counts")), k)
+    pairs = pairs.where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b", "a_n", "b_n", "a_counts", "b_counts")
+    pairs = scratch(pairs.mapInArrow(bounded, "a long, b long").distinct(), "pairs")
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)  # then the sets of one side stay where they are
+    for k in "ab":
+        pairs = sets.select(F.col("node").alias(k), F.col("items").alias(f"{k}_items")).join(pairs, k)
+    return pairs.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long").distinct()
 
 
 class Boxes:
@@ -295,7 +383,7 @@ def surviving_pairs(rows: DataFrame) -> DataFrame:
                 x, y = node[x[keep]], node[y[keep]]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), "i8")
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.groupBy("print", "p", "q").applyInArrow(meet, "a long, b long").distinct()
 
@@ -303,21 +391,22 @@ def surviving_pairs(rows: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     """(node, root) of all sets that link with another, but the roots; None if there are none."""
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    live = scratch(shared_listings(docs, total), "listings")
-    if live.isEmpty():
-        return None
-    sets = sets_of(docs, known, live.select("node").distinct())
-    shares = live.join(live.groupBy("print").agg(F.count("*").alias("size")), "print")
-    weight = shares.groupBy("node").agg(F.sum("size").alias("weight"))
-    pivots = live.join(weight, "node").groupBy("print").agg(F.max(F.struct("weight", "node")).alias("pivot"))
-    pairs = live.join(pivots.select("print", F.col("pivot.node").alias("b")), "print").where("node <> b")
-    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = scratch(verified(pairs, sets), "star-links")
-    rooted = live.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    listed = scratch(shared_listings(docs, total), "listings")
+    live = listed.where("b is null").select("print", "level", F.col("a").alias("node"))
+    pairs = scratch(small_pairs(listed).union(star_pairs(live)), "candidates")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets_of(docs, known, nodes)
+    links = scratch(verified(pairs, sets), "links")
+    if links.isEmpty():
+        rooted = live.withColumn("root", F.col("node"))
+    else:
+        rooted = live.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_prints = rooted.groupBy("print").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    rest = rooted.join(open_prints.select("print"), "print").join(sets.select("node", "n", "counts"), "node")
-    more = scratch(verified(surviving_pairs(scratch(rest, "open")), sets), "more-links")
-    return components(links if more.isEmpty() else links.union(more))
+    rest = rooted.join(open_prints.select("print"), "print").join(sets.select("node", "n", "counts").dropDuplicates(["node"]), "node")
+    rest = scratch(rest, "open")
+    if not rest.isEmpty():
+        links = scratch(links.union(verified(surviving_pairs(rest), sets)), "links")
+    return None if links.isEmpty() else components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
