@@ -13,10 +13,10 @@ A text's set holds the 64-bit hashes of its distinct five-word shingles. Two set
    fewer groups than linked sets must are dropped, the others compared exactly.
 3. Of more sets under one fingerprint, the one that shares most is the pivot, and every other is compared
    with it: this finds nearly all links of a large group of near copies with one comparison each. Where
-   such sets still lie in several components, they are points of counts in ``DIMENSIONS`` groups. Trees of
-   boxes over parts of about ``PART`` points are joined: the summed coordinate minima of two boxes, then of
-   two points, bound the overlap. Surviving pairs are compared exactly. Pairs inside one component are
-   never made.
+   the sets under a print still lie in several components, the sets with its pivot are points of counts in
+   ``DIMENSIONS`` groups. Trees of boxes over parts of about ``PART`` points are joined: the summed coordinate
+   minima of two boxes, then of two points, bound the overlap. Surviving pairs are compared exactly. Pairs
+   inside one component are never made.
 4. Components come from the links by large and small stars.
 
 A tree over whole documents would not prune: sets of one size overlap in every low dimension. The
@@ -39,13 +39,13 @@ from tallyscope.llm.common import documents, scratch, ship, text_bytes
 from tallyscope.llm.components import components
 
 SHINGLE = 5
-DIMENSIONS = 64
+DIMENSIONS = 256
 SMALL = 32
 PART = 1000
 LEAF = 32
 BLOCK_BYTES = 24 << 20
 LISTED = 14  # bytes of a listing: 5 of the fingerprint, 8 of the set, 1 of the size class
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Sets whose documents are looked up by a broadcast of this many rows at most; beyond, by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -62,7 +62,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    ENTRIES = 500_000
+    ENTRIES = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -261,13 +261,19 @@ def small_pairs(listed: DataFrame) -> DataFrame:
     return pairs.where(F.col("shares") + more >= enough()).select("a", "b").distinct()
 
 
-def star_pairs(live: DataFrame) -> DataFrame:
-    """Every set under a large print with the print's pivot."""
+def pivots_of(live: DataFrame) -> DataFrame:
+    """(print, pivot): of the sets under a large print the one that shares most."""
     weights = live.join(live.groupBy("print").agg(F.count("*").alias("size")), "print")
     weights = weights.groupBy("node").agg(F.sum("size").alias("weight"))
-    pivots = live.join(weights, "node").groupBy("print").agg(F.max(F.struct("weight", "node")).alias("pivot"))
-    pairs = live.join(pivots.select("print", F.col("pivot.node").alias("b")), "print").where("node <> b")
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    best = live.join(weights, "node").groupBy("print").agg(F.max(F.struct("weight", "node")).alias("best"))
+    return best.select("print", F.col("best.node").alias("pivot"))
+
+
+def counts_in(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    """Count vectors as rows; a count that didn't fit is unbounded."""
+    flat = np.frombuffer(b"".join(table.column(column).to_pylist()), "<u2").reshape(-1, DIMENSIONS).astype("u4")
+    flat[flat == 0xFFFF] = 0xFFFFFF
+    return flat
 
 
 def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -288,7 +294,7 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
                 if len(items) and node_of(items) == node:
                     seen.add(node)
                     counts = np.bincount((items & np.uint64(DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS)
-                    out.append((node, len(items), items.tobytes(), counts.astype("<u4").tobytes()))
+                    out.append((node, len(items), items.tobytes(), np.minimum(counts, 0xFFFF).astype("<u2").tobytes()))
             if out:
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -318,8 +324,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             shared = np.zeros(batch.num_rows, "i8")
             for at in range(0, batch.num_rows, PART):
-                x, y = (b"".join(batch.column(f"{k}_counts").slice(at, PART).to_pylist()) for k in "ab")
-                x, y = (np.frombuffer(z, "<u4").reshape(-1, DIMENSIONS) for z in (x, y))
+                x, y = (counts_in(batch.slice(at, PART), f"{k}_counts") for k in "ab")
                 shared[at : at + PART] = np.minimum(x, y).sum(axis=1)
             both = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * both))
@@ -337,55 +342,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class Boxes:
-    """Points packed into leaves by size and first coordinates; a leaf keeps the maxima of its points."""
+    """Points packed into leaves by component, size and first coordinates; a leaf keeps its points' maxima."""
 
-    def __init__(self, n: np.ndarray, points: np.ndarray):
-        order = np.lexsort((points[:, 1], points[:, 0], n))
-        self.order, self.n, self.points = order, n[order], points[order]
+    def __init__(self, root: np.ndarray, n: np.ndarray, points: np.ndarray):
+        order = np.lexsort((points[:, 1], points[:, 0], n, root))
+        self.order, self.root, self.n, self.points = order, root[order], n[order], points[order]
         starts = np.arange(0, len(n), LEAF)
         self.slices = [slice(s, s + LEAF) for s in starts]
         self.most = np.maximum.reduceat(self.points, starts, axis=0)
         self.least_n, self.most_n = np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts)
+        self.first, self.last = np.minimum.reduceat(self.root, starts), np.maximum.reduceat(self.root, starts)
 
     def join(self, other: Boxes):
-        """Pairs of point numbers whose overlap may reach the similarity."""
+        """Pairs of point numbers in different components whose overlap may reach the similarity."""
         for i, mine in enumerate(self.slices):
-            bound = np.minimum(self.most[i], other.most).sum(axis=1)
+            bound = np.minimum(self.most[i], other.most).sum(axis=1, dtype="i8")
             near = (9 * bound >= 4 * (self.least_n[i] + other.least_n)) & (5 * self.most_n[i] >= 4 * other.least_n)
-            for j in np.flatnonzero(near & (5 * other.most_n >= 4 * self.least_n[i])):
+            near &= (5 * other.most_n >= 4 * self.least_n[i])
+            near &= (self.first[i] != self.last[i]) | (other.first != other.last) | (self.first[i] != other.first)
+            for j in np.flatnonzero(near):
                 theirs = other.slices[j]
-                shared = np.minimum(self.points[mine, None], other.points[None, theirs]).sum(axis=2)
+                shared = np.minimum(self.points[mine, None], other.points[None, theirs]).sum(axis=2, dtype="i8")
                 a, b = self.n[mine, None], other.n[None, theirs]
                 fits = (9 * shared >= 4 * (a + b)) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
-                x, y = np.nonzero(fits)
+                x, y = np.nonzero(fits & (self.root[mine, None] != other.root[None, theirs]))
                 yield self.order[mine][x], other.order[theirs][y]
 
 
 def surviving_pairs(rows: DataFrame) -> DataFrame:
-    """``rows``: print, node, n, counts, root. Pairs under one print in different components that the
-    bounds let through. Large prints are cut into parts, and every two parts meet in one group."""
-    sizes = rows.groupBy("print").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    cut = rows.join(sizes, "print").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    """``rows``: pivot, node, n, counts, root. Pairs with one pivot in different components that the
+    bounds let through. Many sets are cut into parts, and every two parts meet in one group."""
+    sizes = rows.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    cut = rows.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = cut.select("print", "node", "n", "counts", "root", "part", other).select(
-        "print", "node", "n", "counts", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
+    dealt = cut.select("*", other).select(
+        "pivot", "node", "n", "counts", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
     )
 
     def meet(table: pa.Table) -> pa.Table:
         node, n, root, part = (table[c].to_numpy() for c in ("node", "n", "root", "part"))
-        points = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype("i8")
+        points, out = counts_in(table, "counts"), []
         first, second = (np.flatnonzero(part == table[c][0].as_py()) for c in ("p", "q"))
-        out = []
         if len(first) and len(second):
-            for x, y in Boxes(n[first], points[first]).join(Boxes(n[second], points[second])):
-                x, y = first[x], second[y]
-                keep = root[x] != root[y]
-                x, y = node[x[keep]], node[y[keep]]
+            mine, theirs = (Boxes(root[x], n[x], points[x]) for x in (first, second))
+            for x, y in mine.join(theirs):
+                x, y = node[first[x]], node[second[y]]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), "i8")
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy("print", "p", "q").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("pivot", "p", "q").applyInArrow(meet, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:
@@ -393,7 +399,9 @@ def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     listed = scratch(shared_listings(docs, total), "listings")
     live = listed.where("b is null").select("print", "level", F.col("a").alias("node"))
-    pairs = scratch(small_pairs(listed).union(star_pairs(live)), "candidates")
+    pivots = scratch(pivots_of(live), "pivots")
+    stars = live.join(pivots, "print").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pairs = scratch(small_pairs(listed).union(stars.distinct()), "candidates")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = sets_of(docs, known, nodes)
     links = scratch(verified(pairs, sets), "links")
@@ -402,8 +410,9 @@ def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     else:
         rooted = live.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_prints = rooted.groupBy("print").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    rest = rooted.join(open_prints.select("print"), "print").join(sets.select("node", "n", "counts").dropDuplicates(["node"]), "node")
-    rest = scratch(rest, "open")
+    families = rooted.join(open_prints.select("print"), "print").join(pivots, "print").select("pivot", "node", "root").distinct()
+    points = sets.select("node", "n", "counts").dropDuplicates(["node"])
+    rest = scratch(families.join(points, "node"), "open")
     if not rest.isEmpty():
         links = scratch(links.union(verified(surviving_pairs(rest), sets)), "links")
     return None if links.isEmpty() else components(links)
