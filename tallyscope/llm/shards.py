@@ -5,7 +5,7 @@ largest first, in the shard where the dot product of their vector with the resid
 highest (all in shares of the corpus). The unit is
 
 * a group, if it holds more than ``1 / HEAVY`` of a shard in some dimension: there are at most
-  ``3 * HEAVY * shards`` of them; one that exceeds a shard is split in equal parts first;
+  ``3 * HEAVY * shards`` of them; one that exceeds a shard is split in ``SALTS`` parts by a hash first;
 * a cell of groups otherwise: groups are hashed to ``CELLS`` cells, whose sums reach the driver. A
   corpus with fewer groups than cells is placed nearly group by group.
 
@@ -29,6 +29,7 @@ from tallyscope.llm.common import documents, scratch, text_bytes
 SHARDS = 8
 CELLS = 1 << 15
 HEAVY = 64
+SALTS = 256
 #: Share of the bytes, in the smallest units, that goes where bytes are missing.
 TAIL = 0.02
 BUCKET_ROWS = 100_000
@@ -71,27 +72,31 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -
     heavy = groups.where(is_heavy).select("group", *DIMENSIONS).orderBy("group").collect()
     light = groups.where(~is_heavy).groupBy("cell").agg(*(F.sum(c).alias(c) for c in DIMENSIONS)).orderBy("cell").collect()
 
+    salt = F.pmod(F.xxhash64("doc_id", "group"), F.lit(SALTS)).cast("int")
+    beyond = [r["group"] for r in heavy if any(r[c] * shards > total[c] for c in DIMENSIONS)]
+    salted = rows.where(F.col("group").isin(beyond)).groupBy("group", salt.alias("salt")).agg(*sums, F.count("*").alias("one"))
     units, keys = [], []
+    for row in salted.orderBy("group", "salt").collect() if beyond else []:
+        keys.append((row["group"], None, row["salt"]))
+        units.append([row[c] for c in DIMENSIONS])
     for row in heavy:
-        parts = max(1, *(int(np.ceil(row[c] * shards / total[c])) for c in DIMENSIONS if total[c]))
-        for part in range(min(parts, row["one"])):
-            keys.append((row["group"], None, min(parts, row["one"]), part))
-            units.append([row[c] / min(parts, row["one"]) for c in DIMENSIONS])
+        if row["group"] not in beyond:
+            keys.append((row["group"], None, 0))
+            units.append([row[c] for c in DIMENSIONS])
     for row in light:
-        keys.append((None, row["cell"], 1, 0))
+        keys.append((None, row["cell"], 0))
         units.append([row[c] for c in DIMENSIONS])
     where = place(np.array(units, "f8").reshape(-1, len(DIMENSIONS)), shards).tolist()
-    split: dict[str, list[int]] = {}
-    for (group, _, _, _), shard in zip(keys, where):
+    parts: dict[str, list[int]] = {}
+    for (group, _, part), shard in zip(keys, where):
         if group is not None:
-            split.setdefault(group, []).append(shard)
-    whole = spark.createDataFrame([(g, s) for g, s in split.items()], "group string, parts array<int>")
+            parts.setdefault(group, [0] * (SALTS if group in beyond else 1))[part] = shard
+    whole = spark.createDataFrame(list(parts.items()), "group string, parts array<int>")
     celled = spark.createDataFrame([(k[1], s) for k, s in zip(keys, where) if k[0] is None], "cell int, cell_shard int")
     # both sides are bounded by the parameters: 3 * HEAVY * shards and ``cells`` rows
     placed = rows.join(F.broadcast(whole), "group", "left").join(F.broadcast(celled), "cell", "left")
     buckets = max(1, (total["one"] or 0) // shards // BUCKET_ROWS)
-    spread = F.xxhash64("doc_id", "group")
-    part = F.pmod(spread, F.size("parts").cast("long")).cast("int")
+    part = F.pmod(salt, F.size("parts"))
     placed = placed.select(
         "doc_id", "size", "text_crc32", "group",
         F.when(F.col("parts").isNotNull(), F.col("parts")[part]).otherwise(F.col("cell_shard")).alias("shard"),
