@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,7 @@ def make_session():
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tallyscope-tests-"),
     }
     spark = get_session("tests", **conf)
     spark.sparkContext.setLogLevel("ERROR")
