@@ -75,13 +75,29 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def parse_stripped_timestamp(t: Column) -> Column:
-    """``parse_timestamp`` for text that is stripped already (the column is used many times)."""
+    """``parse_timestamp`` for text that is stripped already (the column is used many times).
+
+    A leading weekday is dropped, AM and PM become 24 hours, and years of two digits are those
+    from 1969 to 2068.
+    """
+    t = F.regexp_replace(t, r"^(?i)(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +(?=[a-z0-9])", "")
+    half_day = r"^(?i)(.*[ T])(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?) ?([ap])\.?m\.?$"
+    hour = F.regexp_extract(t, half_day, 2).try_cast("int")
+    late = F.lower(F.regexp_extract(t, half_day, 4)) == "p"
+    full = F.concat(
+        F.regexp_extract(t, half_day, 1), F.lpad((hour % 12 + F.when(late, 12).otherwise(0)).cast("string"), 2, "0"),
+        F.regexp_extract(t, half_day, 3),
+    )
+    t = F.when(t.rlike(half_day) & hour.between(1, 12), full).otherwise(t)
 
     def cast(rewritten: Column) -> Column:
         return rewritten.try_cast("timestamp_ntz")
 
     year_first = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?(|[ T].*)$"
     year_last = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(|[ T].*)$"
+    short_year = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(|[ T].*)$"
+    time_in_between = r"^(?i)([a-z]{3,9}) +(\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?) (\d{4})$"
+    century = F.when(F.regexp_extract(t, short_year, 3).try_cast("int") < 69, "20").otherwise("19")
     day_month_name = r"^(?i)(\d{1,2})[ -]([a-z]{3,9})[.,]?[ -](\d{4})(|[ T].*)$"
     month_name_day = r"^(?i)([a-z]{3,9})[.]? (\d{1,2}),? (\d{4})(|[ T].*)$"
 
@@ -100,6 +116,26 @@ def parse_stripped_timestamp(t: Column) -> Column:
     parsed = (
         F.when(t.rlike(r"^\d{4}$"), cast(t))
         .when(t.rlike(r"^\d{8}$"), cast(F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
+        .when(
+            t.rlike(r"^\d{8}T\d{6}$"),
+            cast(F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")),
+        )
+        .when(
+            t.rlike(short_year),
+            F.coalesce(
+                cast(F.concat(century, F.regexp_replace(t, short_year, "$3-$1-$2$4"))),
+                cast(F.concat(century, F.regexp_replace(t, short_year, "$3-$2-$1$4"))),
+            ),
+        )
+        .when(
+            t.rlike(time_in_between),
+            cast(
+                F.concat_ws(
+                    "-", F.regexp_extract(t, time_in_between, 4), month_number(time_in_between, 1),
+                    F.regexp_replace(t, time_in_between, "$2 $3"),
+                )
+            ),
+        )
         .when(t.rlike(r"^\d{4}[-/.]\d{1,2}([ T].*)?$"), cast(F.regexp_replace(t, "[/.]", "-")))
         .when(t.rlike(year_first), cast(F.regexp_replace(t, year_first, "$1-$2-$3$4")))
         .when(
@@ -118,8 +154,7 @@ def parse_stripped_timestamp(t: Column) -> Column:
             cast(joined(month_name_day, 3, month_number(month_name_day, 1), 2)),
         )
     )
-    # the length guard spares long free text every pattern
-    return F.when(F.length(t).between(4, 40), parsed)
+    return F.when(F.length(t) >= 4, parsed)
 
 
 def epoch_nanos(value: Column) -> Column:

@@ -62,8 +62,7 @@ def column_profile(frame: DataFrame, order: Sequence[str] | None = None) -> Data
 
     Only text columns need data: the first 50 non-blank values, in the stated order or in scan
     order. All text columns are unfolded in one pass; the group limit keeps 50 cells per column
-    and task before anything is shuffled. A date is short, so a long text travels as its hash,
-    which is enough to tell different values apart.
+    and task before anything is shuffled.
     """
     base = frame
     if order is None:
@@ -79,16 +78,7 @@ def column_profile(frame: DataFrame, order: Sequence[str] | None = None) -> Data
             *[quoted(c).alias(k) for c, k in zip(order, keys)],
             *[clean_text(quoted(name)).alias(label) for label, name in labels],
         )
-        short = cleaned.select(
-            *keys,
-            *[
-                F.when(F.length(label) <= 40, F.col(label))
-                .when(F.col(label).isNotNull(), F.concat(F.lit("#"), F.xxhash64(label).cast("string")))
-                .alias(label)
-                for label, _ in labels
-            ],
-        )
-        cells = short.unpivot(keys, [label for label, _ in labels], "label", "value").where(
+        cells = cleaned.unpivot(keys, [label for label, _ in labels], "label", "value").where(
             "value is not null"
         )
         first = first_rows(

@@ -196,6 +196,15 @@ def _series(periods: DataFrame, by: Sequence[str], keep_history: bool) -> DataFr
     def finite(value: Column) -> Column:
         return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
+    # doubles are added oldest first, so that an average doesn't depend on the way they arrive
+    place = F.struct((-F.col("back")).alias("place"), F.col("metric_value").cast("double").alias("value"))
+    newest = F.array_sort(F.collect_list(F.when(F.col("back") <= 6, place)))
+
+    def average(n: int) -> Column:
+        chosen = F.filter("newest", lambda x: (x["place"] >= -n) & x["value"].isNotNull())
+        total = F.aggregate(chosen, F.lit(0.0), lambda done, x: done + x["value"])
+        return F.try_divide(total, F.size(chosen))
+
     changes = F.when(F.col("back") <= 5, finite(F.col("change")))
     recent = rows.groupBy(*columns_of(by)).agg(
         F.coalesce(F.max("parse_rate"), F.lit(0.0)).alias("parse_rate"),
@@ -205,9 +214,8 @@ def _series(periods: DataFrame, by: Sequence[str], keep_history: bool) -> DataFr
         F.min("lowest").alias("lowest"),
         F.max("start").alias("last_start"),
         F.max(last(1)).alias("latest"),
-        F.avg(last(5)).alias("moving_average"),
+        newest.alias("newest"),
         F.coalesce(F.regr_slope(last(5), -F.col("back")), F.lit(0.0)).alias("slope"),
-        F.avg(last(4)).alias("recent_average"),
         F.count(last(6)).alias("recent_periods"),
         F.count(changes).alias("change_count"),
         F.stddev_samp(changes).alias("volatility_score"),
@@ -216,6 +224,7 @@ def _series(periods: DataFrame, by: Sequence[str], keep_history: bool) -> DataFr
         ).alias("relative_std"),
         *history,
     )
+    recent = recent.withColumns({"moving_average": average(5), "recent_average": average(4)}).drop("newest")
     label = (
         F.when(F.col("volatility_score") >= V.VOLATILE_FROM, VOLATILE)
         .when(F.col("volatility_score") >= V.VARIABLE_FROM, VARIABLE)

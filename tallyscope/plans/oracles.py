@@ -457,7 +457,7 @@ def state_ctes(by=(), horizon: int = 6, conditional: bool = False) -> str:
 ob as (select *, row_number() over ({p} order by period desc) b, count(*) over ({p}) n,
   min(mv) over ({p}) lowest, mv / nullif(lag(mv) over ({p} order by period), 0) - 1 change from hi),
 ag as (select {k}max(n) n, min(lowest) lowest, max(period) lp, max(mv) filter (b = 1) la,
-  avg(mv) filter (b <= 5) ma, regr_slope(mv, -b) filter (b <= 5) sl, avg(mv) filter (b <= 4) r4,
+  avg(mv order by b desc) filter (b <= 5) ma, regr_slope(mv, -b) filter (b <= 5) sl, avg(mv order by b desc) filter (b <= 4) r4,
   count(*) filter (b <= 6) rn, count(change) filter (b <= 5) cc,
   stddev_samp(change) filter (b <= 5) vol,
   stddev_samp(mv) filter (b <= 6) / abs(avg(mv) filter (b <= 6)) rel from ob {group}),

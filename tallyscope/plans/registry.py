@@ -123,7 +123,6 @@ def queries() -> dict[str, Query]:
         "csv_scan": lambda s, d: S.scan_csv(s, _csv_copy(s, d)),
         "csv_infer": _scan_types,
         "csv_grouped": _csv_totals,
-        "source_manifest": lambda s, d: S.source_manifest(s, f"{d.rstrip('/')}/*.parquet"),
         "preview": preview,
         # quality
         "dataset_summary": on_dirty(Q.dataset_summary),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,8 +27,9 @@ def get_session(app_name: str = "tallyscope", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting (tests, a laptop) gets a temporary folder; on a
-    cluster a machine-local folder would be invisible to the other executors, so we refuse.
+    Only a session that runs in one process without that setting (a laptop) gets a temporary folder,
+    removed at its end; on a cluster, a local one included, a machine-local folder would be invisible to
+    the other executors, so we refuse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -33,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="tallyscope-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

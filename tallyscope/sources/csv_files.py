@@ -13,7 +13,7 @@ from tallyscope.functions.coerce import NUMBER_PATTERN, fixed_text, strip
 from tallyscope.functions.naming import quoted
 
 # The grammar of whole numbers and of truth values.
-WHOLE_PATTERN = r"^[+-]?\d{1,18}$"
+WHOLE_PATTERN = r"^[+-]?\d+$"
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
@@ -51,15 +51,12 @@ def scan_csv(
 ) -> DataFrame:
     """All columns as text, with the usual missing tokens as null.
 
-    A quoted line break needs multi-line reading, which keeps a file in one task. Files that fit
-    one split lose nothing by it; larger ones are first checked, and stay splittable when no
-    quoted field crosses a line.
+    A quoted line break needs multi-line reading, which keeps a file in one task. Files are first
+    checked, whatever their size, and stay splittable when no quoted field crosses a line.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if multi_line is None:
-        bound = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-        large = not _files(spark, paths).where(F.col("length") > bound).isEmpty()
-        multi_line = _has_line_breaks_in_quotes(spark, paths) if large else True
+        multi_line = _has_line_breaks_in_quotes(spark, paths)
     raw = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -80,13 +77,19 @@ def _is_truth(value: Column) -> Column:
 
 
 def inferred_types(raw: DataFrame) -> DataFrame:
-    """One row per column with the narrowest type all its values fit; dates stay text."""
+    """One row per column with the narrowest type all its values fit; dates stay text.
+
+    Whole numbers never lose a digit: beyond 64 bits they are decimals, beyond 38 digits text.
+    """
     counts = []
     for i, name in enumerate(raw.columns):
         value = quoted(name)
+        whole = strip(value).rlike(WHOLE_PATTERN)
         counts += [
             F.count(value).alias(f"n{i}"),
-            F.count_if(strip(value).rlike(WHOLE_PATTERN)).alias(f"w{i}"),
+            F.count_if(whole).alias(f"i{i}"),
+            F.count_if(whole & strip(value).try_cast("bigint").isNotNull()).alias(f"w{i}"),
+            F.count_if(whole & strip(value).try_cast("decimal(38,0)").isNotNull()).alias(f"d{i}"),
             F.count_if(strip(value).rlike(NUMBER_PATTERN)).alias(f"r{i}"),
             F.count_if(_is_truth(value)).alias(f"t{i}"),
         ]
@@ -96,6 +99,8 @@ def inferred_types(raw: DataFrame) -> DataFrame:
         kind = (
             F.when((n == 0), "double")
             .when(F.col(f"w{i}") == n, "bigint")
+            .when(F.col(f"d{i}") == n, "decimal(38,0)")
+            .when(F.col(f"i{i}") == n, "string")
             .when(F.col(f"r{i}") == n, "double")
             .when(F.col(f"t{i}") == n, "boolean")
             .otherwise("string")

@@ -87,3 +87,22 @@ def test_names():
 def test_percentage(spark):
     assert one(spark, C.percentage(F.lit(1), F.lit(3))) == 33.33
     assert one(spark, C.percentage(F.lit(1), F.lit(0))) == 0.0
+
+
+def test_more_date_forms(spark):
+    forms = {
+        "09/18/2024 11:30 PM": "2024-09-18 23:30:00",
+        "2024-09-18 12:00 AM": "2024-09-18 00:00:00",
+        "2024-09-18 12:00 PM": "2024-09-18 12:00:00",
+        "1/2/24": "2024-01-02 00:00:00",
+        "31/12/99": "1999-12-31 00:00:00",
+        "20240918T120000": "2024-09-18 12:00:00",
+        "Wed Sep 18 12:00:00 2024": "2024-09-18 12:00:00",
+        "Wednesday, September 18, 2024": "2024-09-18 00:00:00",
+        "Wednesday, September 18, 2024 11:59:59 PM": "2024-09-18 23:59:59",
+        "12:30 PM": None,
+        "Sunny 1/2": None,
+    }
+    frame = spark.createDataFrame([(t,) for t in forms], "t string")
+    rows = frame.select("t", C.parse_timestamp(F.col("t")).cast("string").alias("at")).collect()
+    assert {r["t"]: r["at"] for r in rows} == forms

@@ -119,3 +119,11 @@ def test_direction_rule(spark):
     rows = spark.createDataFrame([(100.0, 102.0), (100.0, 102.1), (10.0, 9.0), (10.0, 8.9)], "a double, b double")
     got = [r[0] for r in rows.select(P.direction_class(F.col("a"), F.col("b"))).collect()]
     assert got == ["Flat", "Up", "Flat", "Down"]
+
+
+def test_averages_add_the_oldest_first(spark):
+    values = [100.0, 110.0, 137.83, 226.32, 120.15, 198.48]
+    rows = [(f"2024-01-{i + 1:02d}", v) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "day string, value double")
+    text = " ".join(r["finding"] for r in P.forecast_findings(P.forecast(frame, "value", "day")).collect())
+    assert "recent actual average is 170.69" in text

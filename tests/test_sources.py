@@ -57,3 +57,20 @@ def test_materialise_uses_the_shared_folder(spark):
     frame = materialise(spark.range(5))
     assert frame.count() == 5 and shared_folder(spark)
     assert "Range" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_numbers_keep_every_digit(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    path.write_text(
+        "id,huge,over\n"
+        "1234567890123456789,12345678901234567890,1\n"
+        "1234567890123456788,12345678901234567891,1" + "0" * 40 + "\n"
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    try:
+        frame = S.read_csv(spark, str(path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert dict(frame.dtypes) == {"id": "bigint", "huge": "decimal(38,0)", "over": "string"}
+    assert {r["id"] for r in frame.collect()} == {1234567890123456789, 1234567890123456788}
+    assert len({r["huge"] for r in frame.collect()}) == 2
