@@ -125,5 +125,5 @@ def test_averages_add_the_oldest_first(spark):
     values = [100.0, 110.0, 137.83, 226.32, 120.15, 198.48]
     rows = [(f"2024-01-{i + 1:02d}", v) for i, v in enumerate(values)]
     frame = spark.createDataFrame(rows, "day string, value double")
-    text = " ".join(r["finding"] for r in P.forecast_findings(P.forecast(frame, "value", "day")).collect())
+    text = " ".join(r["finding"] for r in P.forecast_findings(P.forecast(frame, "value", "day", horizon=3)).collect())
     assert "recent actual average is 170.69" in text
