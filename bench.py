@@ -2,13 +2,14 @@
 
 BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default all)
-BENCH_RUNS     timed runs per query after one warm-up run (default 1, the best one counts)
+BENCH_RUNS     timed runs per query after one warm-up run (default 3, their median counts)
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -40,7 +41,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     conf = {
         "spark.master": f"local[{cpus}]",
         "spark.ui.enabled": "false",
@@ -52,14 +53,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = registry.queries(), {}
     for name in HEADLINE:
-        best = None
-        for run in range(runs + 1):
+        took = []
+        for _ in range(runs + 1):
             start = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-            took = time.perf_counter() - start
-            if run > 0:
-                best = took if best is None else min(best, took)
-        seconds[name] = round(best if best is not None else took, 3)
+            took.append(time.perf_counter() - start)
+        seconds[name] = round(statistics.median(took[1:] or took), 3)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(
