@@ -231,4 +231,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    found = decontaminate(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.withColumns({"items": F.array_join("items", ","), "spans": F.array_join(places, ",")})

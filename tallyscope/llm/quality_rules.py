@@ -104,5 +104,5 @@ def judge(docs: DataFrame, rules: dict[str, tuple[float | None, float | None]] |
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_stop_words", "broken_rules",
+        "n_stop_words", F.array_join("broken_rules", ",").alias("broken_rules"),
     )

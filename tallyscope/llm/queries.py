@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tallyscope.llm.counterparts import SQL
 from tallyscope.llm.decontaminate import op7_decontaminate
 from tallyscope.llm.jaccard import op10_jaccard_components
 from tallyscope.llm.language import op3_language_id
@@ -28,4 +29,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
