@@ -25,6 +25,7 @@ from tallyscope.functions.naming import first_column_with
 from tallyscope.operators.shape import (
     attach,
     columns_of,
+    exact_quantiles,
     first_rows,
     number_rows,
     numbered_items,
@@ -303,10 +304,16 @@ def margin_flags(frame: DataFrame, dimension: str, by: Sequence[str] = ()) -> Da
             "total_profit",
         )
     )
-    cutoffs = groups.groupBy(*keys).agg(
-        F.percentile("average_discount", F.lit(0.75)).alias("discount_cutoff"),
-        F.median("total_profit").alias("profit_cutoff"),
-        F.count("*").alias("__groups"),
+    measures = F.array(
+        F.struct(F.lit(0.75).alias("__cut"), F.col("average_discount").alias("__cut_value")),
+        F.struct(F.lit(0.5).alias("__cut"), F.col("total_profit").alias("__cut_value")),
+    )
+    values = groups.select(*keys, F.inline(measures))
+    quantiles = exact_quantiles(values, [*by, "__cut"], "__cut_value", "__cut", "__cutoff")
+    cutoffs = quantiles.groupBy(*keys).agg(
+        F.max(F.when(F.col("__cut") == 0.75, F.col("__cutoff"))).alias("discount_cutoff"),
+        F.max(F.when(F.col("__cut") == 0.5, F.col("__cutoff"))).alias("profit_cutoff"),
+        F.max("__cutoff_count").alias("__groups"),
     )
     return (
         attach(groups, cutoffs, by)
@@ -372,9 +379,10 @@ def trend_summary(frame: DataFrame, metric: str, date: str, by: Sequence[str] =
 
 
 def trend_by_dimension(
-    frame: DataFrame, metric: str, dimension: str, date: str, by: Sequence[str] = ()
+    frame: DataFrame, metric: str, dimension: str, date: str, by: Sequence[str] = (),
+    most_groups: int = V.MAX_TREND_GROUPS,
 ) -> DataFrame:
-    """Total per period and group, only where there are two to eight groups."""
+    """Total per period and group, only where there are two to ``most_groups`` groups."""
     # each condition holds for every row; it makes both uses read the same shuffle output
     cells = _dated_totals(frame, metric, date, dimension, by).where(
         "last_at >= first_at and (total > 0 or not total > 0)"
@@ -385,7 +393,7 @@ def trend_by_dimension(
     )
     return (
         attach(cells, facts, by)
-        .where(F.col("grouped") & F.col("__groups").between(2, V.MAX_TREND_GROUPS))
+        .where(F.col("grouped") & F.col("__groups").between(2, most_groups))
         .withColumn("frequency", _grain(F.col("__depth")))
         .withColumn("period", _period())
         .groupBy(*columns_of(by), "frequency", "period", "group")
@@ -397,13 +405,18 @@ def trend_by_dimension(
 
 
 def diagnostic_facts(
-    frame: DataFrame, metric: str, dimension: str, by: Sequence[str] = ()
+    frame: DataFrame, metric: str, dimension: str, by: Sequence[str] = (),
+    weak_named: int = 5, margin_named: int = 3,
 ) -> DataFrame:
-    """One row per key with everything the findings and the rules need."""
+    """One row per key with everything the findings and the rules need.
+
+    ``weak_named`` and ``margin_named`` say how many groups a sentence names; ``underperformers`` and
+    ``margin_flags`` return all of them.
+    """
     totals = _group_totals(frame, metric, dimension, by)
     facts = _key_summary(totals, by)
     order = [F.col("total").desc(), F.col("group").asc()]
-    weak = first_rows(_under(_usable(totals), by), by, order, 5, "__place")
+    weak = first_rows(_under(_usable(totals), by), by, order, weak_named, "__place")
     names = F.transform(
         F.array_sort(F.collect_list(F.struct("__place", "group"))), lambda r: r["group"]
     )
@@ -411,7 +424,7 @@ def diagnostic_facts(
     if margin_columns(frame) is None:
         facts = facts.withColumn("margin_groups", F.lit(None).cast("array<string>"))
     else:
-        flagged = first_rows(margin_flags(frame, dimension, by), by, [F.col("group").asc()], 3, "__place")
+        flagged = first_rows(margin_flags(frame, dimension, by), by, [F.col("group").asc()], margin_named, "__place")
         facts = attach(
             facts, flagged.groupBy(*columns_of(by)).agg(names.alias("margin_groups")), by
         )

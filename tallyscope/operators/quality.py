@@ -49,20 +49,37 @@ def preview(frame: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     return frame.orderBy(*[quoted(c) for c in order]).limit(n)
 
 
-def distinct_rows(frame: DataFrame) -> DataFrame:
-    """Each different row once with its number of copies; missing equals missing.
+def _hashed_rows(frame: DataFrame) -> DataFrame:
+    """Rows with missing values made alike (``c0``, ``c1``, ...) and a 128-bit hash of each."""
+    rows = frame.select(*[present(frame, c).alias(f"c{i}") for i, c in enumerate(frame.columns)])
+    # hashes skip nulls, so which columns are missing is hashed as well; + 0.0 makes -0.0 and 0.0 alike
+    floats = (T.FloatType, T.DoubleType)
+    values = [
+        F.col(f.name) + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, floats) else F.col(f.name)
+        for f in rows.schema.fields
+    ]
+    gaps = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in rows.columns])
+    first, second = F.xxhash64(gaps, *values), F.xxhash64(*reversed(values), gaps, F.lit("second"))
+    return rows.select("*", F.struct(first.alias("a"), second.alias("b")).alias("__hash"))
+
 
-    Copies are folded in the map-side aggregate, so one row that fills a third of the table
-    reaches the shuffle once per task.
+def repeated_rows(frame: DataFrame) -> DataFrame:
+    """Each row that occurs more than once, with its number of copies; missing equals missing.
+
+    Only hashes are shuffled at first, folded per task. Rows are compared as a whole, exactly, only
+    where a hash was seen more than once, folded per task again: a row that fills a third of the table
+    reaches a shuffle once per task.
     """
-    rows = frame.select(*[present(frame, c).alias(f"c{i}") for i, c in enumerate(frame.columns)])
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    rows = _hashed_rows(frame)
+    seen = rows.groupBy("__hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = rows.join(seen.select("__hash"), "__hash", "left_semi").drop("__hash")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def duplicate_rows(frame: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of identical rows."""
     surplus = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
-    return distinct_rows(frame).agg(surplus.cast("long").alias("duplicate_rows"))
+    return repeated_rows(frame).agg(surplus.cast("long").alias("duplicate_rows"))
 
 
 def missing_summary(frame: DataFrame) -> DataFrame:
@@ -92,22 +109,20 @@ def missing_summary(frame: DataFrame) -> DataFrame:
 
 
 def kpi_overview(frame: DataFrame) -> DataFrame:
-    """Rows, columns, duplicates and columns with missing values, from one pass over the rows."""
-    rows = distinct_rows(frame)
-    gaps = [
-        F.max(F.when(F.col(f"c{i}").isNull(), 1).otherwise(0)) for i in range(len(frame.columns))
-    ]
-    totals = rows.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("total_rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-        F.array(*gaps).alias("gaps"),
+    """Rows, columns, duplicates and columns with missing values.
+
+    Rows and gaps are counted where the table is scanned; only duplicates need a shuffle.
+    """
+    gaps = [F.max(present(frame, c).isNull().cast("long")) for c in frame.columns]
+    with_gaps = sum((F.coalesce(g, F.lit(0)) for g in gaps), F.lit(0))
+    totals = frame.agg(
+        F.count("*").alias("total_rows"), with_gaps.cast("long").alias("columns_with_missing_values")
     )
-    with_gaps = F.size(F.filter("gaps", lambda g: g == 1))
     return totals.select(
         "total_rows",
         F.lit(len(frame.columns)).cast("long").alias("total_columns"),
-        "duplicate_rows",
-        with_gaps.cast("long").alias("columns_with_missing_values"),
+        duplicate_rows(frame).scalar().alias("duplicate_rows"),
+        "columns_with_missing_values",
     )
 
 

@@ -87,6 +87,56 @@ def number_rows(
     )
 
 
+def exact_quantiles(
+    frame: DataFrame, by: Sequence[str], value: str, share: str, result: str, accuracy: int = 10_000
+) -> DataFrame:
+    """One row per key: ``result`` is the exact quantile of the doubles in ``value``, linear between
+    neighbours, and ``result`` + "_count" their number.
+
+    ``share`` is a column that is constant within a key, one of 0.25, 0.5 and 0.75. A mergeable sketch
+    brackets the rank first: its ranks are at most 1/accuracy of the rows wrong, so bounds 3/accuracy
+    away from the share enclose it wherever a key has more than ``accuracy`` rows; smaller keys are their
+    own bracket. Values below the bracket are only counted, and the window sees the different values
+    inside it: at most ``accuracy`` of a small key, and of a large one a few in ``accuracy``.
+    """
+    keys, margin = columns_of(by), 3 / accuracy
+    shares = (0.25, 0.5, 0.75)
+    ends = [x for s in shares for x in (s - margin, s + margin)]
+    sketch = frame.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.first(share).alias("__share"), F.min(value).alias("__min"),
+        F.max(value).alias("__max"), F.percentile_approx(value, ends, accuracy).alias("__ends"),
+    )
+    at = F.when(F.col("__share") == shares[0], 0).when(F.col("__share") == shares[1], 2).otherwise(4)
+    large = F.col("__n") > accuracy
+    sketch = sketch.select(
+        *keys, "__n", (F.col("__share") * (F.col("__n") - 1)).alias("__rank"),
+        F.when(large, F.get("__ends", at)).otherwise(F.col("__min")).alias("__low"),
+        F.when(large, F.get("__ends", at + 1)).otherwise(F.col("__max")).alias("__high"),
+    )
+    placed = attach(frame.where(F.col(value).isNotNull()), sketch, by)
+    # everything below the bracket is one value to count
+    inside = placed.where(F.col(value) <= F.col("__high")).withColumn(
+        "__value", F.when(F.col(value) >= F.col("__low"), F.col(value))
+    )
+    counts = inside.groupBy(*keys, "__value").agg(
+        F.count("*").alias("__count"), F.first("__rank").alias("__rank"), F.first("__n").alias("__n")
+    )
+    up_to = Window.partitionBy(*keys).orderBy(F.col("__value").asc_nulls_first())
+    reached = F.sum("__count").over(up_to.rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("__reached", reached)
+    found = counts.groupBy(*keys).agg(
+        F.first("__rank").alias("__rank"),
+        F.first("__n").alias("__n"),
+        F.min(F.when(F.col("__reached") > F.floor("__rank"), F.col("__value"))).alias("__lower"),
+        F.min(F.when(F.col("__reached") > F.ceil("__rank"), F.col("__value"))).alias("__upper"),
+    )
+    weight = F.col("__rank") - F.floor("__rank")
+    between = F.when(weight == 0, F.col("__lower")).otherwise(
+        (1 - weight) * F.col("__lower") + weight * F.col("__upper")
+    )
+    return found.select(*keys, between.alias(result), F.col("__n").alias(f"{result}_count"))
+
+
 def numbered_items(
     frame: DataFrame, by: Sequence[str], array: str | Column, position: str, item: str
 ) -> DataFrame:

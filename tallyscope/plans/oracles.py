@@ -343,6 +343,14 @@ select {keys(by)}whole total_metric_value, n group_count, top top_group, topv to
   mean_total mean_group_total from su"""
 
 
+def quantile(values: str, share: float) -> str:
+    """Of a sorted list, linear between neighbours."""
+    rank = f"({share} * (len({values}) - 1))::double"
+    low, high = (f"{values}[{f}({rank})::int + 1]" for f in ("floor", "ceil"))
+    part = f"({rank} - floor({rank}))"
+    return f"case when {part} = 0 then {low} else (1 - {part}) * {low} + {part} * {high} end"
+
+
 def margin_cte(dimension: str, by=()) -> str:
     k, p = keys(by), over(by)
     group = f"group by {', '.join(by)}" if by else ""
@@ -352,9 +360,10 @@ mg as (select {k}nullif(trim({dimension}), '') grp, cast(sum(discount_pct) as do
   cast(sum(profit) as double) tp from business
   where discount_pct is not null and profit is not null and nullif(trim({dimension}), '') is not null
   group by all),
-mc as (select {k}quantile_cont(ad, 0.75) dc, median(tp) pc, count(*) mn from mg {group}),
+msort as (select {k}list(ad order by ad) al, list(tp order by tp) tl, count(*) mn from mg {group}),
+mc as (select {k}{quantile("al", 0.75)} dc, {quantile("tl", 0.5)} pc, mn from msort),
 mf as (select {k}grp, ad, tp, dc, pc, row_number() over ({p} order by grp) mr from mg {join}
-  where mn >= 2 and ad >= dc - 1e-12 and tp <= pc + 1e-6)"""
+  where mn >= 2 and ad >= dc and tp <= pc)"""
 
 
 def margin_sql(dimension: str, by=()) -> str:
@@ -406,12 +415,12 @@ def findings_sql(metric: str, dimension: str, by=()) -> str:
     )
 
 
-def trend_sql(view_cte: str, view: str, metric: str, date: str, by=(), group: str | None = None) -> str:
+def trend_sql(view_cte: str, view: str, metric: str, date: str, by=(), group: str | None = None, most: int = 8) -> str:
     k, g = keys(by), f'{group} "group", ' if group else ""
     depth = f"date_sub('day', min(moment) over ({over(by)}), max(moment) over ({over(by)}))"
     limit = ""
     if group:
-        limit = f"where (select count(distinct {group}) from {view}) between 2 and 8"
+        limit = f"where (select count(distinct {group}) from {view}) between 2 and {most}"
     return f"""with {view_cte},
 rows_ as (select {k}{group + ', ' if group else ''}{NUMBER.get(metric, metric)} m, {date} moment from {view}),
 dated as (select *, {depth} depth from rows_ where m is not null and moment is not null),
@@ -911,6 +920,13 @@ def oracle_sql() -> dict[str, str]:
         "underperformers": f"""with {BUSINESS}, {groups_cte('business', 'net_revenue', 'status')}
           select grp "group", mv metric_value, mean_total mean_group_total from gs
           where mv < mean_total * 0.6""",
+        "underperformers_orders": f"""with {BUSINESS}, {groups_cte('business', 'net_revenue', 'order_id::varchar')}
+          select grp "group", mv metric_value, mean_total mean_group_total from gs
+          where mv < mean_total * 0.6""",
+        "underperformers_orders_by_region": f"""with {BUSINESS},
+          {groups_cte('business', 'net_revenue', 'order_id::varchar', region)}
+          select region, grp "group", mv metric_value, mean_total mean_group_total from gs
+          where mv < mean_total * 0.6""",
         "underperformers_by_region": f"""with {BUSINESS},
           {groups_cte('business', 'net_revenue', 'status', region)}
           select region, grp "group", mv metric_value, mean_total mean_group_total from gs
@@ -932,6 +948,10 @@ def oracle_sql() -> dict[str, str]:
         "trend_by_dimension": trend_sql(
             BUSINESS, "business", "net_revenue", "order_date", (), "region"
         ),
+        "trend_by_nation": trend_sql(
+            BUSINESS, "business", "net_revenue", "order_date", (), "nation", 25
+        ),
+        "margin_flags_orders": margin_sql("order_id::varchar"),
         "trend_by_dimension_too_many": trend_sql(
             BUSINESS, "business", "net_revenue", "order_date", (), "nation"
         ),

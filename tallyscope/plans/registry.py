@@ -171,6 +171,10 @@ def queries() -> dict[str, Query]:
         "underperformers_by_region": on_business(
             D.underperformers, "net_revenue", "status", by=region
         ),
+        "underperformers_orders": on_business(D.underperformers, "net_revenue", "order_id"),
+        "underperformers_orders_by_region": on_business(
+            D.underperformers, "net_revenue", "order_id", by=region
+        ),
         "efficiency_split": on_business(D.efficiency_split, *money),
         "efficiency_split_by_region": on_business(D.efficiency_split, *money, by=region),
         "margin_flags": lambda s, d: _rounded(
@@ -190,6 +194,12 @@ def queries() -> dict[str, Query]:
         "trend_by_dimension_too_many": on_business(
             D.trend_by_dimension, "net_revenue", "nation", "order_date"
         ),
+        "trend_by_nation": on_business(
+            D.trend_by_dimension, "net_revenue", "nation", "order_date", most_groups=25
+        ),
+        "margin_flags_orders": lambda s, d: _rounded(
+            D.margin_flags(business(s, d), "order_id"), "discount_cutoff", "profit_cutoff"
+        ),
         "diagnostic_findings": on_business(D.diagnostic_findings, "net_revenue", "nation"),
         "diagnostic_findings_by_region": on_business(
             D.diagnostic_findings, "net_revenue", "status", by=region

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyscope.operators import columns as C
+from tallyscope.sources.tables import dirty
 from tallyscope.operators import intelligence as I
 from tests import frames
 
@@ -127,3 +128,17 @@ def test_stats_do_not_depend_on_partitions(spark):
     one = C.column_stats(frame).orderBy(key).collect()
     many = C.column_stats(frame.repartition(7)).orderBy(key).collect()
     assert one == many
+
+
+def test_estimated_statistics_differ_in_distinct_counts_only(spark):
+    frame = dirty(spark, "/root/testdata/sf0.001")
+    exact = {r["ordinal"]: r.asDict() for r in C.column_stats(frame, ["order_id", "line_no", "net_revenue", "profit"]).collect()}
+    near = {r["ordinal"]: r.asDict() for r in C.approximate_column_stats(frame, ["order_id", "line_no", "net_revenue", "profit"]).collect()}
+    assert exact.keys() == near.keys()
+    for ordinal, row in exact.items():
+        assert row.keys() == near[ordinal].keys()
+        for name, value in row.items():
+            if name.startswith("n_") and name != "n_rows" and value is not None:
+                assert abs(near[ordinal][name] - value) <= max(1, 0.1 * value), (row["column_name"], name)
+            else:
+                assert near[ordinal][name] == value, (row["column_name"], name)

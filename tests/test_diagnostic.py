@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.operators import diagnostic as D
+from tallyscope.operators.shape import exact_quantiles
 from tests import frames
 
 
@@ -186,3 +187,27 @@ def test_group_totals_are_scanned_once(spark, tmp_path):
         plan = query._jdf.queryExecution().executedPlan().toString()
         final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
         assert "ReusedExchange" in final
+
+
+def test_exact_quantiles_of_many_and_few_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = {
+        "many": rng.normal(size=5000), "tied": rng.integers(0, 7, 4000).astype(float), "two": np.array([1.0, 4.0]),
+        "one": np.array([3.0]), "same": np.zeros(3000),
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("one", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.25, 0.5, 0.75):
+        found = exact_quantiles(frame.selectExpr("*", f"{share}D as share"), ["k"], "v", "share", "q", accuracy=500)
+        got = {r["k"]: r["q"] for r in found.collect()}
+        assert got.keys() == values.keys()
+        for k, vs in values.items():
+            assert abs(got[k] - np.quantile(vs, share)) < 1e-12, (k, share)
+
+
+def test_margin_flags_have_no_percentile_in_one_task(spark):
+    frame = frames.six_groups_12(spark)
+    plan = D.margin_flags(frame, "region")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan

@@ -48,3 +48,12 @@ def test_column_names_with_dots(spark):
     frame = spark.createDataFrame([(1, None)], "`a.b` int, `c d` string")
     assert rows(Q.missing_summary(frame)) == [("c d", 1, 100.0)]
     assert rows(Q.duplicate_rows(frame)) == [(0,)]
+
+
+def test_duplicates_tell_missing_columns_apart(spark):
+    nan = float("nan")
+    rows_ = [(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), ("a", None, nan), ("a", None, None)]
+    frame = spark.createDataFrame(rows_, "x string, y string, z double")
+    assert rows(Q.duplicate_rows(frame)) == [(2,)]
+    assert rows(Q.kpi_overview(frame)) == [(5, 3, 2, 3)]
+    assert rows(Q.kpi_overview(frame.limit(0))) == [(0, 3, 0, 0)]
