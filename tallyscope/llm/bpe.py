@@ -14,6 +14,8 @@ from struct import pack
 
 import numpy as np
 
+from tallyscope.llm.common import held
+
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 #: Anything else sends the whole text to the library.
 OTHER = re.compile("[^\t\n\r -~¡-±´-¸º»¿-įı-ſ]")
@@ -94,11 +96,9 @@ class Encoder(dict):
         return b"".join(b"".join(map(self.__getitem__, pieces)) for pieces in self.pieces(text))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(file: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+    encoders = held("encoders")
+    if file not in encoders:
+        encoders[file] = Encoder(file)
+    return encoders[file]

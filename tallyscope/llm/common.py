@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,30 @@ def scratch(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return memory that freed objects left in this worker to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_held: dict[str, dict] = {}
+
+
+def held(kind: str, make: Callable[[], dict] = dict) -> dict:
+    """This worker's cache of one kind. Workers serve one stage after the other: the caches of other
+    kinds are emptied first, and their memory goes back."""
+    if kind not in _held:
+        for other in _held.values():
+            other.clear()
+        _held.clear()
+        give_back()
+        _held[kind] = make()
+    return _held[kind]
+
+
 def text_bytes(text: Column | str = "text") -> Column:
     """The text as UTF-8 bytes, empty for null. Tasks take bytes, so that nothing is decoded twice."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

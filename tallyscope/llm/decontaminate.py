@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, scratch, ship, text_bytes
+from tallyscope.llm.common import documents, held, scratch, ship, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -103,14 +103,12 @@ def digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def _matcher(key: str, items: list[tuple[str | None, bytes]], window: int) -> Matcher:
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items, window)
-    return _matchers[key]
+    matchers = held("matchers")
+    if key not in matchers:
+        matchers.clear()
+        matchers[key] = Matcher(items, window)
+    return matchers[key]
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:

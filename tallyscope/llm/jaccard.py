@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, scratch, ship, text_bytes
+from tallyscope.llm.common import documents, give_back, held, scratch, ship, text_bytes
 from tallyscope.llm.components import components
 
 SHINGLE = 5
@@ -140,6 +140,7 @@ def features(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        held("word hashes", lambda: _hashes)
         for batch in batches:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             nodes = [node_of(x) if len(x) else None for x in sets]
@@ -175,6 +176,7 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def run(batches):
+        held("word hashes", lambda: _hashes)
         for batch in batches:
             prints, nodes, levels, seen, size = [], [], [], set(), 0
             for text in batch.column(0).to_pylist():
@@ -194,6 +196,7 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
                 yield packed(prints, nodes, levels)
 
     def shared(table: pa.Table) -> pa.Table:
+        give_back()  # what the bucket before this one left
         low, high, node, level = [], [], [], []
         for block in table["block"].to_pylist():
             k = len(block) // LISTED
@@ -286,6 +289,7 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
     found = rows.join(chosen, (F.xxhash64("text") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
 
     def run(batches):
+        held("word hashes", lambda: _hashes)
         seen = set()  # rows that repeat in a task are skipped
         for batch in batches:
             out = []
