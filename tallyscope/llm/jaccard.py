@@ -250,7 +250,7 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
 
 def enough() -> Column:
     """The number of shared groups that a class asks for."""
-    return F.get(F.array(*(F.lit(needed(i)) for i in range(64))), F.col("level").cast("int"))
+    return F.get(F.array(*(F.lit(needed(i)) for i in range(len(LEVELS)))), F.col("level").cast("int"))
 
 
 def small_pairs(listed: DataFrame) -> DataFrame:

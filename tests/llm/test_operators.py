@@ -335,6 +335,14 @@ def test_linked_sets_share_enough_listings():
                 assert any(shared[k] >= jaccard.needed(k) for k in shared)
 
 
+def test_pairs_of_every_size_class_are_kept(spark):
+    rows = []
+    for level in range(len(jaccard.LEVELS)):
+        rows += [(0, level, 2 * level, 1000, jaccard.needed(level)), (0, level, 2 * level + 1, 1000, jaccard.needed(level) - 1)]
+    listed = spark.createDataFrame(rows, "print long, level long, a long, b long, shares long")
+    assert sorted(r["a"] for r in jaccard.small_pairs(listed).collect()) == [2 * i for i in range(len(jaccard.LEVELS))]
+
+
 def test_language(docs, odd, empty):
     rows = docs.select("doc_id", "text", "lang")
     model = language.learn(language.training_rows(rows))
