@@ -4,15 +4,16 @@ Three base kinds are found by pattern: ``assign`` (a value given to a password-l
 (access identifiers) and ``hex`` (long hexadecimal keys). Three weak kinds mean little alone:
 ``ident`` (a user or account name), ``endpoint`` (a service address) and ``secret`` (a long mixed
 string). Parts are joined as intervals within a scope, a block of text without blank lines:
-a weak part is reported only if the nearest part before or after it that completes it lies in the same
-scope at most ``NEAR`` characters away without overlapping it. ``secret`` is completed by an access
+a weak part is reported only if a part that completes it lies before or after it in the same scope, at most
+``NEAR`` characters away and without overlapping it. ``secret`` is completed by an access
 identifier, an ``ident`` or an ``endpoint``; the other two by an assignment, a hex key or a ``secret``.
 Weak parts that overlap a base part are never reported.
 
 Matches are taken with their lengths and those of the pieces between them, so a running sum gives
-places. The interval join is a window over the parts of a text in order of their starts: each part
-sees the nearest complement on both sides, which is linear in the parts, never a list of pairs. One
-shuffle carries the parts, keyed by id and text; equal rows are folded before it and counted.
+places. The interval join is windows over the parts of a text: each part sees the last complement of a kind
+that ends before it and the first that starts behind it, which is linear in the parts, never a list of
+pairs. Parts of one kind don't overlap each other, so if the next one by place overlaps the weak part, the one
+beyond it doesn't. One shuffle carries the parts, keyed by id and text; equal rows are folded before it and counted.
 
 Null text counts as empty. Every row gets a result, repeated rows the same one, also with null
 ids. A text of any length is scanned whole. Other columns are ignored. Places are code points.
@@ -97,31 +98,43 @@ def _quoted(pattern: str) -> str:
 
 def link(found: DataFrame) -> DataFrame:
     """Places of all parts, and whether they are reported."""
-    order = Window.partitionBy("row_key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = found.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(order))
+    earlier = (Window.unboundedPreceding, -1)
+    of_kind = Window.partitionBy("row_key", "kind").orderBy("i")
+    rows = found.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(of_kind.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("start", F.col("end") - F.col("length"))
+    counted = [F.when(F.col("counts"), F.col(c)) for c in ("start", "end")]
+    later = Window.partitionBy("row_key", "kind").orderBy(F.desc("i")).rowsBetween(*earlier)
+    rows = rows.withColumn("end_before", F.last(counted[1], ignorenulls=True).over(of_kind.rowsBetween(*earlier)))
+    rows = rows.withColumn("start_after", F.last(counted[0], ignorenulls=True).over(later))
     # matches that don't count stay as rows without a kind, so that no text is lost
-    rows = rows.withColumns({"start": F.col("end") - F.col("length"), "kind": F.when(F.col("counts"), F.col("kind"))})
-    by_start = Window.partitionBy("row_key").orderBy("start", "kind", "end")
-    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_start.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("kind", F.when(F.col("counts"), F.col("kind")))
+    text = Window.partitionBy("row_key")
+    before = text.orderBy("start", "kind", "end").rowsBetween(*earlier)
+    # frames that grow from the end of the text: one that shrinks is computed anew for every row
+    behind = text.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(*earlier)
+    past = text.orderBy(F.desc("end"), F.desc("kind"), F.desc("start")).rowsBetween(*earlier)
     is_base = F.col("kind") < len(BASE)
-    rows = rows.withColumn("scope", F.coalesce(F.sum((F.col("kind") == NUMBER["scope"]).cast("int")).over(before), F.lit(0)))
-    place = F.struct("scope", "start", "end")
-    near = {}
-    for weak, others in COMPLETES.items():
-        complement = F.when(F.col("kind").isin([NUMBER[o] for o in others]), place)
-        near[f"{weak}_before"] = F.last(complement, ignorenulls=True).over(before)
-        near[f"{weak}_after"] = F.first(complement, ignorenulls=True).over(after)
-    near["base_end"] = F.max(F.when(is_base, F.col("end"))).over(before)
-    near["base_start"] = F.min(F.when(is_base, F.col("start"))).over(after)
+    is_scope = F.col("kind") == NUMBER["scope"]
+    near = {
+        "scope_start": F.max(F.when(is_scope, F.col("start"))).over(before),
+        "scope_end": F.min(F.when(is_scope, F.col("start"))).over(behind),
+        "base_end": F.max(F.when(is_base, F.col("end"))).over(before),
+        "base_start": F.min(F.when(is_base, F.col("start"))).over(behind),
+    }
+    for kind in sorted({k for others in COMPLETES.values() for k in others}):
+        of = F.col("kind") == NUMBER[kind]
+        near[f"{kind}_before"] = F.last(F.when(of, F.struct("end", F.col("end_before").alias("other"))), ignorenulls=True).over(before)
+        near[f"{kind}_after"] = F.last(F.when(of, F.struct("start", F.col("start_after").alias("other"))), ignorenulls=True).over(past)
     rows = rows.withColumns(near)
     reported = is_base
     clear = (F.coalesce("base_end", F.lit(-1)) <= F.col("start")) & (F.coalesce("base_start", F.col("end")) >= F.col("end"))
-    for weak in COMPLETES:
-        gap_before = F.col("start") - F.col(f"{weak}_before.end")
-        gap_after = F.col(f"{weak}_after.start") - F.col("end")
-        beside = F.coalesce((F.col(f"{weak}_before.scope") == F.col("scope")) & gap_before.between(0, NEAR), F.lit(False)) | F.coalesce(
-            (F.col(f"{weak}_after.scope") == F.col("scope")) & gap_after.between(0, NEAR), F.lit(False)
+    for weak, others in COMPLETES.items():
+        ends = [F.when(F.col(f"{k}_before.end") <= F.col("start"), F.col(f"{k}_before.end")).otherwise(F.col(f"{k}_before.other")) for k in others]
+        starts = [F.when(F.col(f"{k}_after.start") >= F.col("end"), F.col(f"{k}_after.start")).otherwise(F.col(f"{k}_after.other")) for k in others]
+        end, start = F.greatest(*ends), F.least(*starts)
+        # no part holds a line break, so it lies wholly before or behind the end of a scope
+        beside = F.coalesce((end > F.coalesce("scope_start", F.lit(-1))) & (F.col("start") - end <= NEAR), F.lit(False)) | F.coalesce(
+            (start < F.coalesce("scope_end", start + 1)) & (start - F.col("end") <= NEAR), F.lit(False)
         )
         reported = reported | ((F.col("kind") == NUMBER[weak]) & clear & beside)
     return rows.select("row_key", "doc_id", "copies", "kind", "start", "end", F.coalesce(reported, F.lit(False)).alias("reported"))

@@ -261,6 +261,40 @@ def test_weak_parts_need_a_complement(spark):
     assert text[1] == "[SECRET] then [SECRET] end" and text[2] == rows[1][1]
 
 
+def brute_weak(text):
+    """Kinds and places of all reported parts: every complement of a weak part is looked at."""
+    found = [(m.start(), m.end(), kind) for kind, pattern, _ in secrets.KINDS for m in re.finditer(pattern, text or "")
+             if {"assign": lambda: len(m[1]) >= 8, "access": lambda: len(m[0]) >= 16,
+                 "secret": lambda: re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}.get(kind, lambda: True)()]
+    def apart(a, b):
+        return max(a[0] - b[1], b[0] - a[1])
+
+    out = []
+    for part in found:
+        others = [x for x in found if x[2] in secrets.COMPLETES.get(part[2], ())]
+        near = [x for x in others if 0 <= apart(part, x) <= secrets.NEAR
+                and not any(s[2] == "scope" and min(part, x) < s < max(part, x) for s in found)]
+        clear = all(apart(part, x) >= 0 for x in found if x[2] in secrets.BASE)
+        if part[2] in secrets.BASE or part[2] != "scope" and clear and near:
+            out.append((part[0], [k for k, _, _ in secrets.KINDS].index(part[2]), part[1]))
+    return ",".join(f"{secrets.KINDS[k][0]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_a_part_inside_a_weak_part_hides_no_complement(spark):
+    random.seed(12)
+    pieces = ["user=deploy-user-2024-prod-eu", "password=Sup3rSecret99", "postgres://db.internal.example.com/service/prod/v2/main",
+              "AKIAABCDEFGH1234", "https://b.example/x?Signature=Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5", "0123456789abcdef" * 2, "x " * 190, "\n\n",
+              "login=ann", "https://h.example/a1234567890123456789012/b?k=c1234567890123456789012", "d1234567890123456789012", "word"]
+    rows = [" ".join(pieces[:2]), " ".join(pieces[2:0:-1]), " ".join(pieces[3:5])]
+    rows += [random.choice([" ", "", ";"]).join(random.choices(pieces, k=random.randint(1, 7))) for _ in range(1000)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(frame).collect()}
+    assert found[0] == "ident:0:29,assign:30:52" and found[1] == "endpoint:0:55,assign:56:78"
+    assert found[2].startswith("access:0:16,secret:")
+    for i, text in enumerate(rows):
+        assert found[i] == brute_weak(text), text
+
+
 def brute_components(rows):
     def items(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
