@@ -2,10 +2,9 @@
 
 Every letter gives the bigram it ends and the trigram it is the middle of, with anything but letters
 taken as one blank; grams are hashed to ``GRAMS`` slots. Counts come from a bounded sample: of each
-language about ``SAMPLE_ROWS`` whole training texts, chosen by a hash of the id; at most
-``MAX_LANGUAGES`` languages, the most frequent ones, are learned. So the log-probability matrix has at
-most ``GRAMS * MAX_LANGUAGES`` cells and is broadcast. Batches of texts are scored at once: rows of the
-matrix are gathered for all grams and summed per text.
+language about ``SAMPLE_ROWS`` whole training texts, chosen by a hash of the id. Every language is learned,
+``LANGUAGES`` at a time. The log-probability matrix, 262 KB a language, is broadcast. Batches of texts are
+scored at once: rows of the matrix are gathered for all grams and summed per text.
 
 A text that is null, empty or without letters is ``und`` with score 0; so is every text when nothing
 could be learned. A tie goes to the language first by name. Very long texts are scored slice by slice.
@@ -22,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, held_out, ship
+from tallyscope.llm.common import documents, held_out, scratch, ship
 
 GRAMS = 1 << 16
 SAMPLE_ROWS = 3000
-MAX_LANGUAGES = 64
+#: Languages whose counts the driver takes at a time.
+LANGUAGES = 64
 SMOOTHING = 0.1
 #: Matrix cells gathered at a time.
 CELLS = 1 << 22
@@ -62,43 +62,55 @@ def slices(text: str) -> Iterable[str]:
     return (text[i : i + SLICE] for i in range(0, len(text), SLICE)) if len(text) > SLICE else (text,)
 
 
-def learn(training: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def learn(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and their log-probabilities: (GRAMS + 1, languages), the priors in the last row.
 
     ``training`` has doc_id, text and lang, the latter never null.
     """
-    ship(training.sparkSession)
-    counts = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    names = sorted(r["lang"] for r in counts)
-    rows = {r["lang"]: r["count"] for r in counts}
+    spark = training.sparkSession
+    ship(spark)
+    rows = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
+    names = sorted(rows)
+    table = np.zeros((GRAMS + 1, len(names)), "f4")
     if not names:
-        return [], np.zeros((GRAMS + 1, 0), "f4")
-    share = [(n, min(1 << 30, int(sample_rows / rows[n] * (1 << 30)))) for n in names]
-    limit = F.coalesce(*(F.when(F.col("lang") == n, F.lit(s)) for n, s in share))
+        return [], table
+    share = [(n, i, min(1 << 30, int(sample_rows / rows[n] * (1 << 30)))) for i, n in enumerate(names)]
+    limits = F.broadcast(spark.createDataFrame(share, "lang string, number long, share long"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    sample = training.where(F.col("text").isNotNull() & (place < limit)).select("lang", "text").repartition(16)
+    sample = training.where(F.col("text").isNotNull()).join(limits, "lang").where(place < F.col("share"))
+    sample = sample.select("number", "text").repartition(16)
 
     def count(batches):
         totals = {}
         for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                into = totals.setdefault(lang, np.zeros(GRAMS, "i8"))
+            for number, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if number not in totals and len(totals) == LANGUAGES:
+                    yield from counted(totals)
+                    totals.clear()
+                into = totals.setdefault(number, np.zeros(GRAMS, "i8"))
                 for part in slices(text):
                     into += np.bincount(grams(part), minlength=GRAMS)
-        for lang, into in totals.items():
-            at = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at)), pa.array(at), pa.array(into[at])], names=["lang", "gram", "n"]
-            )
+        yield from counted(totals)
+
+    summed = sample.mapInArrow(count, "number long, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n"))
+    if len(names) > LANGUAGES:
+        summed = scratch(summed, "grams")
+    for first in range(0, len(names), LANGUAGES):
+        block = np.full((GRAMS, min(LANGUAGES, len(names) - first)), SMOOTHING)
+        found = summed.where(F.col("number").between(first, first + LANGUAGES - 1)).toArrow()
+        block[found["gram"].to_numpy(), found["number"].to_numpy() - first] += found["n"].to_numpy()
+        table[:-1, first : first + LANGUAGES] = np.log(block / block.sum(axis=0))
+    table[-1] = np.log([rows[n] / sum(rows.values()) for n in names])
+    return names, table
+
 
-    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = np.full((GRAMS, len(names)), SMOOTHING)
-    found = summed.toArrow()
-    at = {n: i for i, n in enumerate(names)}
-    column = np.array([at[x] for x in found["lang"].to_pylist()], "i8")
-    table[found["gram"].to_numpy(), column] += found["n"].to_numpy()
-    prior = np.log([rows[n] / sum(rows.values()) for n in names])
-    return names, np.vstack([np.log(table / table.sum(axis=0)), prior]).astype("f4")
+def counted(totals: dict[int, np.ndarray]) -> Iterable[pa.RecordBatch]:
+    """Numbers of languages, their grams and how often they occur."""
+    for number, into in totals.items():
+        at = np.flatnonzero(into)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(at), number, "i8")), pa.array(at), pa.array(into[at])], names=["number", "gram", "n"]
+        )
 
 
 def score(texts: list[str | None], names: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
@@ -149,7 +161,10 @@ def identify(
 
     def predict(batches):
         for batch in batches:
-            langs, scores = score(batch.column(batch.schema.get_field_index(text_column)).to_pylist(), *sent.value)
+            texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
+            step = max(1, CELLS // max(1, len(sent.value[0])))
+            parts = [score(texts[i : i + step], *sent.value) for i in range(0, len(texts), step)]
+            langs, scores = ([x for part in parts for x in part[k]] for k in range(2))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=[*kept, *out],

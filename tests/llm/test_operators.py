@@ -389,6 +389,21 @@ def test_language(docs, odd, empty):
     assert language.identify(odd, *language.learn(empty.select("doc_id", "text", "lang"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    random.seed(9)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        rows += [(100 * k + i, "".join(random.choices(letters, k=60)), f"l{k:02}") for i in range(8 if k else 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table = language.learn(frame)
+    assert len(names) == 70 and table.shape == (language.GRAMS + 1, 70)
+    assert np.allclose(np.exp(table).sum(axis=0)[:5], 1 + np.exp(table[-1, :5]), atol=1e-3)
+    told = language.identify(frame, names, table).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in told) and len(told) == len(rows)
+
+
 def test_toxicity(spark, odd, empty):
     random.seed(4)
     plain, toxic = [f"word{i}" for i in range(200)], ["vilething", "vileness", "nastyone"]
