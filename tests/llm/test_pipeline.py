@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+import math
+import zlib
+
 import corpus_pipeline
-from tallyscope.llm import decontaminate
+from tallyscope.llm import decontaminate, language
 from tallyscope.llm.queries import QUERIES
+from tests.llm.test_operators import WORD_BPE, brute_components, brute_weak, encoded, same, windows, words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,3 +36,63 @@ def test_stages(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+
+
+def letter_grams(text):
+    text = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    return [g for i, c in enumerate(text) if c != " " for g in (text[i - 1 : i + 1], text[i - 1 : i + 2])]
+
+
+def brute_told(rows):
+    """Rows whose language a naive Bayes model on plain counts is sure of."""
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for doc_id, text, lang in rows:
+        if lang is not None and zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 3 != 1:
+            n[lang] += 1
+            counts[lang].update(letter_grams(text))
+    total = {k: c.total() + language.SMOOTHING * language.GRAMS for k, c in counts.items()}
+    out = []
+    for doc_id, text, _ in rows:
+        if seen := letter_grams(text):
+            logs = [math.log(n[k]) + sum(math.log((counts[k][g] + language.SMOOTHING) / total[k]) for g in seen) for k in n]
+            if 1 / sum(math.exp(x - max(logs)) for x in logs) >= 0.5:
+                out.append((doc_id, text))
+    return out
+
+
+def brute_redacted(text):
+    out, at = "", 0
+    for span in filter(None, brute_weak(text).split(",")):
+        start, end = map(int, span.split(":")[1:])
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    bench = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    base = max((r["text"] for r in docs.limit(50).collect()), key=len)
+    made = [base, base + " and a near copy", "The passage: " + bench[0][1], "the user=deploy-user-2024-prod-eu password=Sup3rSecret99 of the house",
+            "AKIAABCDEFGH1234 https://b.example/x?Signature=Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5 is in the text", "123 456", "", None]
+    rows = [(9000 + i, t, None, "made", None) for i, t in enumerate(made)]
+    frame = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = brute_told([(r["doc_id"], r["text"], r["lang"]) for r in frame.collect()])
+    least = {i: smallest for i, _, smallest in brute_components(left)}
+    left = [row for row in left if least[row[0]] == row[0]]
+    known = windows(bench)
+    sizes = {len(k) for k in known}
+    held = [words(t) for _, t in left]
+    left = [row for row, w in zip(left, held) if not any(tuple(w[i : i + n]) in known for n in sizes for i in range(len(w) - n + 1))]
+    left = [(i, brute_redacted(t)) for i, t in left]
+    assert {9003, 9004} <= {i for i, _ in left} and not {9001, 9002, 9005, 9006, 9007} & {i for i, _ in left}
+    want = []
+    for doc_id, ids in encoded(left, WORD_BPE):
+        for i in range(0, len(ids), 2048):
+            part = ids[i : i + 2048]
+            want.append((doc_id, i // 2048, i, len(part), zlib.crc32(part.tobytes())))
+    same([tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()], want)
