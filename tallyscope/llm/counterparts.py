@@ -6,6 +6,7 @@ matches and joined. That costs far more than the operators do and is meant for s
 
 from __future__ import annotations
 
+from tallyscope.llm.fill_in_middle import SQL as FILL_IN_MIDDLE
 from tallyscope.llm.quality_rules import STOP_WORDS
 from tallyscope.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, NEAR, SCOPE, SECRET
 
@@ -134,4 +135,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and broken_rules = '' as kept, n_stop_words, broken_rules
 from judged"""
 
-SQL = {"op2_secret_scan": _secret_scan(), "op7_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}
+SQL = {"op2_secret_scan": _secret_scan(), "op7_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES, "op11_fill_in_middle": FILL_IN_MIDDLE}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tallyscope.llm.counterparts import SQL
+from tallyscope.llm.conversation_repair import op13_conversation_repair
 from tallyscope.llm.decontaminate import op7_decontaminate
+from tallyscope.llm.embedding_dups import op12_embedding_dups
+from tallyscope.llm.fill_in_middle import op11_fill_in_middle
 from tallyscope.llm.jaccard import op10_jaccard_components
 from tallyscope.llm.language import op3_language_id
 from tallyscope.llm.packing import op8_best_fit_packing
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_components": op10_jaccard_components,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_embedding_dups": op12_embedding_dups,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
