@@ -68,24 +68,35 @@ UNDERPERFORMING_SHARE = 0.6
 WEAK_EFFICIENCY_SHARE = 0.75
 
 
-def _group_totals(frame: DataFrame, metric: str, dimension: str, by: Sequence[str]) -> DataFrame:
-    """Sum and count per (by, group), the rows without a group included under a null group.
+def _group_totals(
+    frame: DataFrame, metric: str, dimension: str, by: Sequence[str], margins: tuple[str, str] | None = None
+) -> DataFrame:
+    """Sum and count per (by, group), the rows without a group included under a null group; with
+    ``margins`` (discount and profit column) their sums over the rows that have both.
 
     ``grouped`` marks the others. It is an aggregate, so a filter on it stays above the shuffle and
     every use of the totals reads the same shuffle output; a filter on ``group`` would move into
     the scan and make it another one.
     """
+    both = F.col("discount").isNotNull() & F.col("profit").isNotNull()
+    sums = [] if margins is None else [
+        F.sum(F.when(both, F.col("discount"))).cast("double").alias("discounts"),
+        F.count_if(both).alias("margin_rows"),
+        F.sum(F.when(both, F.col("profit"))).cast("double").alias("profits"),
+    ]
     return (
         frame.select(
             *columns_of(by),
             clean_dimension(frame, dimension).alias("group"),
             as_number(frame, metric).alias("metric"),
+            *(as_number(frame, name).alias(n) for n, name in zip(("discount", "profit"), margins or ())),
         )
         .groupBy(*columns_of(by), "group")
         .agg(
             F.sum("metric").alias("total"),
             F.count("metric").alias("row_count"),
             F.bool_or(F.col("group").isNotNull()).alias("grouped"),
+            *sums,
         )
     )
 
@@ -285,24 +296,15 @@ def margin_flags(frame: DataFrame, dimension: str, by: Sequence[str] = ()) -> Da
             *keys, F.lit("").alias("group"), none.alias("average_discount"),
             none.alias("total_profit"), none.alias("discount_cutoff"), none.alias("profit_cutoff"),
         )
-    groups = (
-        frame.select(
-            *keys,
-            clean_dimension(frame, dimension).alias("group"),
-            as_number(frame, discount).alias("__discount"),
-            as_number(frame, profit).alias("__profit"),
-        )
-        .dropna(subset=["group", "__discount", "__profit"])
-        .groupBy(*keys, "group")
-        .agg(
-            F.sum("__discount").cast("double").alias("__discounts"),
-            F.count("*").alias("__rows"),
-            F.sum("__profit").cast("double").alias("total_profit"),
-        )
-        .select(
-            *keys, "group", (F.col("__discounts") / F.col("__rows")).alias("average_discount"),
-            "total_profit",
-        )
+    return _flagged(_group_totals(frame, profit, dimension, by, (discount, profit)), by)
+
+
+def _flagged(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``margin_flags`` from the totals of all groups."""
+    keys = columns_of(by)
+    groups = totals.where("grouped and margin_rows > 0").select(
+        *keys, "group", (F.col("discounts") / F.col("margin_rows")).alias("average_discount"),
+        F.col("profits").alias("total_profit"),
     )
     measures = F.array(
         F.struct(F.lit(0.75).alias("__cut"), F.col("average_discount").alias("__cut_value")),
@@ -413,7 +415,16 @@ def diagnostic_facts(
     ``weak_named`` and ``margin_named`` say how many groups a sentence names; ``underperformers`` and
     ``margin_flags`` return all of them.
     """
-    totals = _group_totals(frame, metric, dimension, by)
+    margins = margin_columns(frame)
+    totals = _group_totals(frame, metric, dimension, by, margins)
+    return facts_of_totals(totals, metric, dimension, by, margins is not None, weak_named, margin_named)
+
+
+def facts_of_totals(
+    totals: DataFrame, metric: str, dimension: str, by: Sequence[str], margins: bool,
+    weak_named: int | None = 5, margin_named: int | None = 3,
+) -> DataFrame:
+    """``diagnostic_facts`` from the totals of all groups; ``margins`` says whether they carry margin sums."""
     facts = _key_summary(totals, by)
     order = [F.col("total").desc(), F.col("group").asc()]
     weak = first_rows(_under(_usable(totals), by), by, order, weak_named, "__place")
@@ -421,10 +432,10 @@ def diagnostic_facts(
         F.array_sort(F.collect_list(F.struct("__place", "group"))), lambda r: r["group"]
     )
     facts = attach(facts, weak.groupBy(*columns_of(by)).agg(names.alias("weak_groups")), by)
-    if margin_columns(frame) is None:
+    if not margins:
         facts = facts.withColumn("margin_groups", F.lit(None).cast("array<string>"))
     else:
-        flagged = first_rows(margin_flags(frame, dimension, by), by, [F.col("group").asc()], margin_named, "__place")
+        flagged = first_rows(_flagged(totals, by), by, [F.col("group").asc()], margin_named, "__place")
         facts = attach(
             facts, flagged.groupBy(*columns_of(by)).agg(names.alias("margin_groups")), by
         )

@@ -113,9 +113,7 @@ def _daily(frame: DataFrame, metric: str, date: str, by: Sequence[str]) -> DataF
     )
 
 
-def _periods(
-    frame: DataFrame, metric: str, date: str, by: Sequence[str], grain: str, drop_partial: bool
-) -> DataFrame:
+def _periods(days: DataFrame, by: Sequence[str], grain: str, drop_partial: bool) -> DataFrame:
     """Totals per period with the facts of the series on every row.
 
     Days without a usable value fall under a null period, so that a series with nothing usable
@@ -123,7 +121,6 @@ def _periods(
     serves the windows, the fold to periods and the fold to one row per series.
     """
     series = Window.partitionBy(*columns_of(by))
-    days = _daily(frame, metric, date, by)
     dated = F.when(F.col("day").isNotNull(), F.col("n_rows")).otherwise(0)
     rows = F.sum("n_rows").over(series)
     days = days.select(
@@ -157,7 +154,7 @@ def forecast_history(
     drop_partial: bool = False,
 ) -> DataFrame:
     """Total per present period. ``drop_partial`` leaves out the last, usually unfinished, one."""
-    periods = _periods(frame, metric, date, by, grain, drop_partial)
+    periods = _periods(_daily(frame, metric, date, by), by, grain, drop_partial)
     return periods.where("start is not null").select(
         *columns_of(by), "grain", F.col("start").cast("timestamp_ntz").alias("period"), "metric_value"
     )
@@ -295,12 +292,15 @@ def forecast(
     readiness_reason: str = "",
     drop_partial: bool = False,
     keep_history: bool = False,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key: status, messages, projected points, cards and findings.
 
-    The other functions of this module are projections of this row, for any number of series.
+    The other functions of this module are projections of this row, for any number of series. ``days``
+    are daily totals that are there already (``fold.daily_totals``); ``frame`` is not read then.
     """
-    periods = _periods(frame, metric, date, by, grain, drop_partial)
+    days = _daily(frame, metric, date, by) if days is None else days
+    periods = _periods(days, by, grain, drop_partial)
     state = _series(periods, by, keep_history)
     state = state.withColumn("horizon", F.lit(horizon).cast("long")).withColumn(
         "messages", _messages(horizon)

@@ -16,6 +16,7 @@ from tallyscope.functions.coerce import fixed_text
 from tallyscope.operators import diagnostic as D
 from tallyscope.operators import intelligence as I
 from tallyscope.operators import predictive as P
+from tallyscope.operators.fold import daily_totals, fold, group_totals
 from tallyscope.operators.shape import attach, columns_of, numbered_items
 from tallyscope.session import materialise
 
@@ -196,11 +197,14 @@ def chosen_columns(facts: DataFrame) -> dict:
     return row.asDict()
 
 
-def evidence(frame: DataFrame, chosen: dict, by: Sequence[str] = (), horizon: int = 6) -> DataFrame:
+def evidence(
+    frame: DataFrame, chosen: dict, by: Sequence[str] = (), horizon: int = 6, margin_named: int | None = 3
+) -> DataFrame:
     """One row per key: diagnostic facts as struct ``d`` and forecast as struct ``p``.
 
-    A layer that is not enabled stays a null struct. The rows are written once: rules, findings
-    and reports read them instead of the raw data.
+    A layer that is not enabled stays a null struct. One aggregate over the raw rows is written, the
+    layers are projections of it, and their rows are written again: rules, findings and reports read them.
+    ``margin_named`` bounds the groups that the margin rule names, None for all.
     """
     keys = columns_of(by)
     wanted_d = [
@@ -213,14 +217,22 @@ def evidence(frame: DataFrame, chosen: dict, by: Sequence[str] = (), horizon: in
         "volatility_text", "messages", "findings", "periods", "status_reason", "readiness_reasons",
     ]
     diagnosed = predicted = None
+    margins = D.margin_columns(frame) if chosen["diagnostic"] else None
+    if chosen["diagnostic"] or chosen["forecast"]:
+        folded = materialise(fold(
+            frame, by, margins=margins,
+            **({"dimension": chosen["dimension"], "metric": chosen["metric"]} if chosen["diagnostic"] else {}),
+            **({"date": chosen["forecast_date"], "dated_metric": chosen["forecast_metric"]} if chosen["forecast"] else {}),
+        ))
     if chosen["diagnostic"]:
-        diagnosed = D.diagnostic_facts(frame, chosen["metric"], chosen["dimension"], by).withColumn(
-            "margin_text", D.margin_text()
-        ).select(*keys, F.struct(*wanted_d).alias("d"))
+        diagnosed = D.facts_of_totals(
+            group_totals(folded, by), chosen["metric"], chosen["dimension"], by, margins is not None, margin_named=margin_named
+        ).withColumn("margin_text", D.margin_text()).select(*keys, F.struct(*wanted_d).alias("d"))
     if chosen["forecast"]:
         predicted = P.forecast(
             frame, chosen["forecast_metric"], chosen["forecast_date"], by, horizon=horizon,
             readiness_status=chosen["predictive_status"], readiness_reason=chosen["predictive_reason"],
+            days=daily_totals(folded, by),
         ).withColumn("volatility_text", P.volatility_text()).select(
             *keys, F.struct(*wanted_p).alias("p")
         )
@@ -315,10 +327,10 @@ def _rules(readiness_status: str) -> Column:
 
 
 def prescriptive(
-    frame: DataFrame, chosen: dict, by: Sequence[str] = (), horizon: int = 6
+    frame: DataFrame, chosen: dict, by: Sequence[str] = (), horizon: int = 6, margin_named: int | None = 3
 ) -> DataFrame:
     """One row per key: evidence, recommendations by priority, summary, findings, limitations."""
-    rows = evidence(frame, chosen, by, horizon)
+    rows = evidence(frame, chosen, by, horizon, margin_named)
     status = chosen["prescriptive_status"]
     if not chosen["prescriptive"]:
         nothing = F.array().cast("array<string>")

@@ -39,14 +39,16 @@ def attach(frame: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def first_rows(
-    frame: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, position: str
+    frame: DataFrame, by: Sequence[str], order: Sequence[Column], n: int | None, position: str
 ) -> DataFrame:
-    """The first ``n`` rows per key, numbered from 1.
+    """The first ``n`` rows per key, numbered from 1; all of them for None.
 
     Each task keeps at most ``n`` rows per key before anything is shuffled (take-ordered without
     keys, window group limit with keys), so neither a hot key nor an empty key list makes one task
     see a whole group.
     """
+    if n is None:
+        return number_rows(frame, by, order, position)
     if not by:
         frame = frame.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.partitionBy(*columns_of(by)).orderBy(*order))
