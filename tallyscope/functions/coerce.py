@@ -74,87 +74,91 @@ def parse_timestamp(text: Column) -> Column:
     return parse_stripped_timestamp(strip(text))
 
 
-def parse_stripped_timestamp(t: Column) -> Column:
-    """``parse_timestamp`` for text that is stripped already (the column is used many times).
-
-    A leading weekday is dropped, AM and PM become 24 hours, and years of two digits are those
-    from 1969 to 2068.
+# The parser of one stripped text ``t``, in steps that each compute a value once. ``shape`` names digits and letters by
+# kind: Y four digits, D eight, d one or two, m a word of three to nine letters, - for the separators / and ., all else
+# as it is, so that ``5 Jan 2025 10:30`` is ``d m Y d:d``. It tells the one form a text can have by comparisons of
+# prefixes, and only the rewriting of that form runs.
+_MAY_BE_DATE = (
+    r"^(?i)(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +)?"
+    r"(?:\d{1,4}[-/. ](?:\d|[a-z]{3,9}[.,]?[ -]\d)|\d{4}$|\d{8}(?:$|T)|[a-z]{3,9}[.]? +\d)"
+)
+_PLAIN = r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2})?$"
+_WEEKDAY = r"^(?i)(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +(?=[a-z0-9])"
+_HALF_DAY = r"^(?i)(.*[ T])(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?) ?([ap])\.?m\.?$"
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?(|[ T].*)$"
+_YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(|[ T].*)$"
+_SHORT_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(|[ T].*)$"
+_TIME_BETWEEN = r"^(?i)([a-z]{3,9}) +(\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?) (\d{4})$"
+_DAY_MONTH = r"^(?i)(\d{1,2})[ -]([a-z]{3,9})[.,]?[ -](\d{4})(|[ T].*)$"
+_MONTH_DAY = r"^(?i)([a-z]{3,9})[.]? (\d{1,2}),? (\d{4})(|[ T].*)$"
+
+
+def _starts(*heads: str) -> str:
+    """The shape is one of these, or goes on with a blank or a T."""
+    return "(" + " or ".join(f"x.shape = '{h}' or startswith(x.shape, '{h} ') or startswith(x.shape, '{h}a')" for h in heads) + ")"
+
+
+def _month(pattern: str, group: int) -> str:
+    found = f"instr('{MONTH_INITIALS}', lower(substring(regexp_extract(x.t, r'{pattern}', {group}), 1, 3)))"
+    return f"case when {found} % 3 = 1 then cast(cast(({found} + 2) / 3 as int) as string) end"
+
+
+def _named(pattern: str, year: int, month: int, day: int) -> str:
+    part = [f"regexp_extract(x.t, r'{pattern}', {i})" for i in (year, day, 4)]
+    return f"concat({part[0]}, '-', {_month(pattern, month)}, '-', {part[1]}, {part[2]})"
+
+
+def _moment(text: str) -> str:
+    return f"try_cast({text} as timestamp_ntz)"
+
+
+def _rewritten(pattern: str, to: str) -> str:
+    return f"regexp_replace(x.t, r'{pattern}', '{to}')"
+
+
+_CENTURY = f"case when try_cast(regexp_extract(x.t, r'{_SHORT_YEAR}', 3) as int) < 69 then '20' else '19' end"
+_FORMS = rf"""x -> case
+  when {_starts("Y-d-d")} then {_moment(_rewritten(_YEAR_FIRST, "$1-$2-$3$4"))}
+  when {_starts("d-d-Y")} then coalesce({_moment(_rewritten(_YEAR_LAST, "$3-$1-$2$4"))}, {_moment(_rewritten(_YEAR_LAST, "$3-$2-$1$4"))})
+  when {_starts("d-d-d")} and x.t rlike r'{_SHORT_YEAR}' then coalesce(
+    {_moment(f"concat({_CENTURY}, {_rewritten(_SHORT_YEAR, '$3-$1-$2$4')})")},
+    {_moment(f"concat({_CENTURY}, {_rewritten(_SHORT_YEAR, '$3-$2-$1$4')})")})
+  when x.shape = 'Y' then {_moment("x.t")}
+  when x.shape = 'D' then {_moment(_rewritten(r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))}
+  when startswith(x.shape, 'Da') and x.t rlike r'^\d{{8}}T\d{{6}}$' then
+    {_moment(_rewritten(r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"))}
+  when {_starts("Y-d")} then {_moment("regexp_replace(x.t, '[/.]', '-')")}
+  when startswith(x.shape, 'm ') and endswith(x.shape, ' Y') and x.t rlike r'{_TIME_BETWEEN}' then
+    {_moment(f"concat_ws('-', regexp_extract(x.t, r'{_TIME_BETWEEN}', 4), {_month(_TIME_BETWEEN, 1)}, {_rewritten(_TIME_BETWEEN, '$2 $3')})")}
+  when (startswith(x.shape, 'd m') or startswith(x.shape, 'd-m')) and x.t rlike r'{_DAY_MONTH}' then {_moment(_named(_DAY_MONTH, 3, 2, 1))}
+  when startswith(x.shape, 'm') and x.t rlike r'{_MONTH_DAY}' then {_moment(_named(_MONTH_DAY, 3, 1, 2))}
+end"""
+_LETTERS = "bcdefghijklmnopqrstuvwxyz"
+_SHAPE = f"translate(lower(t), '0123456789/.{_LETTERS}', '{'9' * 10}--{'a' * len(_LETTERS)}')"
+for _digits, _kind in (("9" * 8, "D"), ("9" * 4, "Y"), ("99", "d"), ("9", "d")):
+    _SHAPE = f"replace({_SHAPE}, '{_digits}', '{_kind}')"
+_HOUR = f"try_cast(regexp_extract(t, r'{_HALF_DAY}', 2) as int)"
+_FULL_DAY = f"""t -> case when lower(right(t, 1)) in ('m', '.') and t rlike r'{_HALF_DAY}' and {_HOUR} between 1 and 12 then concat(
+    regexp_extract(t, r'{_HALF_DAY}', 1),
+    lpad(cast({_HOUR} % 12 + if(lower(regexp_extract(t, r'{_HALF_DAY}', 4)) = 'p', 12, 0) as string), 2, '0'),
+    regexp_extract(t, r'{_HALF_DAY}', 3))
+  else t end"""
+_NO_WEEKDAY = f"t -> if(lower(left(t, 1)) in ('m', 't', 'w', 'f', 's'), regexp_replace(t, r'{_WEEKDAY}', ''), t)"
+_SHAPED = f"t -> named_struct('t', t, 'shape', regexp_replace({_SHAPE}, 'a{{3,9}}', 'm'))"
+
+
+def parse_stripped_timestamp(text: Column) -> Column:
+    """``parse_timestamp`` for text that is stripped already.
+
+    Texts that no date can start with are told apart first, and plain ISO texts are cast at once. Of the others
+    the shape names the form. A leading weekday is dropped, AM and PM become 24 hours, and years of two digits
+    are those from 1969 to 2068.
     """
-    t = F.regexp_replace(t, r"^(?i)(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +(?=[a-z0-9])", "")
-    half_day = r"^(?i)(.*[ T])(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?) ?([ap])\.?m\.?$"
-    hour = F.regexp_extract(t, half_day, 2).try_cast("int")
-    late = F.lower(F.regexp_extract(t, half_day, 4)) == "p"
-    full = F.concat(
-        F.regexp_extract(t, half_day, 1), F.lpad((hour % 12 + F.when(late, 12).otherwise(0)).cast("string"), 2, "0"),
-        F.regexp_extract(t, half_day, 3),
-    )
-    t = F.when(t.rlike(half_day) & hour.between(1, 12), full).otherwise(t)
-
-    def cast(rewritten: Column) -> Column:
-        return rewritten.try_cast("timestamp_ntz")
-
-    year_first = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?(|[ T].*)$"
-    year_last = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(|[ T].*)$"
-    short_year = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(|[ T].*)$"
-    time_in_between = r"^(?i)([a-z]{3,9}) +(\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?) (\d{4})$"
-    century = F.when(F.regexp_extract(t, short_year, 3).try_cast("int") < 69, "20").otherwise("19")
-    day_month_name = r"^(?i)(\d{1,2})[ -]([a-z]{3,9})[.,]?[ -](\d{4})(|[ T].*)$"
-    month_name_day = r"^(?i)([a-z]{3,9})[.]? (\d{1,2}),? (\d{4})(|[ T].*)$"
-
-    def month_number(pattern: str, group: int) -> Column:
-        position = F.instr(
-            F.lit(MONTH_INITIALS), F.lower(F.substring(F.regexp_extract(t, pattern, group), 1, 3))
-        )
-        return F.when(position % 3 == 1, ((position + 2) / 3).cast("int").cast("string"))
-
-    def joined(pattern: str, year: int, month: Column, day: int) -> Column:
-        return F.concat(
-            F.regexp_extract(t, pattern, year), F.lit("-"), month, F.lit("-"),
-            F.regexp_extract(t, pattern, day), F.regexp_extract(t, pattern, 4),
-        )
-
-    parsed = (
-        F.when(t.rlike(r"^\d{4}$"), cast(t))
-        .when(t.rlike(r"^\d{8}$"), cast(F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
-        .when(
-            t.rlike(r"^\d{8}T\d{6}$"),
-            cast(F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")),
-        )
-        .when(
-            t.rlike(short_year),
-            F.coalesce(
-                cast(F.concat(century, F.regexp_replace(t, short_year, "$3-$1-$2$4"))),
-                cast(F.concat(century, F.regexp_replace(t, short_year, "$3-$2-$1$4"))),
-            ),
-        )
-        .when(
-            t.rlike(time_in_between),
-            cast(
-                F.concat_ws(
-                    "-", F.regexp_extract(t, time_in_between, 4), month_number(time_in_between, 1),
-                    F.regexp_replace(t, time_in_between, "$2 $3"),
-                )
-            ),
-        )
-        .when(t.rlike(r"^\d{4}[-/.]\d{1,2}([ T].*)?$"), cast(F.regexp_replace(t, "[/.]", "-")))
-        .when(t.rlike(year_first), cast(F.regexp_replace(t, year_first, "$1-$2-$3$4")))
-        .when(
-            t.rlike(year_last),
-            F.coalesce(
-                cast(F.regexp_replace(t, year_last, "$3-$1-$2$4")),
-                cast(F.regexp_replace(t, year_last, "$3-$2-$1$4")),
-            ),
-        )
-        .when(
-            t.rlike(day_month_name),
-            cast(joined(day_month_name, 3, month_number(day_month_name, 2), 1)),
-        )
-        .when(
-            t.rlike(month_name_day),
-            cast(joined(month_name_day, 3, month_number(month_name_day, 1), 2)),
-        )
-    )
-    return F.when(F.length(t) >= 4, parsed)
+    steps = F.array(text)
+    for step in (_NO_WEEKDAY, _FULL_DAY, _SHAPED, _FORMS):
+        steps = F.call_function("transform", steps, F.expr(step))
+    plain = F.when(text.rlike(_PLAIN), text.try_cast("timestamp_ntz"))
+    return plain.when((F.length(text) >= 4) & text.rlike(_MAY_BE_DATE), F.get(steps, F.lit(0)))
 
 
 def epoch_nanos(value: Column) -> Column:

@@ -57,24 +57,46 @@ def schema_frame(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
+def date_like(filled: Column, parsed: Column, different: Column) -> Column:
+    """Whether a text column holds dates: most values parse, and they don't just repeat a few.
+
+    Different values are weighed against as many as a first look would see.
+    """
+    seen = F.least(filled, F.lit(V.DATE_SAMPLE_SIZE))
+    return F.coalesce(
+        (seen >= V.DATE_SAMPLE_MIN)
+        & (parsed / F.greatest(filled, F.lit(1)) >= V.DATE_SAMPLE_PARSED)
+        & (F.least(different, F.lit(V.DATE_SAMPLE_SIZE)) / F.greatest(seen, F.lit(1)) >= V.DATE_SAMPLE_DISTINCT),
+        F.lit(False),
+    )
+
+
+def bucket_of(kind: Column, dates: Column | None = None) -> Column:
+    """Bucket of a column; without ``dates`` text is judged by the columns non_empty, date_ok and n_distinct_clean."""
+    if dates is None:
+        dates = date_like(F.col("non_empty"), F.col("date_ok"), F.col("n_distinct_clean"))
+    return (
+        F.when(kind.isin("numeric", "datetime", "other"), kind)
+        .when((kind == "text") & dates, "datetime")
+        .otherwise("categorical")
+    )
+
+
 def column_profile(frame: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Bucket of every column: numeric, categorical, datetime or other.
 
-    Only text columns need data: the first 50 non-blank values, in the stated order or in scan
-    order. All text columns are unfolded in one pass; the group limit keeps 50 cells per column
-    and task before anything is shuffled.
+    Only text columns need data. In a stated order their first 50 non-blank values decide. Without one all
+    values do, in one aggregate without a shuffle of rows: the bucket doesn't depend on where a row lies.
     """
-    base = frame
     if order is None:
-        order = ["__scan_order"]
-        base = frame.withColumn("__scan_order", F.monotonically_increasing_id())
+        return _profile_of_all(frame)
     keys = [f"o{j}" for j in range(len(order))]
     labels = [
         (f"c{i}", f.name) for i, f in enumerate(frame.schema.fields) if kind_of(f.dataType) == "text"
     ]
     columns = schema_frame(frame)
     if labels:
-        cleaned = base.select(
+        cleaned = frame.select(
             *[quoted(c).alias(k) for c, k in zip(order, keys)],
             *[clean_text(quoted(name)).alias(label) for label, name in labels],
         )
@@ -92,24 +114,31 @@ def column_profile(frame: DataFrame, order: Sequence[str] | None = None) -> Data
                 F.count_distinct("value").alias("different"),
             )
         )
-        date_like = (
-            (F.col("sampled") >= V.DATE_SAMPLE_MIN)
-            & (F.col("parsed") / F.col("sampled") >= V.DATE_SAMPLE_PARSED)
-            & (F.col("different") / F.col("sampled") >= V.DATE_SAMPLE_DISTINCT)
-        )
         columns = columns.join(sampled, "ordinal", "left").withColumn(
-            "date_like", F.coalesce(date_like, F.lit(False))
+            "date_like", date_like(F.col("sampled"), F.col("parsed"), F.col("different"))
         )
     else:
         columns = columns.withColumn("date_like", F.lit(False))
-    bucket = (
-        F.when(F.col("kind").isin("numeric", "datetime", "other"), F.col("kind"))
-        .when(F.col("date_like"), "datetime")
-        .otherwise("categorical")
-    )
+    bucket = bucket_of(F.col("kind"), F.col("date_like"))
     return columns.select("ordinal", "column_name", "norm_name", bucket.alias("bucket"))
 
 
+def _profile_of_all(frame: DataFrame) -> DataFrame:
+    fields = [(i, f) for i, f in enumerate(frame.schema.fields) if kind_of(f.dataType) == "text"]
+    columns = schema_frame(frame)
+    cleaned = frame.select(*[clean_text(quoted(f.name)).alias(f"c{i}") for i, f in fields])
+    cells = cleaned.unpivot([], [f"c{i}" for i, _ in fields], "label", "value").where("value is not null") if fields else None
+    if cells is None:
+        facts = columns.select("ordinal", *[F.lit(0).alias(c) for c in ("non_empty", "date_ok", "n_distinct_clean")])
+    else:
+        facts = cells.groupBy(F.substring("label", 2, 9).cast("long").alias("ordinal")).agg(
+            F.count("*").alias("non_empty"),
+            F.count(parse_stripped_timestamp(F.col("value"))).alias("date_ok"),
+            F.theta_sketch_estimate(F.theta_sketch_agg(F.xxhash64("value"), 12)).alias("n_distinct_clean"),
+        )
+    return columns.join(facts, "ordinal", "left").select("ordinal", "column_name", "norm_name", bucket_of(F.col("kind")).alias("bucket"))
+
+
 def _cell(field: T.StructField) -> Column:
     """One value in the form that keeps it exact and cheap to group by."""
     value, kind = quoted(field.name), field.dataType
@@ -131,71 +160,14 @@ def _cell(field: T.StructField) -> Column:
     )
 
 
-def approximate_column_stats(
-    frame: DataFrame, order: Sequence[str] | None = None, error: float = 0.02
-) -> DataFrame:
-    """``column_stats`` with estimated distinct counts, in one map-side aggregate over the rows.
-
-    Every task sends one row of counters and mergeable sketches, whatever the number of rows and
-    different values. All other counts are exact; distinct values, times, days and months are off by
-    about ``error`` (relative standard deviation), and text is parsed in every row.
-    """
-    entries = []
-    for i, field in enumerate(frame.schema.fields):
-        kind, value = kind_of(field.dataType), quoted(field.name)
-        full, none = value, F.lit(None)
-        if isinstance(field.dataType, FLOATS):
-            full = not_nan(value)
-        elif kind == "other":
-            full = F.when(value.isNotNull(), "")
-        filled, at, numeric, counted = full, none.cast("timestamp_ntz"), F.lit(0), full
-        if kind == "text":
-            filled = counted = clean_text(value)
-            at, numeric = parse_stripped_timestamp(filled), F.count_if(filled.rlike(NUMBER_PATTERN))
-        elif kind == "datetime":
-            at = value.cast("timestamp_ntz")
-        elif kind in ("numeric", "boolean"):
-            numeric = F.count(full)
-            if kind == "numeric" and any(w in normalise_name(field.name) for w in V.DATE_WORDS):
-                at = epoch_nanos(full.cast("double"))
-
-        def different(x: Column) -> Column:
-            return F.approx_count_distinct(x, error)
-
-        def of_value(x: Column) -> Column:
-            return different(x) if kind != "other" else none
-
-        day = at.cast("date")
-        parts = {
-            "n_rows": F.count("*"), "non_null": F.count(full), "non_empty": F.count(filled),
-            "n_distinct": of_value(full),
-            "n_distinct_non_empty": of_value(F.when(filled.isNotNull(), full)) if kind == "text" else of_value(full),
-            "n_distinct_clean": of_value(counted), "numeric_ok": numeric, "date_ok": F.count(at),
-            "n_times": different(at), "n_days": different(day), "n_months": different(F.trunc(day, "month")),
-        }
-        entries.append(
-            F.struct(
-                F.lit(i).cast("long").alias("ordinal"), *[v.cast("long").alias(k) for k, v in parts.items()],
-                F.min(at).alias("min_at"), F.max(at).alias("max_at"),
-            )
-        )
-    facts = frame.agg(F.array(*entries).alias("entries")).select(F.inline("entries"))
-    names = ("n_rows", "non_null", "non_empty", "n_distinct", "n_distinct_non_empty", "n_distinct_clean",
-             "numeric_ok", "date_ok")
-    return column_profile(frame, order).join(facts, "ordinal").select(
-        "ordinal", "column_name", "norm_name", "bucket", *names, "min_at", "max_at",
-        whole_days(F.col("min_at"), F.col("max_at")).alias("depth_days"), "n_times", "n_days", "n_months",
-    )
-
-
 def column_stats(frame: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """One row per column: counts of present, blank, distinct, numeric and date values.
 
     Every row is unfolded into (column, value) cells and the cells are grouped, with map-side
     folding, so a value that fills a third of a column costs one row per task. Text is cleaned
-    and parsed once per different value. The later groupings count distinct cleaned texts,
-    times, days and months by a chain in which each key determines the next; they only carry
-    text and date columns on.
+    and parsed once per different value. The later groupings count distinct cleaned texts and times by a
+    chain in which each key determines the next, and days and months by bitmaps. Without a stated
+    order the buckets come from the same counts, so the table is read once.
     """
     fields = frame.schema.fields
     text_columns = [i for i, f in enumerate(fields) if kind_of(f.dataType) == "text"]
@@ -265,19 +237,28 @@ def column_stats(frame: DataFrame, order: Sequence[str] | None = None) -> DataFr
     by_time = by_text.groupBy("ordinal", "time_key", "day").agg(
         *carried, F.count("cleaned").alias("cleaned_texts")
     )
-    by_day = by_time.groupBy("ordinal", "day").agg(
+    # days of 1024 months fill one bitmap; there are as many rows as the calendar has such spans
+    month = F.year("day") * 12 + F.month("day")
+    place = F.pmod(month, F.lit(1024)).cast("long")
+    by_span = by_time.groupBy("ordinal", F.floor(month / 1024).alias("span")).agg(
         *carried,
         F.sum("cleaned_texts").alias("cleaned_texts"),
         F.count("time_key").alias("parsed_times"),
+        F.bitmap_construct_agg(place * 32 + F.dayofmonth("day")).alias("days"),
+        F.bitmap_construct_agg(place).alias("months"),
     )
-    by_column = by_day.groupBy("ordinal").agg(
+    by_column = by_span.groupBy("ordinal").agg(
         *carried,
         F.sum("cleaned_texts").alias("cleaned_texts"),
         F.sum("parsed_times").alias("parsed_times"),
-        F.count("day").alias("n_days"),
-        F.count_distinct(F.trunc("day", "month")).alias("n_months"),
+        F.sum(F.bitmap_count("days")).alias("n_days"),
+        F.sum(F.bitmap_count("months")).alias("n_months"),
     )
-    joined = column_profile(frame, order).join(by_column, "ordinal", "left")
+    if order is None:
+        own = by_column.withColumn("n_distinct_clean", F.col("cleaned_texts"))
+        joined = schema_frame(frame).join(own, "ordinal", "left").withColumn("bucket", bucket_of(F.col("kind")))
+    else:
+        joined = column_profile(frame, order).join(by_column, "ordinal", "left")
 
     def counted(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast("long")

@@ -49,8 +49,13 @@ def preview(frame: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     return frame.orderBy(*[quoted(c) for c in order]).limit(n)
 
 
+#: Bits of the filter of repeated hashes; its 2048 bitmaps of 4 KB are all that is broadcast.
+FILTER_BITS = 1 << 26
+BITMAP_BITS = 1 << 15
+
+
 def _hashed_rows(frame: DataFrame) -> DataFrame:
-    """Rows with missing values made alike (``c0``, ``c1``, ...) and a 128-bit hash of each."""
+    """Rows with missing values made alike (``c0``, ``c1``, ...), a 128-bit hash of each, and its gaps as 0 and 1."""
     rows = frame.select(*[present(frame, c).alias(f"c{i}") for i, c in enumerate(frame.columns)])
     # hashes skip nulls, so which columns are missing is hashed as well; + 0.0 makes -0.0 and 0.0 alike
     floats = (T.FloatType, T.DoubleType)
@@ -60,26 +65,37 @@ def _hashed_rows(frame: DataFrame) -> DataFrame:
     ]
     gaps = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in rows.columns])
     first, second = F.xxhash64(gaps, *values), F.xxhash64(*reversed(values), gaps, F.lit("second"))
-    return rows.select("*", F.struct(first.alias("a"), second.alias("b")).alias("__hash"))
+    return rows.select("*", F.struct(first.alias("a"), second.alias("b")).alias("__hash"), gaps.alias("__gaps"))
 
 
 def repeated_rows(frame: DataFrame) -> DataFrame:
     """Each row that occurs more than once, with its number of copies; missing equals missing.
 
-    Only hashes are shuffled at first, folded per task. Rows are compared as a whole, exactly, only
-    where a hash was seen more than once, folded per task again: a row that fills a third of the table
-    reaches a shuffle once per task.
+    Only hashes are shuffled at first, folded per task. The hashes seen more than once set bits of a filter of
+    fixed size, an aggregate, which every task of the second pass has: rows whose bit is not set stay where
+    they are, however many hashes repeat. The others are compared as a whole, exactly, folded per task
+    again: a row that fills a third of the table reaches a shuffle once per task.
     """
-    rows = _hashed_rows(frame)
-    seen = rows.groupBy("__hash").agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = rows.join(seen.select("__hash"), "__hash", "left_semi").drop("__hash")
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = _hashed_rows(frame).drop("__gaps")
+    seen = rows.groupBy("__hash").agg(F.count("*").alias("copies")).where("copies > 1").select("__hash")
+    bit = F.pmod(F.col("__hash.a"), F.lit(FILTER_BITS))
+    place, number = F.pmod(bit, F.lit(BITMAP_BITS)), F.floor(bit / BITMAP_BITS)
+    filled = seen.select(number.alias("__number"), place.alias("__place")).groupBy("__number").agg(
+        F.bitmap_construct_agg("__place").alias("__bits")
+    )
+    # at most FILTER_BITS / BITMAP_BITS rows of BITMAP_BITS / 8 bytes
+    placed = rows.withColumns({"__number": number, "__place": place}).join(F.broadcast(filled), "__number")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.col("__place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), F.col("__place") % 8).cast("int")) > 0
+    candidates = placed.where(is_set).drop("__number", "__place", "__bits", "__hash")
+    return candidates.groupBy(*candidates.columns).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def duplicate_rows(frame: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of identical rows."""
+    """Rows beyond the first of each set of identical rows, known by 128-bit hashes; one narrow shuffle."""
+    counts = _hashed_rows(frame).groupBy("__hash").agg(F.count("*").alias("copies"))
     surplus = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
-    return repeated_rows(frame).agg(surplus.cast("long").alias("duplicate_rows"))
+    return counts.agg(surplus.cast("long").alias("duplicate_rows"))
 
 
 def missing_summary(frame: DataFrame) -> DataFrame:
@@ -109,20 +125,18 @@ def missing_summary(frame: DataFrame) -> DataFrame:
 
 
 def kpi_overview(frame: DataFrame) -> DataFrame:
-    """Rows, columns, duplicates and columns with missing values.
+    """Rows, columns, duplicates and columns with missing values, from one pass over the rows.
 
-    Rows and gaps are counted where the table is scanned; only duplicates need a shuffle.
+    Rows are folded by hash; rows of one hash have the same gaps, which travel with it.
     """
-    gaps = [F.max(present(frame, c).isNull().cast("long")) for c in frame.columns]
-    with_gaps = sum((F.coalesce(g, F.lit(0)) for g in gaps), F.lit(0))
-    totals = frame.agg(
-        F.count("*").alias("total_rows"), with_gaps.cast("long").alias("columns_with_missing_values")
-    )
-    return totals.select(
-        "total_rows",
+    folded = _hashed_rows(frame).groupBy("__hash", "__gaps").agg(F.count("*").alias("copies"))
+    with_gap = [F.max((F.substring("__gaps", i + 1, 1) == "1").cast("long")) for i in range(len(frame.columns))]
+    with_gaps = sum((F.coalesce(g, F.lit(0)) for g in with_gap), F.lit(0))
+    return folded.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("total_rows"),
         F.lit(len(frame.columns)).cast("long").alias("total_columns"),
-        duplicate_rows(frame).scalar().alias("duplicate_rows"),
-        "columns_with_missing_values",
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
+        with_gaps.cast("long").alias("columns_with_missing_values"),
     )
 
 

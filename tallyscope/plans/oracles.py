@@ -801,7 +801,7 @@ def oracle_sql() -> dict[str, str]:
         f"case when {flag} then {quote(label)} end" for flag, label in I.SIGNAL_LABELS.items()
     )
     narrative = f"with {NARRATIVE}"
-    return {
+    out = {
         "csv_scan": f"""with {DIRTY} select {csv_columns},
           strftime(order_date, '%Y-%m-%d %H:%M:%S') order_date,
           nullif(quantity_text, 'n/a') quantity_text from dirty""",
@@ -812,6 +812,9 @@ def oracle_sql() -> dict[str, str]:
           order by order_id, line_no, net_revenue limit 10""",
         "dataset_summary": f"with {DIRTY} select count(*) row_count, cast(10 as bigint) column_count from dirty",
         "duplicate_rows": f"with {DIRTY} select count(*) - {distinct} duplicate_rows from dirty",
+        "repeated_rows": f"""with {DIRTY},
+          sets as (select count(*) copies from dirty group by {', '.join(c for c, _ in DIRTY_COLUMNS)})
+          select count(*) different_rows, cast(sum(copies) as bigint) copies from sets where copies > 1""",
         "missing_summary": f"""with {DIRTY} select column_name, missing_count,
           {round2('missing_count::double / n * 100')} missing_percentage
           from ({missing}) where missing_count > 0""",
@@ -826,6 +829,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "column_profile": f"""with {DIRTY}, {stats_cte('dirty', DIRTY_COLUMNS)}
           select cast(ordinal as bigint) ordinal, column_name, norm_name, bucket from stats""",
+        "column_profile_of_all": f"""with {DIRTY}, {stats_cte('dirty', DIRTY_COLUMNS)}
+          select cast(ordinal as bigint) ordinal, column_name, norm_name, bucket from stats""",
+        "column_stats_estimated": f"""with {DIRTY}, {stats_cte('dirty', DIRTY_COLUMNS)}
+          select cast(ordinal as bigint) ordinal, column_name, bucket, cast(n_rows as bigint) n_rows, non_null, non_empty,
+            cast(numeric_ok as bigint) numeric_ok, date_ok, min_at, max_at, cast(depth_days as bigint) depth_days, n_days, n_months,
+            true n_distinct_close, true n_distinct_non_empty_close, true n_distinct_clean_close, true n_times_close
+          from stats""",
         "column_stats": f"with {DIRTY}, {stats_cte('dirty', DIRTY_COLUMNS)} {STATS_SELECT}",
         "column_stats_business": on_stats(STATS_SELECT),
         "diagnostic_metric_columns": on_stats(columns_out + metric_rule(V.BUSINESS_WORDS)),
@@ -1019,3 +1029,4 @@ def oracle_sql() -> dict[str, str]:
         "narrative_short": f"""{narrative} select doc_id, k as position, item from (select *,
           row_number() over (partition by doc_id order by position) k from told) where k <= 4""",
     }
+    return out | {"readiness_estimated": out["readiness"]}

@@ -15,6 +15,7 @@ from tallyscope.operators import predictive as P
 from tallyscope.operators import prescriptive as X
 from tallyscope.operators import quality as Q
 from tallyscope.operators import report as R
+from tallyscope.operators import sketches as K
 from tallyscope.session import scratch_path
 from tallyscope.sources import csv_files as S
 from tallyscope.sources.tables import business, dirty, narratives, table
@@ -33,6 +34,18 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
     return I.dataset_facts(C.column_stats(business(spark, folder)))
 
 
+def _estimated(frame: DataFrame) -> DataFrame:
+    """Exact parts of the estimated statistics, and whether each estimate is within five percent."""
+    counts = ("n_distinct", "n_distinct_non_empty", "n_distinct_clean", "n_times")
+    exact = C.column_stats(frame).select("ordinal", *[F.col(c).alias(f"true_{c}") for c in counts])
+    rows = K.approximate_column_stats(frame).join(exact, "ordinal")
+    close = [(F.abs(F.col(c) - F.col(f"true_{c}")) <= F.col(f"true_{c}") * 0.08).alias(f"{c}_close") for c in counts]
+    return rows.select(
+        "ordinal", "column_name", "bucket", "n_rows", "non_null", "non_empty", "numeric_ok", "date_ok", "min_at", "max_at",
+        "depth_days", "n_days", "n_months", *close,
+    )
+
+
 def _csv_copy(spark: SparkSession, folder: str) -> str:
     """The dirty rows as CSV files in the shared folder."""
     path = scratch_path(spark, "csv")
@@ -127,6 +140,9 @@ def queries() -> dict[str, Query]:
         # quality
         "dataset_summary": on_dirty(Q.dataset_summary),
         "duplicate_rows": on_dirty(Q.duplicate_rows),
+        "repeated_rows": lambda s, d: Q.repeated_rows(dirty(s, d)).agg(
+            F.count("*").alias("different_rows"), F.sum("copies").alias("copies")
+        ),
         "missing_summary": on_dirty(Q.missing_summary),
         "kpi_overview": on_dirty(Q.kpi_overview),
         "preprocessing_summary": preprocessing,
@@ -136,7 +152,9 @@ def queries() -> dict[str, Query]:
         # columns
         "column_profile": on_dirty(C.column_profile, DIRTY_ORDER),
         "column_stats": on_dirty(C.column_stats, DIRTY_ORDER),
+        "column_profile_of_all": on_dirty(C.column_profile),
         "column_stats_business": on_business(C.column_stats),
+        "column_stats_estimated": lambda s, d: _estimated(dirty(s, d)),
         "diagnostic_metric_columns": on_stats(C.diagnostic_metric_columns),
         "forecast_metric_columns": on_stats(C.forecast_metric_columns),
         "dimension_columns": on_stats(C.dimension_columns),
@@ -151,6 +169,7 @@ def queries() -> dict[str, Query]:
         "target_support": on_facts(I.target_support),
         "decision_support": on_facts(I.decision_support),
         "readiness": on_facts(I.readiness),
+        "readiness_estimated": lambda s, d: I.readiness(I.dataset_facts(K.decided_column_stats(business(s, d)))),
         "diagnostic_options": on_facts(I.diagnostic_options),
         "forecast_options": on_facts(I.forecast_options),
         "prescriptive_options": on_facts(I.prescriptive_options),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyscope.operators import columns as C
 from tallyscope.sources.tables import dirty
 from tallyscope.operators import intelligence as I
+from tallyscope.operators import sketches as K
 from tests import frames
 
 
@@ -133,7 +134,7 @@ def test_stats_do_not_depend_on_partitions(spark):
 def test_estimated_statistics_differ_in_distinct_counts_only(spark):
     frame = dirty(spark, "/root/testdata/sf0.001")
     exact = {r["ordinal"]: r.asDict() for r in C.column_stats(frame, ["order_id", "line_no", "net_revenue", "profit"]).collect()}
-    near = {r["ordinal"]: r.asDict() for r in C.approximate_column_stats(frame, ["order_id", "line_no", "net_revenue", "profit"]).collect()}
+    near = {r["ordinal"]: r.asDict() for r in K.approximate_column_stats(frame).collect()}
     assert exact.keys() == near.keys()
     for ordinal, row in exact.items():
         assert row.keys() == near[ordinal].keys()
@@ -142,3 +143,65 @@ def test_estimated_statistics_differ_in_distinct_counts_only(spark):
                 assert abs(near[ordinal][name] - value) <= max(1, 0.1 * value), (row["column_name"], name)
             else:
                 assert near[ordinal][name] == value, (row["column_name"], name)
+
+
+def test_buckets_do_not_depend_on_partitions(spark):
+    """Dates stand together at one end, so that the first values of a task are all dates or none."""
+    days = [f"2025-01-{1 + i % 28:02d}" for i in range(900)]
+    frame = spark.createDataFrame(
+        [((days + ["x"] * 60)[i], (days[:700] + ["x"] * 260)[i], f"2025-01-0{1 + i // 480}", "x", " ") for i in range(960)],
+        "mostly string, partly string, few string, none string, blank string",
+    )
+    expected = {"mostly": "datetime", "partly": "categorical", "few": "categorical", "none": "categorical", "blank": "categorical"}
+    for parts in (1, 7, 64):
+        spread = frame.repartition(parts)
+        assert buckets(spread) == expected
+        assert {r.column_name: r.bucket for r in C.column_stats(spread).collect()} == expected
+        assert {r.column_name: r.bucket for r in K.decided_column_stats(spread).collect()} == expected
+
+
+def test_a_stated_order_keeps_the_first_values_rule(spark):
+    frame = spark.createDataFrame([(i, f"2025-01-{1 + i % 28:02d}" if i < 50 else "x") for i in range(200)], "i int, t string")
+    assert {r.column_name: r.bucket for r in C.column_profile(frame, ["i"]).collect()}["t"] == "datetime"
+    assert buckets(frame)["t"] == "categorical"
+
+
+def test_bitmaps_count_days_and_months_exactly(spark):
+    frame = spark.sql("select timestampadd(hour, cast(id * 7919 as int), timestamp_ntz'1890-01-31 23:00:00') as at from range(4000)")
+    days = {r["at"].date() for r in frame.collect()}
+    for stats in (C.column_stats(frame), K.approximate_column_stats(frame)):
+        r = stats.first()
+        assert (r.n_days, r.n_months) == (len(days), len({(d.year, d.month) for d in days}))
+        assert r.n_times == 4000
+
+
+def test_columns_near_a_bound_are_counted(spark):
+    """Shares of different values on both sides of 0.95 and 0.98, closer to it than a sketch can tell."""
+    n = 40_000
+    shares = {"a": 0.949, "b": 0.951, "c": 0.979, "d": 0.981, "e": 0.5, "f": 1.0}
+    frame = spark.range(n).select(*[(F.pmod(F.col("id"), F.lit(int(n * s)))).alias(c) for c, s in shares.items()])
+    exact = {r.column_name: r.n_distinct for r in C.column_stats(frame).collect()}
+    estimates = K.approximate_column_stats(frame)
+    near = {r.column_name for r in estimates.where(K.undecided()).collect()}
+    assert {"a", "b", "c", "d", "f"} <= near and "e" not in near
+    decided = K.decided_column_stats(frame)
+    assert [r.ordinal for r in decided.orderBy("ordinal").collect()] == list(range(6))
+    assert all(r.n_distinct == exact[r.column_name] for r in decided.collect() if r.column_name != "e")
+    for pick in (C.diagnostic_metric_columns, C.forecast_metric_columns, C.dimension_columns):
+        assert pick(decided).collect() == pick(C.column_stats(frame)).collect()
+
+
+def test_statistics_move_a_row_per_column_and_task(spark):
+    """No shuffle of the estimates grows with the rows."""
+    plan = K.approximate_column_stats(dirty(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning" in line and "ordinal" in line]
+    assert shuffles and all("text" not in line and "cleaned" not in line.split("hashpartitioning")[1] for line in shuffles)
+
+
+def test_statistics_of_several_datasets_are_those_of_each(spark):
+    data = {"a": frames.thirds_180(spark), "b": frames.text_dates_90(spark), "c": frames.grouped_6(spark)}
+    rows = K.stats_of_datasets(data)
+    for name, frame in data.items():
+        own = rows.where(F.col("dataset") == name).drop("dataset").orderBy("ordinal").collect()
+        assert own == K.approximate_column_stats(frame).orderBy("ordinal").collect()
+        assert own == C.column_stats(frame).orderBy("ordinal").collect()

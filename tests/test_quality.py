@@ -57,3 +57,37 @@ def test_duplicates_tell_missing_columns_apart(spark):
     assert rows(Q.duplicate_rows(frame)) == [(2,)]
     assert rows(Q.kpi_overview(frame)) == [(5, 3, 2, 3)]
     assert rows(Q.kpi_overview(frame.limit(0))) == [(0, 3, 0, 0)]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rows_by_filter(spark):
+    """2 and 60 percent of the rows repeated; every copy is found, and rows without a copy don't move."""
+    for repeated in (20, 600):
+        base = spark.range(1000).select(F.col("id"), F.concat(F.lit("t"), "id").alias("t"), F.lit(None).cast("double").alias("n"))
+        frame = base.unionByName(base.where(F.col("id") < repeated)).repartition(5)
+        found = {r["c0"]: r["copies"] for r in Q.repeated_rows(frame).collect()}
+        assert found == {i: 2 for i in range(repeated)}
+        assert rows(Q.duplicate_rows(frame)) == [(repeated,)]
+
+
+def test_filter_that_is_full_only_costs_time(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FILTER_BITS", 64)
+    monkeypatch.setattr(Q, "BITMAP_BITS", 32)
+    base = spark.range(1000).select("id")
+    frame = base.unionByName(base.where("id < 300"))
+    assert Q.repeated_rows(frame).count() == 300
+
+
+def test_whole_rows_move_behind_the_filter_only(spark):
+    frame = spark.range(100).select("id", F.uuid().alias("t"))
+    plan = plan_of(Q.repeated_rows(frame))
+    assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoop") >= 1 and "SortMergeJoin" not in plan
+
+
+def test_overview_reads_the_rows_once(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert plan_of(Q.kpi_overview(frame)).count("Scan parquet") == 1
+    assert plan_of(Q.duplicate_rows(frame)).count("Scan parquet") == 1
