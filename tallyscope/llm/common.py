@@ -80,6 +80,19 @@ def held(kind: str, make: Callable[[], dict] = dict) -> dict:
     return _held[kind]
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever its case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def plain_names(frame: DataFrame) -> DataFrame:
+    """Columns numbered, for ``mapInArrow``, which can't take names with dots."""
+    return frame.toDF(*(f"c{i}" for i in range(len(frame.columns))))
+
+
 def text_bytes(text: Column | str = "text") -> Column:
     """The text as UTF-8 bytes, empty for null. Tasks take bytes, so that nothing is decoded twice."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

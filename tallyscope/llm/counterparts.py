@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tallyscope.llm.fill_in_middle import SQL as FILL_IN_MIDDLE
 from tallyscope.llm.quality_rules import STOP_WORDS
-from tallyscope.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, NEAR, SCOPE, SECRET
+from tallyscope.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, SCOPE, SECRET
 
 
 def _text(value: str) -> str:
@@ -16,7 +16,7 @@ def _text(value: str) -> str:
 
 
 def _secret_scan() -> str:
-    """Every kind's matches with places from running sums; parts join their complements by place."""
+    """Every kind's matches with places from running sums; weak parts join all parts of their scope."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "endpoint": ENDPOINT, "secret": SECRET, "scope": SCOPE}
     cuts = " union all ".join(
         f"select r, {n} as k, '{kind}' as kind, regexp_extract_all(text, {_text(p)}) as ms, "
@@ -37,25 +37,16 @@ part as (
                   when 'secret' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
                   else true end),
 base as (select * from part where kind in ('assign', 'access', 'hex')),
+scoped as (
+  select *, count(*) filter (kind = 'scope') over (partition by r order by start, k, stop rows unbounded preceding) as scope from part),
 weak as (
-  select w.*, (select count(*) from part s where s.r = w.r and s.kind = 'scope' and s.start < w.start) as scope
-  from part w where w.kind in ('ident', 'endpoint', 'secret')
+  select w.* from scoped w where w.kind in ('ident', 'endpoint', 'secret')
     and not exists (select 1 from base b where b.r = w.r and b.start < w.stop and b.stop > w.start)),
-seen as (
-  select w.r, w.k, w.kind, w.start, w.stop, w.scope,
-    max(row(c.start, c.k, c.stop)) filter (row(c.start, c.k, c.stop) < row(w.start, w.k, w.stop)) as before,
-    min(row(c.start, c.k, c.stop)) filter (row(c.start, c.k, c.stop) > row(w.start, w.k, w.stop)) as behind
-  from weak w join part c on c.r = w.r and (
-    (w.kind = 'secret' and c.kind in ('access', 'ident', 'endpoint'))
-    or (w.kind in ('ident', 'endpoint') and c.kind in ('assign', 'hex', 'secret')))
-  group by all),
-near as (
-  select r, k, kind, start, stop, scope, unnest([before, behind]) as c from seen),
 linked as (
-  select distinct r, k, kind, start, stop from (
-    select *, c[1] as c_start, c[3] as c_stop from near where c is not null) n
-  where (c_stop <= start and start - c_stop <= {NEAR} or c_start >= stop and c_start - stop <= {NEAR})
-    and scope = (select count(*) from part s where s.r = n.r and s.kind = 'scope' and s.start < n.c_start)),
+  select distinct w.r, w.k, w.kind, w.start, w.stop from weak w join scoped c on c.r = w.r and c.scope = w.scope
+    and (c.stop <= w.start or c.start >= w.stop) and (
+      (w.kind = 'secret' and c.kind in ('access', 'ident', 'endpoint'))
+      or (w.kind in ('ident', 'endpoint') and c.kind in ('assign', 'hex', 'secret')))),
 spans as (select r, k, kind, start, stop from base union all select r, k, kind, start, stop from linked),
 sums as (
   select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,

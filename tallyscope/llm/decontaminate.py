@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, held, scratch, ship, text_bytes
+from tallyscope.llm.common import documents, held, plain_names, scratch, ship, text_bytes
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes that are no part of a word become blanks; A-Z become a-z.
 FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -211,7 +211,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     """The rows of ``docs``, all columns as they are, whose ``text`` has no window of the benchmark."""
     spark = docs.sparkSession
     ship(spark)
-    names, at = docs.columns, docs.columns.index("text")
+    names, at, schema = docs.columns, docs.columns.index("text"), docs.schema
 
     def without(sent, key):
         def run(batches):
@@ -224,7 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 
     for block in _blocks(benchmark, block_bytes):
         key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-        docs = docs.mapInArrow(without(spark.sparkContext.broadcast(block), key), docs.schema)
+        docs = plain_names(docs).mapInArrow(without(spark.sparkContext.broadcast(block), key), schema)
     return docs
 
 

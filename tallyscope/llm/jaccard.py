@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, give_back, held, scratch, ship, text_bytes
+from tallyscope.llm.common import documents, give_back, held, scratch, ship, text_bytes, unused
 from tallyscope.llm.components import components
 
 SHINGLE = 5
@@ -443,19 +443,20 @@ def representatives(docs: DataFrame) -> DataFrame:
     id stay only where their component has no id, all of them."""
     found = scratch(near_duplicates(docs), "near-duplicates")
     gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(text_bytes()))
+    key = unused(docs, "text_key_here")
+    keyed = docs.withColumn(key, F.xxhash64(text_bytes()))
 
     def same(other: DataFrame):
-        return (keyed["_key"] == other["text_key"]) & keyed["doc_id"].cast("long").eqNullSafe(other["doc_id"])
+        return (keyed[key] == other["text_key"]) & keyed["doc_id"].cast("long").eqNullSafe(other["doc_id"])
 
     kept = keyed.join(gone, same(gone), "left_anti")
     repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1")
     repeated = scratch(repeated.drop("count"), "repeated-rows")
     if repeated.isEmpty():
-        return kept.drop("_key")
-    several = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_key"])
+        return kept.drop(key)
+    several = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", key])
     single = kept.join(repeated, same(repeated), "left_anti")
-    return single.unionByName(several.join(gone, same(gone), "left_anti")).drop("_key")
+    return single.unionByName(several.join(gone, same(gone), "left_anti")).drop(key)
 
 
 def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

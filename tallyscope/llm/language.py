@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, held_out, scratch, ship
+from tallyscope.functions.naming import quoted
+from tallyscope.llm.common import documents, held_out, plain_names, scratch, ship, unused
 
 GRAMS = 1 << 16
 SAMPLE_ROWS = 3000
@@ -157,11 +158,11 @@ def identify(
     ship(spark)
     sent = spark.sparkContext.broadcast((names, table))
     kept = [c for c in docs.columns if c.lower() not in out]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
+    rows, at = docs.select(*(quoted(c) for c in kept)), kept.index(text_column)
 
     def predict(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
+            texts = batch.column(at).to_pylist()
             step = max(1, CELLS // max(1, len(sent.value[0])))
             parts = [score(texts[i : i + step], *sent.value) for i in range(0, len(texts), step)]
             langs, scores = ([x for part in parts for x in part[k]] for k in range(2))
@@ -171,7 +172,7 @@ def identify(
             )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"{out[0]} string, {out[1]} double"])
-    return rows.mapInArrow(predict, schema)
+    return plain_names(rows).mapInArrow(predict, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -180,8 +181,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language could be told."""
-    told = identify(docs, *model, out=("_lang_pred", "_lang_score"))
-    return told.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+    lang, score_ = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    told = identify(docs, *model, out=(lang, score_))
+    return told.where((F.col(lang) != UNDETERMINED) & (F.col(score_) >= least)).select(*(quoted(c) for c in docs.columns))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

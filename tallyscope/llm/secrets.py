@@ -4,8 +4,8 @@ Three base kinds are found by pattern: ``assign`` (a value given to a password-l
 (access identifiers) and ``hex`` (long hexadecimal keys). Three weak kinds mean little alone:
 ``ident`` (a user or account name), ``endpoint`` (a service address) and ``secret`` (a long mixed
 string). Parts are joined as intervals within a scope, a block of text without blank lines:
-a weak part is reported only if a part that completes it lies before or after it in the same scope, at most
-``NEAR`` characters away and without overlapping it. ``secret`` is completed by an access
+a weak part is reported only if a part that completes it lies before or after it in the same scope, without
+overlapping it, however far away (``near`` may bound that). ``secret`` is completed by an access
 identifier, an ``ident`` or an ``endpoint``; the other two by an assignment, a hex key or a ``secret``.
 Weak parts that overlap a base part are never reported.
 
@@ -24,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, text_bytes
+from tallyscope.functions.naming import quoted
+from tallyscope.llm.common import documents, text_bytes, unused
 
-NEAR = 400
 # Fixed patterns: the base kinds. Runs of hexadecimal digits below 32 are left out by the pattern itself.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -96,8 +96,9 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def link(found: DataFrame) -> DataFrame:
-    """Places of all parts, and whether they are reported."""
+def link(found: DataFrame, near: int | None = None) -> DataFrame:
+    """Places of all parts, and whether they are reported. The scope bounds where a complement may stand;
+    ``near`` bounds the characters between as well."""
     earlier = (Window.unboundedPreceding, -1)
     of_kind = Window.partitionBy("row_key", "kind").orderBy("i")
     rows = found.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(of_kind.rowsBetween(Window.unboundedPreceding, 0)))
@@ -115,7 +116,7 @@ def link(found: DataFrame) -> DataFrame:
     past = text.orderBy(F.desc("end"), F.desc("kind"), F.desc("start")).rowsBetween(*earlier)
     is_base = F.col("kind") < len(BASE)
     is_scope = F.col("kind") == NUMBER["scope"]
-    near = {
+    beside_parts = {
         "scope_start": F.max(F.when(is_scope, F.col("start"))).over(before),
         "scope_end": F.min(F.when(is_scope, F.col("start"))).over(behind),
         "base_end": F.max(F.when(is_base, F.col("end"))).over(before),
@@ -123,9 +124,9 @@ def link(found: DataFrame) -> DataFrame:
     }
     for kind in sorted({k for others in COMPLETES.values() for k in others}):
         of = F.col("kind") == NUMBER[kind]
-        near[f"{kind}_before"] = F.last(F.when(of, F.struct("end", F.col("end_before").alias("other"))), ignorenulls=True).over(before)
-        near[f"{kind}_after"] = F.last(F.when(of, F.struct("start", F.col("start_after").alias("other"))), ignorenulls=True).over(past)
-    rows = rows.withColumns(near)
+        beside_parts[f"{kind}_before"] = F.last(F.when(of, F.struct("end", F.col("end_before").alias("other"))), ignorenulls=True).over(before)
+        beside_parts[f"{kind}_after"] = F.last(F.when(of, F.struct("start", F.col("start_after").alias("other"))), ignorenulls=True).over(past)
+    rows = rows.withColumns(beside_parts)
     reported = is_base
     clear = (F.coalesce("base_end", F.lit(-1)) <= F.col("start")) & (F.coalesce("base_start", F.col("end")) >= F.col("end"))
     for weak, others in COMPLETES.items():
@@ -133,18 +134,20 @@ def link(found: DataFrame) -> DataFrame:
         starts = [F.when(F.col(f"{k}_after.start") >= F.col("end"), F.col(f"{k}_after.start")).otherwise(F.col(f"{k}_after.other")) for k in others]
         end, start = F.greatest(*ends), F.least(*starts)
         # no part holds a line break, so it lies wholly before or behind the end of a scope
-        beside = F.coalesce((end > F.coalesce("scope_start", F.lit(-1))) & (F.col("start") - end <= NEAR), F.lit(False)) | F.coalesce(
-            (start < F.coalesce("scope_end", start + 1)) & (start - F.col("end") <= NEAR), F.lit(False)
-        )
+        ahead = end > F.coalesce("scope_start", F.lit(-1))
+        after = start < F.coalesce("scope_end", start + 1)
+        if near is not None:
+            ahead, after = ahead & (F.col("start") - end <= near), after & (start - F.col("end") <= near)
+        beside = F.coalesce(ahead, F.lit(False)) | F.coalesce(after, F.lit(False))
         reported = reported | ((F.col("kind") == NUMBER[weak]) & clear & beside)
     return rows.select("row_key", "doc_id", "copies", "kind", "start", "end", F.coalesce(reported, F.lit(False)).alias("reported"))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, near: int | None = None) -> DataFrame:
     """One row per different row of ``docs``: row_key, doc_id, copies, and its spans in order."""
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("end").cast("long").alias("end"))
     return (
-        link(parts(docs))
+        link(parts(docs), near)
         .groupBy("row_key")
         .agg(
             F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"),
@@ -159,9 +162,9 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, near: int | None = None) -> DataFrame:
     """doc_id, counts of the base kinds, digest of base spans and all spans, for every row."""
-    rows = find_secrets(docs)
+    rows = find_secrets(docs, near)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == NUMBER[kind])).cast("long").alias(f"n_{kind}")
@@ -174,13 +177,14 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.drop("copy")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", near: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with every reported span of ``text`` replaced by ``mark``.
 
     Texts without spans, null ones included, stay as they are.
     """
-    spans = find_secrets(docs).where(F.size("spans") > 0).select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_key", row_key()).join(spans, "_key", "left")
+    key, found = unused(docs, "row_key"), unused(docs, "spans")
+    spans = find_secrets(docs, near).where(F.size("spans") > 0).select(F.col("row_key").alias(key), F.col("spans").alias(found))
+    joined = docs.withColumn(key, row_key()).join(spans, key, "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
@@ -189,8 +193,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         more = F.when(span["start"] >= done["at"], F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], more).alias("out"))
 
-    built = F.aggregate("_spans", start, step, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(built)).select(*docs.columns)
+    built = F.aggregate(found, start, step, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text"))))
+    return joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(built)).select(*(quoted(c) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

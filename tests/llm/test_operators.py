@@ -256,7 +256,9 @@ def test_weak_parts_need_a_complement(spark):
     rows = [(1, f"{key} then {weak} end"), (2, f"{weak} alone"), (3, f"{key}\n\n{weak}"), (4, f"{key} {'x ' * 400}{weak}"), (5, f"user=bob {weak}")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in secrets.report(frame).collect()}
-    assert found == {1: "access:0:20,secret:26:54", 2: "", 3: "access:0:20", 4: "access:0:20", 5: "ident:0:8,secret:9:37"}
+    assert found == {1: "access:0:20,secret:26:54", 2: "", 3: "access:0:20", 4: "access:0:20,secret:821:849", 5: "ident:0:8,secret:9:37"}
+    nearer = {r["doc_id"]: r["spans"] for r in secrets.report(frame, near=400).collect()}
+    assert nearer == found | {4: "access:0:20"}
     text = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
     assert text[1] == "[SECRET] then [SECRET] end" and text[2] == rows[1][1]
 
@@ -272,7 +274,7 @@ def brute_weak(text):
     out = []
     for part in found:
         others = [x for x in found if x[2] in secrets.COMPLETES.get(part[2], ())]
-        near = [x for x in others if 0 <= apart(part, x) <= secrets.NEAR
+        near = [x for x in others if 0 <= apart(part, x)
                 and not any(s[2] == "scope" and min(part, x) < s < max(part, x) for s in found)]
         clear = all(apart(part, x) >= 0 for x in found if x[2] in secrets.BASE)
         if part[2] in secrets.BASE or part[2] != "scope" and clear and near:

@@ -6,6 +6,8 @@ import collections
 import math
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyscope.llm import decontaminate, language
 from tallyscope.llm.queries import QUERIES
@@ -96,3 +98,20 @@ def test_run_equals_brute_force(spark, tmp_path):
             part = ids[i : i + 2048]
             want.append((doc_id, i // 2048, i, len(part), zlib.crc32(part.tobytes())))
     same([tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()], want)
+
+
+def test_stages_keep_the_callers_columns(spark):
+    """Columns named like inner ones keep their values and types through the stages that keep columns."""
+    names = ["_key", "_spans", "_lang_pred", "_lang_score", "text_key", "node", "row_key", "spans", "lang_pred", "lang_score", "text_key_here"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = [(F.col("doc_id") * 3 + i).cast("int").alias(n) if i % 2 else F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(names)]
+    docs = docs.select("*", F.array("doc_id").alias("a.b"), *extra)
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        kept = out.collect()
+        assert len(kept) > 100, name
+        for r in kept:
+            old = before[r["doc_id"]]
+            assert all(r[n] == old[n] for n in (*names, "a.b", "lang", "source")), name
