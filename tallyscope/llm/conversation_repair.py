@@ -52,6 +52,8 @@ CATCH_UP = (
     (INSERT, INSERT, 0, INSERT),
     (0, 2 * INSERT, INSERT, 0),
 )
+#: Keys of repeated rows that are broadcast; more are joined by key.
+BROADCAST_ROWS = 20_000
 CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 20
 OUT_ROWS, OUT_BYTES = 1024, 1 << 23
 NONE = -1
@@ -338,7 +340,9 @@ def ordered_rows(turns: DataFrame) -> DataFrame:
         .where(~F.col("f.first.turn").eqNullSafe(F.col("p.turn"))).select(*(F.col(f"p.{n}") for n in names))
     )
     # rows equal in all columns are folded, wherever there are any
-    several = places.where("n > 1")
+    several = places.where("n > 1").select(*names)
+    if several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
     once = rows.alias("r").join(several.alias("p"), _same("r", "p", *names), "left_anti")
     often = (
         rows.alias("r").join(several.alias("p"), _same("r", "p", *names), "left_semi")
