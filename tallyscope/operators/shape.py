@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyscope.functions.naming import quoted
 from tallyscope.session import materialise
 
+BRACKET_MISSED = "the sketch missed the quantile; raise the accuracy. Values of the key: "
+
 
 def columns_of(by: Sequence[str]) -> list[Column]:
     return [quoted(name) for name in by]
@@ -89,6 +91,24 @@ def number_rows(
     )
 
 
+def _bracket(keys: list[Column], frame: DataFrame, value: str, share: str, accuracy: int) -> DataFrame:
+    """Per key: rows, wanted rank from 0, and two values that should enclose the rank."""
+    margin = 3 / accuracy
+    shares = (0.25, 0.5, 0.75)
+    ends = [x for s in shares for x in (s - margin, s + margin)]
+    sketch = frame.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.first(share).alias("__share"), F.min(value).alias("__min"),
+        F.max(value).alias("__max"), F.percentile_approx(value, ends, accuracy).alias("__ends"),
+    )
+    at = F.when(F.col("__share") == shares[0], 0).when(F.col("__share") == shares[1], 2).otherwise(4)
+    large = F.col("__n") > accuracy
+    return sketch.select(
+        *keys, "__n", (F.col("__share") * (F.col("__n") - 1)).alias("__rank"),
+        F.when(large, F.get("__ends", at)).otherwise(F.col("__min")).alias("__low"),
+        F.when(large, F.get("__ends", at + 1)).otherwise(F.col("__max")).alias("__high"),
+    )
+
+
 def exact_quantiles(
     frame: DataFrame, by: Sequence[str], value: str, share: str, result: str, accuracy: int = 10_000
 ) -> DataFrame:
@@ -100,41 +120,40 @@ def exact_quantiles(
     away from the share enclose it wherever a key has more than ``accuracy`` rows; smaller keys are their
     own bracket. Values below the bracket are only counted, and the window sees the different values
     inside it: at most ``accuracy`` of a small key, and of a large one a few in ``accuracy``.
+
+    The bracket is proven by its counts: no more values than the rank says may lie below it, and as many
+    below and inside it. Should a sketch miss, the query fails and says so; it never returns a neighbour.
     """
-    keys, margin = columns_of(by), 3 / accuracy
-    shares = (0.25, 0.5, 0.75)
-    ends = [x for s in shares for x in (s - margin, s + margin)]
-    sketch = frame.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.first(share).alias("__share"), F.min(value).alias("__min"),
-        F.max(value).alias("__max"), F.percentile_approx(value, ends, accuracy).alias("__ends"),
+    keys, values = columns_of(by), frame.where(F.col(value).isNotNull())
+    placed = attach(values, _bracket(keys, values, value, share, accuracy), by)
+    # all values below the bracket are one row to count, and all above it
+    side = F.when(F.col(value) < F.col("__low"), -1).when(F.col(value) > F.col("__high"), 1).otherwise(0)
+    counts = (
+        placed.withColumn("__side", side)
+        .groupBy(*keys, "__side", F.when(F.col("__side") == 0, F.col(value)).alias("__value"))
+        .agg(F.count("*").alias("__count"), F.first("__rank").alias("__rank"), F.first("__n").alias("__n"))
     )
-    at = F.when(F.col("__share") == shares[0], 0).when(F.col("__share") == shares[1], 2).otherwise(4)
-    large = F.col("__n") > accuracy
-    sketch = sketch.select(
-        *keys, "__n", (F.col("__share") * (F.col("__n") - 1)).alias("__rank"),
-        F.when(large, F.get("__ends", at)).otherwise(F.col("__min")).alias("__low"),
-        F.when(large, F.get("__ends", at + 1)).otherwise(F.col("__max")).alias("__high"),
-    )
-    placed = attach(frame.where(F.col(value).isNotNull()), sketch, by)
-    # everything below the bracket is one value to count
-    inside = placed.where(F.col(value) <= F.col("__high")).withColumn(
-        "__value", F.when(F.col(value) >= F.col("__low"), F.col(value))
-    )
-    counts = inside.groupBy(*keys, "__value").agg(
-        F.count("*").alias("__count"), F.first("__rank").alias("__rank"), F.first("__n").alias("__n")
-    )
-    up_to = Window.partitionBy(*keys).orderBy(F.col("__value").asc_nulls_first())
+    up_to = Window.partitionBy(*keys).orderBy("__side", "__value")
     reached = F.sum("__count").over(up_to.rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.withColumn("__reached", reached)
+
+    def first_beyond(place: Column) -> Column:
+        return F.min(F.when(F.col("__reached") > place, F.struct("__side", "__value")))
+
     found = counts.groupBy(*keys).agg(
         F.first("__rank").alias("__rank"),
         F.first("__n").alias("__n"),
-        F.min(F.when(F.col("__reached") > F.floor("__rank"), F.col("__value"))).alias("__lower"),
-        F.min(F.when(F.col("__reached") > F.ceil("__rank"), F.col("__value"))).alias("__upper"),
+        first_beyond(F.floor("__rank")).alias("__lower"),
+        first_beyond(F.ceil("__rank")).alias("__upper"),
     )
+    missed = F.raise_error(F.concat(F.lit(BRACKET_MISSED), F.col("__n"))).cast("double")
+
+    def proven(neighbour: str) -> Column:
+        return F.when(F.col(neighbour)["__side"] == 0, F.col(neighbour)["__value"]).otherwise(missed)
+
     weight = F.col("__rank") - F.floor("__rank")
-    between = F.when(weight == 0, F.col("__lower")).otherwise(
-        (1 - weight) * F.col("__lower") + weight * F.col("__upper")
+    between = F.when(weight == 0, proven("__lower")).otherwise(
+        (1 - weight) * proven("__lower") + weight * proven("__upper")
     )
     return found.select(*keys, between.alias(result), F.col("__n").alias(f"{result}_count"))
 

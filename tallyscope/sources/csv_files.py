@@ -39,11 +39,17 @@ def source_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     )
 
 
-def _has_line_breaks_in_quotes(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """True when some line holds an odd number of quotes: a quoted field may go on in the next."""
-    lines = spark.read.text(list(paths))
+def open_quotes(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Files in which some line holds an odd number of quotes: a quoted field may go on in the next.
+
+    One pass over the lines, folded per file before anything is shuffled.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    files = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_or(quotes % 2 == 1).alias("open")
+    )
+    return sorted(r["file"] for r in files.where("open").collect())
 
 
 def scan_csv(
@@ -52,21 +58,29 @@ def scan_csv(
     """All columns as text, with the usual missing tokens as null.
 
     A quoted line break needs multi-line reading, which keeps a file in one task. Files are first
-    checked, whatever their size, and stay splittable when no quoted field crosses a line.
+    checked, whatever their size: only those with a line of odd quotes are read that way, all others
+    stay splittable. ``multi_line`` decides for all files instead.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if multi_line is None:
-        multi_line = _has_line_breaks_in_quotes(spark, paths)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("nullValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(paths)
-    )
+
+    def reader(whole_files: bool):
+        return (
+            spark.read.option("header", True)
+            .option("multiLine", whole_files)
+            .option("escape", '"')
+            .option("mode", "PERMISSIVE")
+            .option("nullValue", "")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
+
+    broken = open_quotes(spark, paths) if multi_line is None else []
+    raw = reader(bool(multi_line or broken)).csv(paths)
+    if broken:
+        # a filter on file paths prunes the listing, so each file is read by one of the two scans
+        file = F.col("_metadata.file_path")
+        split = reader(False).schema(raw.schema).csv(paths).where(~file.isin(broken))
+        raw = split.unionByName(raw.where(file.isin(broken)))
     return raw.select(
         *[F.when(~quoted(c).isin(*MISSING_TOKENS), quoted(c)).alias(c) for c in raw.columns]
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.operators import diagnostic as D
+from tallyscope.operators import shape
 from tallyscope.operators.shape import exact_quantiles
 from tests import frames
 
@@ -207,6 +208,21 @@ def test_exact_quantiles_of_many_and_few_values(spark):
             assert abs(got[k] - np.quantile(vs, share)) < 1e-12, (k, share)
 
 
+@pytest.mark.parametrize("low, high", [("-1e9D", "-1D"), ("3000D", "4000D"), ("1e8D", "1e9D")])
+def test_a_bracket_that_misses_the_rank_is_an_error(spark, monkeypatch, low, high):
+    bracket = shape._bracket
+
+    def wrong(*args):
+        return bracket(*args).withColumns({"__low": F.expr(low), "__high": F.expr(high)})
+
+    monkeypatch.setattr(shape, "_bracket", wrong)
+    frame = spark.range(10_000).selectExpr("'k' as k", "cast(id as double) as v", "0.25D as share")
+    with pytest.raises(Exception, match="sketch missed the quantile.*10000"):
+        exact_quantiles(frame, ["k"], "v", "share", "q").collect()
+    monkeypatch.setattr(shape, "_bracket", lambda *a: bracket(*a).withColumn("__low", F.expr("2400D")))
+    assert exact_quantiles(frame, ["k"], "v", "share", "q").first()["q"] == 2499.75
+
+
 def test_margin_flags_have_no_percentile_in_one_task(spark):
     frame = frames.six_groups_12(spark)
     plan = D.margin_flags(frame, "region")._jdf.queryExecution().optimizedPlan().toString()

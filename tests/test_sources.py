@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyscope.operators import columns as C
 from tallyscope.session import materialise, shared_folder
@@ -37,13 +38,36 @@ def test_types(spark, csv):
 
 
 def test_quoted_line_breaks_are_found_only_where_they_are(spark, csv, tmp_path):
-    assert S._has_line_breaks_in_quotes(spark, [csv])
+    assert [f.rsplit("/", 1)[1] for f in S.open_quotes(spark, csv)] == ["rows.csv"]
     plain = tmp_path / "plain.csv"
     plain.write_text('a,b\n1,"x ""y"" z"\n2,w\n')
-    assert not S._has_line_breaks_in_quotes(spark, [str(plain)])
+    assert not S.open_quotes(spark, [str(plain)])
     assert S.scan_csv(spark, str(plain), multi_line=False).count() == 2
 
 
+def test_a_stray_quote_leaves_the_other_files_splittable(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    for name, note in (("a b.csv", "plain"), ("b+1.csv", '"two\nlines"'), ("c%20.csv", "plain")):
+        rows = "".join(f"{name[0]}{i},{note}\n" for i in range(2000))
+        (folder / name).write_text("id,note\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        frame = S.scan_csv(spark, str(folder)).withColumn("task", F.spark_partition_id())
+        parts = frame.groupBy(F.substring("id", 1, 1).alias("file")).agg(
+            F.countDistinct("task").alias("tasks"), F.count("*").alias("n"),
+            F.count_if(F.col("note") == "two\nlines").alias("broken"),
+        )
+        got = {r.file: (r.tasks, r.n, r.broken) for r in parts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got["b"] == (1, 2000, 2000)
+    assert all(got[f][0] > 3 and got[f][1:] == (2000, 0) for f in "ac")
+    assert frame.select("id").distinct().count() == 6000
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"x" * 1023)
     (tmp_path / "b.csv").write_bytes(b"x" * 1536)
