@@ -6,6 +6,7 @@ in this module is a projection of that row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from tallyscope import fixed_values as V
 from tallyscope.functions.coerce import percent_text, ratio
 from tallyscope.functions.naming import has_word
 from tallyscope.operators import columns as C
+from tallyscope.operators.shape import columns_of
 
 # Reason texts and signal labels (%s = text, %d = whole number).
 DESCRIPTIVE_READY = (
@@ -125,8 +127,9 @@ def _usable_rules() -> tuple[Column, Column]:
     return usable_numeric, usable_category | usable_date
 
 
-def dataset_facts(stats: DataFrame) -> DataFrame:
-    """All evidence about a dataset in one row, from its column statistics."""
+def dataset_facts(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All evidence about a dataset in one row, from its column statistics; one row per key for the
+    statistics of several datasets."""
     name, bucket = F.col("norm_name"), F.col("bucket")
     usable_numeric, usable_dimension = _usable_rules()
     rate, periods, depth = _date_metrics()
@@ -138,7 +141,7 @@ def dataset_facts(stats: DataFrame) -> DataFrame:
     dates_last = F.when(is_date, 1).otherwise(0)
     numeric = bucket == "numeric"
 
-    folded = stats.agg(
+    folded = stats.groupBy(*columns_of(by)).agg(
         F.coalesce(F.max("n_rows"), F.lit(0)).alias("row_count"),
         F.count("*").alias("column_count"),
         _names(numeric).alias("numeric_columns"),
@@ -415,8 +418,8 @@ def type_scores(facts: DataFrame) -> DataFrame:
     )
 
 
-def dataset_type(facts: DataFrame) -> DataFrame:
-    return facts.select("dataset_type")
+def dataset_type(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return facts.select(*columns_of(by), "dataset_type")
 
 
 def datetime_support(facts: DataFrame) -> DataFrame:
@@ -451,7 +454,7 @@ def decision_support(facts: DataFrame) -> DataFrame:
     )
 
 
-def readiness(facts: DataFrame) -> DataFrame:
+def readiness(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per layer: status and reason."""
     layers = ("descriptive", "diagnostic", "predictive", "prescriptive")
     rows = F.array(
@@ -465,7 +468,7 @@ def readiness(facts: DataFrame) -> DataFrame:
             for i, layer in enumerate(layers)
         ]
     )
-    return facts.select(F.inline(rows))
+    return facts.select(*columns_of(by), F.inline(rows))
 
 
 def _allowed(layer: str) -> Column:
@@ -507,8 +510,9 @@ def diagnostic_options(facts: DataFrame) -> DataFrame:
     )
 
 
-def forecast_options(facts: DataFrame) -> DataFrame:
+def forecast_options(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return facts.select(
+        *columns_of(by),
         forecast_enabled().alias("enabled"),
         forecast_supported().alias("time_series_support"),
         F.array_join("forecast_metrics", ", ").alias("metric_columns"),
@@ -522,8 +526,9 @@ def forecast_options(facts: DataFrame) -> DataFrame:
     )
 
 
-def prescriptive_options(facts: DataFrame) -> DataFrame:
+def prescriptive_options(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return facts.select(
+        *columns_of(by),
         prescriptive_enabled().alias("enabled"),
         F.col("prescriptive_status").alias("readiness_status"),
         F.col("prescriptive_reason").alias("readiness_reason"),

@@ -178,3 +178,21 @@ def stats_of_datasets(frames: dict[str, DataFrame]) -> DataFrame:
         DataFrame.unionByName, [C.schema_frame(f).select(F.lit(name).alias("dataset"), "*") for name, f in frames.items()]
     )
     return _finished(schema, sketched(cells, ["dataset"]), ["dataset"])
+
+
+def decided_stats_of_datasets(frames: dict[str, DataFrame]) -> DataFrame:
+    """``stats_of_datasets`` on which every rule decides as on exact statistics: only undecided columns
+    are read again, and only from the datasets that have any."""
+    estimates = materialise(stats_of_datasets(frames))
+    again: dict[str, list[int]] = {}
+    for row in estimates.where(undecided()).select("dataset", "ordinal").collect():
+        again.setdefault(row["dataset"], []).append(row["ordinal"])
+    settled = estimates
+    for name, places in again.items():
+        fields = frames[name].schema.fields
+        exact = C.column_stats(frames[name].select(*[quoted(fields[i].name) for i in places]))
+        ordinals = F.get(F.array(*[F.lit(i).cast("long") for i in places]), F.col("ordinal").cast("int"))
+        settled = settled.where((F.col("dataset") != name) | ~F.col("ordinal").isin(places)).unionByName(
+            exact.withColumn("ordinal", ordinals).withColumn("dataset", F.lit(name))
+        )
+    return settled

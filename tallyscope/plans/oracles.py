@@ -267,6 +267,82 @@ REASONS = {
 }
 
 
+# tables profiled together: name, columns with their kinds in schema order
+TABLE_COLUMNS = {
+    "region": "r_regionkey numeric, r_name text",
+    "nation": "n_nationkey numeric, n_name text, n_regionkey numeric",
+    "supplier": "s_suppkey numeric, s_name text, s_nationkey numeric, s_acctbal numeric",
+    "customer": "c_custkey numeric, c_name text, c_nationkey numeric, c_acctbal numeric, c_mktsegment text",
+    "part": "p_partkey numeric, p_name text, p_brand text, p_type text, p_size numeric, p_retailprice numeric",
+    "orders": "o_orderkey numeric, o_custkey numeric, o_orderstatus text, o_totalprice numeric,"
+    " o_orderdate datetime, o_orderpriority text",
+    "lineitem": "l_orderkey numeric, l_partkey numeric, l_suppkey numeric, l_linenumber numeric, l_quantity numeric,"
+    " l_extendedprice numeric, l_discount numeric, l_tax numeric, l_returnflag text, l_linestatus text,"
+    " l_shipdate datetime",
+    "events": "event_id numeric, ts datetime, user_id numeric, event_type text, value numeric, props text",
+    "labels": "doc_id numeric, quality numeric, toxic numeric",
+}
+
+# The texts of every state, written out here so that a changed text in the library shows.
+_GAPS = f"""array_to_string(list_filter([
+  case when row_count < 60 then 'only ' || row_count || ' rows are available for pre-modeling checks' end,
+  case when diagnostic_status <> 'Ready'
+    then 'measurable fields and slice dimensions are not both established yet' end,
+  case when not date_column_present then 'no reliable datetime structure was confirmed'
+    when not time_strong then 'time depth is not strong enough yet for trustworthy forecasting-style readiness' end,
+  case when target_candidates = 0 then 'no plausible target-like outcome column was detected'
+    when not target_strong then 'the best outcome candidate has ' || target_rows || ' valid rows with ' || features
+      || ' supporting feature(s)' end], lambda x: x is not null), ', ')"""
+_SIGNALS = f"""coalesce(nullif(array_to_string(list_filter([
+  case when date_column_present then 'datetime evidence is partial (' || {PERCENT} || ' parse success across '
+    || time_periods || ' time periods)' end,
+  case when target_candidates > 0 then target_candidates || ' plausible target-like column(s) were detected' end],
+  lambda x: x is not null), '; '), ''), 'some early modeling signals exist')"""
+_CAUTION = """case when predictive_status <> 'Ready'
+  then ', predictive evidence is still being treated conservatively' else '' end"""
+STATE_REASONS = {
+    "descriptive": """'The dataset is valid tabular data with ' || row_count || ' rows and ' || column_count
+  || ' columns, so descriptive summaries and KPI reporting can be trusted.'""",
+    "diagnostic": """case
+  when len(usable_numeric) > 0 and len(usable_dimensions) > 0 then 'The dataset has ' || len(usable_numeric)
+    || ' measurable field(s) and ' || len(usable_dimensions)
+    || ' usable dimension(s), which supports slice-and-compare diagnostics.'
+  when len(usable_numeric) > 0 then 'The dataset has ' || len(usable_numeric)
+    || ' measurable field(s), but it still needs a reliable dimension for meaningful drill-down analysis.'
+  when len(usable_dimensions) > 0 then 'The dataset has ' || len(usable_dimensions)
+    || ' usable dimension(s), but it still needs at least one measurable field for diagnostic comparisons.'
+  else 'Diagnostic readiness is not established because measurable fields and explanatory dimensions were not'
+    || ' confirmed.' end""",
+    "predictive": f"""case
+  when predictive_status = 'Ready' and time_strong then 'Predictive readiness is Ready because `' || time_column
+    || '` parsed at ' || {PERCENT} || ', covers ' || time_periods || ' time periods, and spans ' || time_depth || ' days.'
+  when predictive_status = 'Ready' then 'Predictive readiness is Ready because `' || target_column
+    || '` looks like a plausible outcome with ' || target_rows || ' valid rows and ' || features
+    || ' supporting feature(s).'
+  when predictive_status = 'Conditional' then 'Predictive readiness is Conditional because ' || {_SIGNALS} || ', but '
+    || {_GAPS} || '.'
+  else 'Predictive readiness is Not Ready because ' || {_GAPS} || '.' end""",
+    "prescriptive": f"""case prescriptive_status
+  when 'Ready' then 'Prescriptive readiness is Ready because the dataset already shows strong outcome evidence plus '
+    || len(actionable) || ' actionable decision dimension(s) for future rule logic.'
+  when 'Conditional' then 'Prescriptive readiness is Conditional because ' || len(actionable)
+    || ' actionable dimension(s) were detected, ' || target_rows || ' valid outcome row(s) are available' || {_CAUTION}
+    || ', but stronger decision logic signals should be confirmed before anything is forced.'
+  else 'Prescriptive readiness is Not Ready because ' || case when category_dimension_detected
+    then 'category-style dimensions exist, but there is not yet enough trustworthy outcome evidence or actionable structure.'
+    else 'the dataset does not yet show enough actionable dimensions or dependable outcome support.' end end""",
+}
+
+
+def on_tables(select: str) -> str:
+    """The select over the facts ``e`` of each profiled table in turn."""
+    parts = []
+    for name, columns in TABLE_COLUMNS.items():
+        pairs = [tuple(c.split()) for c in columns.split(", ")]
+        parts.append(f"select '{name}' dataset, * from (with {stats_cte(name, pairs)}, {facts_cte()} {select})")
+    return " union all ".join(parts)
+
+
 def on_stats(select: str) -> str:
     return f"with {BUSINESS}, {stats_cte('business', BUSINESS_COLUMNS)} {select}"
 
@@ -680,16 +756,21 @@ rl as (select {k}cast(s as bigint) section_order, {titles} section, cast(i as bi
   from rl0)"""
 
 
-def report_text_sql() -> str:
-    return rules_head() + f", {report_ctes()}" + f""",
-se as (select section_order, any_value(section) || chr(10) || repeat('-', length(any_value(section))) || chr(10)
-  || string_agg('- ' || item, chr(10) order by item_order) body from rl group by section_order)
-select '{R.DEFAULT_TITLE}' || chr(10) || 'Dataset: business' || chr(10)
-  || 'Generated: 2001-08-01 00:00:00' || chr(10) || chr(10)
-  || string_agg(body, chr(10) || chr(10) order by section_order) || chr(10) report from se"""
+def report_text_sql(by=(), generated: str = "'2001-08-01 00:00:00'") -> str:
+    k = keys(by)
+    return rules_head(by) + f", {report_ctes(by)}" + f""",
+se as (select {k}section_order, any_value(section) || chr(10) || repeat('-', length(any_value(section))) || chr(10)
+  || string_agg('- ' || item, chr(10) order by item_order) body from rl group by {k}section_order)
+select {k}'{R.DEFAULT_TITLE}' || chr(10) || 'Dataset: business' || chr(10)
+  || 'Generated: ' || {generated} || chr(10) || chr(10)
+  || string_agg(body, chr(10) || chr(10) order by section_order) || chr(10) report from se""" + (
+        f" group by {', '.join(by)}" if by else ""
+    )
 
 
-def insight_sql() -> str:
+def facts_told(by=()) -> str:
+    """fa: the few facts per key, numbered."""
+    k = keys(by)
     outlook = message(R.OUTLOOK_LINE, "direction", f2("fv"), f2("la"))
     rows = [
         ("Dataset type", "'transactional'"),
@@ -699,18 +780,26 @@ def insight_sql() -> str:
         ("Predictive direction", outlook),
     ]
     selects = " union all ".join(
-        f"select cast({i + 1} as bigint) fact_order, {quote(kind)} kind, {x} fact from ev"
+        f"select {k}cast({i + 1} as bigint) fact_order, {quote(kind)} kind, {x} fact from ev"
         for i, (kind, x) in enumerate(rows)
     )
-    return rules_head() + (
-        f" {selects} union all select cast({len(rows)} + rr as bigint), 'Recommendation', priority || ' priority: ' ||"
-        " issue_detected || '. Action: ' || suggested_action from re where rr <= 2"
+    return rules_head(by) + (
+        f", fa as ({selects} union all select {k}cast({len(rows)} + rr as bigint), 'Recommendation', priority ||"
+        " ' priority: ' || issue_detected || '. Action: ' || suggested_action from re where rr <= 2)"
     )
 
 
+def summaries(by=()) -> str:
+    """fs: the same facts as one text per key."""
+    group = f" group by {', '.join(by)}" if by else ""
+    return facts_told(by) + f""",
+fs as (select {keys(by)}'Compact fallback summary' || chr(10) || chr(10)
+  || string_agg('- ' || kind || ': ' || fact, chr(10) order by fact_order) summary from fa{group})"""
+
+
 # --- narrative -------------------------------------------------------------------------------
 
-NARRATIVE = r"""
+STORIES = r"""
 parts as (select doc_id, string_split(text, chr(10)) l from documents),
 story as (select doc_id, concat_ws(chr(10),
   'ExecutiveSummary:', '- ' || l[1], '- ' || l[1], '', 'Key Insights :',
@@ -718,7 +807,10 @@ story as (select doc_id, concat_ws(chr(10),
   case when len(l) >= 6 then '1. ' || array_to_string(l[6:8], chr(10) || '2.  ') end,
   'RecommendedActions:',
   case when len(l) >= 9 then '- ' || array_to_string(l[9:], ' ..' || chr(10) || '-') end) narrative
-  from parts),
+  from parts),"""
+
+# story (doc_id, narrative) to kept items
+NARRATIVE_STEPS = r"""
 c1 as (select doc_id, regexp_replace(regexp_replace(replace(replace(narrative, chr(13) || chr(10), chr(10)),
   chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') t from story),
 c2 as (select doc_id, regexp_replace(regexp_replace(t, '(?m)^[-*•]\s*', '- ', 'g'),
@@ -754,13 +846,18 @@ told as (select doc_id, position, item from items where item not in (select titl
 uniq as (select *, trim(regexp_replace(lower(item), '[^a-z0-9]+', ' ', 'g')) norm from told
   qualify row_number() over (partition by doc_id, norm order by position) = 1)"""
 
+NARRATIVE = STORIES + NARRATIVE_STEPS
+
+# the counts behind the verdict on each text
 NARRATIVE_QUALITY = """,
 judged as (select doc_id, len(regexp_extract_all(item, '\\p{L}'))::double / length(item) < 0.45
   or length(item) < 8 or exists (select 1 from generate_series(1, length(item) - 4) g(i)
     where item[i:i+4] = repeat(item[i:i], 5)) bad from uniq),
 counted as (select d.doc_id, count(j.doc_id) u, count(*) filter (bad) m
-  from documents d left join judged j on d.doc_id = j.doc_id group by d.doc_id)
-select doc_id, u unique_count, m malformed_count, u >= 2 and m < greatest(2, u // 2) passes,
+  from story d left join judged j on d.doc_id = j.doc_id group by d.doc_id)
+"""
+
+QUALITY_SELECT = """ select doc_id, u unique_count, m malformed_count, u >= 2 and m < greatest(2, u // 2) passes,
   case when u = 0 then 'No usable AI content was produced.'
     when u < 2 then 'AI output is too thin to include in the report.'
     when m >= greatest(2, u // 2) then 'AI output looks malformed after cleanup.' else '' end reason
@@ -880,6 +977,35 @@ def oracle_sql() -> dict[str, str]:
             "select array_to_string(actionable, ', ') actionable_dimensions, cast(target_rows as bigint)"
             " valid_outcome_rows, decision_candidate candidate, decision_strong strong from e"
         ),
+        "readiness_by_table": on_tables(
+            " union all ".join(
+                f"select cast({i + 1} as bigint) layer_order, '{layer}' layer, "
+                + ("'Ready'" if layer == "descriptive" else f"{layer}_status")
+                + f" status, {reason} reason from e"
+                for i, (layer, reason) in enumerate(STATE_REASONS.items())
+            )
+        ),
+        "forecast_options_by_table": on_tables(
+            "select forecast_on enabled, len(forecast_metrics) > 0 and len(forecast_dates) > 0"
+            " time_series_support, array_to_string(forecast_metrics, ', ') metric_columns,"
+            " forecast_metrics[1] default_metric_column, array_to_string(forecast_dates, ', ')"
+            " datetime_columns, case when len(forecast_dates) = 1 then forecast_dates[1] end"
+            " default_datetime_column, 'Auto, Daily, Weekly, Monthly' grain_options,"
+            " '3, 6, 9, 12' horizon_options, predictive_status readiness_status,"
+            f" {STATE_REASONS['predictive']} readiness_reason from e"
+        ),
+        "prescriptive_options_by_table": on_tables(
+            "select prescriptive_status <> 'Not Ready' and (diagnostic_on or forecast_on) enabled,"
+            f" prescriptive_status readiness_status, {STATE_REASONS['prescriptive']} readiness_reason,"
+            " diagnostic_on diagnostic_enabled, forecast_on forecast_enabled from e"
+        ),
+        "dataset_type_by_table": on_tables(
+            "select case when greatest(" + ", ".join(f"{t}_score" for t in V.DATASET_TYPES) + ") <= 2 then"
+            " 'generic_tabular' " + " ".join(
+                f"when {t}_score = greatest(" + ", ".join(f"{u}_score" for u in V.DATASET_TYPES) + f") then '{t}'"
+                for t in V.DATASET_TYPES
+            ) + " end dataset_type from e"
+        ),
         "readiness": on_facts(
             " union all ".join(
                 f"select cast({i + 1} as bigint) layer_order, '{layer}' layer, "
@@ -1017,15 +1143,41 @@ def oracle_sql() -> dict[str, str]:
         "prescriptive_limitations": (
             "select cast(1 as bigint) limitation_order, cast('' as varchar) limitation where false"
         ),
+        # an order has one day, so its series is shorter than a forecast needs
+        "prescriptive_limitations_orders": f"""with {BUSINESS},
+          days as (select order_id, count(distinct cast(order_date as date)) n from business group by order_id),
+          told as (select order_id, [
+            'Predictive support is limited or unavailable, so recommendations lean more heavily on current-state diagnostic evidence.',
+            'Only ' || n || ' unique time periods are available after aggregation, which is below the minimum of 6.',
+            'Only ' || n || ' aggregated observations are available, so the series is too short for a cautious forecast.'
+            ] t from days where n < 6)
+          select order_id, cast(unnest([1, 2, 3]) as bigint) limitation_order, unnest(t) limitation from told""",
+        "prescriptive_limitations_lineitem": (
+            f"with {stats_cte('lineitem', [tuple(c.split()) for c in TABLE_COLUMNS['lineitem'].split(', ')])}, {facts_cte()}"
+            " select cast(1 as bigint) limitation_order, 'Recommendations are conditional because the evidence base is still maturing.' limitation from e"
+            " where prescriptive_status = 'Conditional' and forecast_on"
+        ),
         "report_lines": rules_head(region) + f", {report_ctes(region)} select * from rl",
         "report_text": report_text_sql(),
-        "insight_facts": insight_sql(),
+        "insight_facts": facts_told() + " select * from fa",
+        "fallback_summary_by_region": summaries(region) + " select * from fs",
+        "report_written": report_text_sql(
+            region, "case region when 'ASIA' then '2001-09-01 00:00:00' else '2001-08-01 00:00:00' end"
+        ),
+        "report_narrative": summaries(region) + f""",
+          story as (select region doc_id, summary narrative from fs), {NARRATIVE_STEPS}{NARRATIVE_QUALITY},
+          good as (select doc_id, u >= 2 and m < greatest(2, u // 2) passes from counted),
+          short as (select doc_id, row_number() over (partition by doc_id order by position) as position, item from told)
+          select doc_id region, cast(9 as bigint) section_order, 'AI Insight Summary' section,
+            cast(position as bigint) item_order, item
+          from (select * from items where doc_id in (select doc_id from good where passes)
+            union all select * from short where position <= 4 and doc_id in (select doc_id from good where not passes))""",
         "narrative_lines": f"""{narrative}, numbered as (select doc_id, pos, line from fixed)
           select doc_id, cast(pos as bigint) as position, line from numbered where line <> ''""",
         "narrative_sections": f"""{narrative} select doc_id, cast(sec as bigint) section_order,
           title section, k item_order, c item from capped join names using (sec)""",
         "narrative_items": f"{narrative} select doc_id, position, item from items",
-        "narrative_quality": narrative + NARRATIVE_QUALITY,
+        "narrative_quality": narrative + NARRATIVE_QUALITY + QUALITY_SELECT,
         "narrative_short": f"""{narrative} select doc_id, k as position, item from (select *,
           row_number() over (partition by doc_id order by position) k from told) where k <= 4""",
     }

@@ -18,10 +18,13 @@ from tallyscope.operators import report as R
 from tallyscope.operators import sketches as K
 from tallyscope.session import scratch_path
 from tallyscope.sources import csv_files as S
+from tallyscope.sources.report_text import read_report_text, write_report_text
 from tallyscope.sources.tables import business, dirty, narratives, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Tables whose readiness is judged in one job: some are Ready, some Conditional, some blocked.
+PROFILED = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "labels")
 DIRTY_ORDER = ["order_id", "line_no", "net_revenue", "profit"]
 
 
@@ -46,6 +49,11 @@ def _estimated(frame: DataFrame) -> DataFrame:
     )
 
 
+def _facts_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    frames = {name: table(spark, folder, name) for name in PROFILED}
+    return I.dataset_facts(K.decided_stats_of_datasets(frames), ["dataset"])
+
+
 def _csv_copy(spark: SparkSession, folder: str) -> str:
     """The dirty rows as CSV files in the shared folder."""
     path = scratch_path(spark, "csv")
@@ -73,6 +81,12 @@ def _prescriptive(spark: SparkSession, folder: str, by=()) -> DataFrame:
     return X.prescriptive(frame, chosen, by)
 
 
+def _limitations(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    frame = table(spark, folder, name)
+    chosen = X.chosen_columns(I.dataset_facts(K.decided_column_stats(frame)))
+    return X.prescriptive_limitations(X.prescriptive(frame, chosen))
+
+
 def _scan_types(spark: SparkSession, folder: str) -> DataFrame:
     return S.inferred_types(S.scan_csv(spark, _csv_copy(spark, folder)))
 
@@ -95,6 +109,9 @@ def queries() -> dict[str, Query]:
     def on_facts(op) -> Query:
         return lambda s, d: op(_facts(s, d))
 
+    def on_tables(op) -> Query:
+        return lambda s, d: op(_facts_by_table(s, d), ["dataset"])
+
     def on_forecast(op, by=(), **kwargs) -> Query:
         return lambda s, d: op(
             P.forecast(business(s, d), "net_revenue", "order_date", by, **kwargs), by
@@ -109,6 +126,8 @@ def queries() -> dict[str, Query]:
     def on_texts(op) -> Query:
         return lambda s, d: op(narratives(s, d), "doc_id", "narrative")
 
+    region = ["region"]
+
     def shown_report(s, d):
         run = R.assess(business(s, d), ["region"])
         return R.report_lines(R.report_sections(run, "business"), ["region"])
@@ -117,6 +136,21 @@ def queries() -> dict[str, Query]:
         run = R.assess(business(s, d))
         return R.report_text(R.report_sections(run, "business"), (), "business", "2001-08-01 00:00:00")
 
+    def written_reports(s, d):
+        """One report a region, written; then one region's is written anew, and all are read back."""
+        sections = R.report_sections(R.assess(business(s, d), region), "business")
+        path = scratch_path(s, "reports")
+        for stamp, chosen in (("2001-08-01 00:00:00", sections), ("2001-09-01 00:00:00", sections.where("region = 'ASIA'"))):
+            write_report_text(R.report_text(chosen, region, "business", stamp), path, region, replace=True)
+        return read_report_text(s, path, region)
+
+    def narrative_section(s, d):
+        """Each region's compact summary as the narrative of its report."""
+        run = R.assess(business(s, d), region)
+        story = N.narrative_for_report(R.fallback_summary(run), "region", "summary")
+        sections = R.report_sections(run, "business", narrative=story.withColumnRenamed("doc_id", "region"))
+        return R.report_lines(sections, region).where(F.col("section") == R.NARRATIVE_TITLE)
+
     def preview(s, d):
         rows = business(s, d).select(
             "order_id", "line_no", "order_date", "region", "segment",
@@ -130,7 +164,6 @@ def queries() -> dict[str, Query]:
         )
 
     money = ("net_revenue", "segment")
-    region = ["region"]
     return {
         # sources
         "csv_scan": lambda s, d: S.scan_csv(s, _csv_copy(s, d)),
@@ -173,6 +206,10 @@ def queries() -> dict[str, Query]:
         "diagnostic_options": on_facts(I.diagnostic_options),
         "forecast_options": on_facts(I.forecast_options),
         "prescriptive_options": on_facts(I.prescriptive_options),
+        "dataset_type_by_table": on_tables(I.dataset_type),
+        "readiness_by_table": on_tables(I.readiness),
+        "forecast_options_by_table": on_tables(I.forecast_options),
+        "prescriptive_options_by_table": on_tables(I.prescriptive_options),
         # diagnostic
         "grouped_comparison": on_business(D.grouped_comparison, *money),
         "grouped_comparison_dirty": on_dirty(D.grouped_comparison, "quantity_text", "segment"),
@@ -260,10 +297,15 @@ def queries() -> dict[str, Query]:
         "prescriptive_summary": on_rules(X.prescriptive_summary),
         "prescriptive_findings": on_rules(X.prescriptive_findings),
         "prescriptive_limitations": on_rules(X.prescriptive_limitations),
+        "prescriptive_limitations_orders": on_rules(X.prescriptive_limitations, ["order_id"]),
+        "prescriptive_limitations_lineitem": lambda s, d: _limitations(s, d, "lineitem"),
         # report and narrative
         "report_lines": shown_report,
         "report_text": report_text,
         "insight_facts": lambda s, d: R.insight_facts(R.assess(business(s, d))),
+        "report_written": written_reports,
+        "report_narrative": narrative_section,
+        "fallback_summary_by_region": lambda s, d: R.fallback_summary(R.assess(business(s, d), region)),
         "narrative_lines": on_texts(N.narrative_lines),
         "narrative_sections": on_texts(N.narrative_sections),
         "narrative_items": on_texts(N.narrative_items),

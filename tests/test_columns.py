@@ -205,3 +205,13 @@ def test_statistics_of_several_datasets_are_those_of_each(spark):
         own = rows.where(F.col("dataset") == name).drop("dataset").orderBy("ordinal").collect()
         assert own == K.approximate_column_stats(frame).orderBy("ordinal").collect()
         assert own == C.column_stats(frame).orderBy("ordinal").collect()
+
+
+def test_readiness_of_several_datasets_is_that_of_each(spark):
+    data = {"a": frames.thirds_180(spark), "b": frames.text_dates_90(spark), "c": frames.grouped_6(spark)}
+    facts = I.dataset_facts(K.decided_stats_of_datasets(data), ["dataset"])
+    for name, frame in data.items():
+        own = I.dataset_facts(C.column_stats(frame))
+        for part in (I.readiness, I.forecast_options, I.prescriptive_options, I.dataset_type):
+            got = part(facts, ["dataset"]).where(F.col("dataset") == name).drop("dataset")
+            assert sorted(map(str, got.collect())) == sorted(map(str, part(own).collect()))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.operators import columns as C
@@ -75,7 +76,7 @@ def test_one_key_equals_no_key(spark):
 
 def test_report(spark, tmp_path):
     from tallyscope.operators import narrative as N
-    from tallyscope.sources.report_text import write_report_text
+    from tallyscope.sources.report_text import read_report_text, write_report_text
 
     frame = frames.report_90(spark)
     run = R.assess(frame)
@@ -109,3 +110,10 @@ def test_report(spark, tmp_path):
     back = spark.read.text(path, wholetext=True).collect()
     assert {r.region for r in back} == {"North", "South", "West"}
     assert all(r.value.startswith("Business Insight Report\n") for r in back)
+    again = R.report_text(R.report_sections(by_region).where("region = 'West'"), ["region"], generated_at="later")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        write_report_text(again, path, ["region"])
+    write_report_text(again, path, ["region"], replace=True)
+    kept = {r.region: r.report for r in read_report_text(spark, path, ["region"]).collect()}
+    assert kept["West"] == again.first().report and "Generated: later" in kept["West"]
+    assert kept == {r.region: r.report for r in reports.where("region != 'West'").collect()} | {"West": kept["West"]}
