@@ -24,6 +24,11 @@ BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\
 WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 #: A place where any text may be cut without changing its pre-tokens.
 CUT = re.compile(r"[^\s](?= [A-Za-z])")
+#: The same for every script: before a blank and a letter, around single line breaks, or after an
+#: ideographic stop. Only letters that all Unicode versions know as such.
+CUT_SCRIPTS = re.compile(
+    r"[^\s](?= [A-Za-z\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u4e00-\u9fa5])|[^\s](?=\n[^\s])|[\u3001\u3002\uff0c](?=[\u4e00-\u9fa5\u3042\u30a2])"
+)
 CUT_EVERY = 1 << 20
 
 
@@ -38,11 +43,11 @@ def _byte_chars() -> dict[int, str]:
 BYTE_CHARS = _byte_chars()
 
 
-def cuts(text: str) -> Iterator[str]:
+def cuts(text: str, at: re.Pattern = CUT) -> Iterator[str]:
     """Very long texts in slices, cut where pre-tokens end; together they are the whole text."""
     start = 0
     while len(text) - start > CUT_EVERY:
-        found = CUT.search(text, start + CUT_EVERY)
+        found = at.search(text, start + CUT_EVERY)
         if found is None:
             break
         yield text[start : found.end()]
@@ -60,6 +65,8 @@ class Encoder(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # the library takes these strings out of a text first, longest first
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
         self.word_level = self.library.normalizer is not None
         self.pattern = WORD_LEVEL if self.word_level else BYTE_LEVEL
         self.entries = entries
@@ -90,6 +97,15 @@ class Encoder(dict):
         for part in cuts(text):
             yield self.pattern.findall(part)
 
+    def pieces_of_any(self, text: str) -> Iterator[list[str]]:
+        """Pre-tokens of a text in any script, slice by slice, split by the library's own normalizer and
+        pre-tokenizer, which know its character classes. The text holds no special token's string."""
+        normalizer, split = self.library.normalizer, self.library.pre_tokenizer.pre_tokenize_str
+        for part in cuts(text, CUT_SCRIPTS):
+            if normalizer is not None:
+                part = normalizer.normalize_str(part)
+            yield [part[a:b] for _, (a, b) in split(part)]
+
     def encode(self, text: str) -> bytes:
         if not self.plain(text):
             return self.whole(text)

@@ -5,21 +5,26 @@ size is bounded by a parameter. It is counted on a bounded sample of short docum
 decides what is quick: a count never depends on it. Tier two is a cache in each worker, bounded too,
 that the library fills with the pre-tokens met on the way.
 
+Both tiers hold pre-tokens of every script: Latin texts are split by a pattern here, all others by the
+library's own pre-tokenizer, and a special token's string inside a text counts as one token. No text is
+encoded whole.
+
 Null and empty texts have no tokens; very long texts are counted slice by slice, cut where
-pre-tokens end. Repeated rows are counted one by one. An empty table gives no rows.
+pre-tokens end (a text without any such place, one word a megabyte long, is one slice). Repeated rows are counted one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.bpe import encoder
+from tallyscope.llm.bpe import Encoder, encoder
 from tallyscope.llm.common import documents, fraction_of, ship, text_bytes
 
 TABLE_ENTRIES = 1 << 16
@@ -27,6 +32,16 @@ SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 16_384
 
 
+def pre_tokens(encode: Encoder, text: str) -> Iterator[list[str]]:
+    """The pre-tokens of a text, slice by slice, without special tokens."""
+    if encode.plain(text):
+        yield from encode.pieces(text)
+    else:
+        for part in encode.special.split(text):
+            if part:
+                yield from encode.pieces_of_any(part)
+
+
 def frequent_lengths(
     docs: DataFrame, tokenizer: str, entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
 ) -> bytes:
@@ -38,9 +53,8 @@ def frequent_lengths(
     sample = fraction_of(docs.select("doc_id", "text"), F.col("doc_id"), sample_docs, docs.count())
     sample = sample.where(F.octet_length("text") <= sample_bytes).limit(2 * sample_docs)
     for (text,) in sample.select("text").collect():
-        if encode.plain(text):
-            for pieces in encode.pieces(text):
-                counts.update(pieces)
+        for pieces in pre_tokens(encode, text):
+            counts.update(pieces)
     rows = [(p, len(encode[p]) // 4) for p, _ in counts.most_common(entries) if "\0" not in p]
     rows = [(p, n) for p, n in rows if n < 256]
     return zlib.compress("\0".join(p for p, _ in rows).encode()) + b"|" + bytes(n for _, n in rows)
@@ -65,9 +79,8 @@ class Lengths(dict):
         return n
 
     def count(self, text: str) -> int:
-        if not self.encode.plain(text):
-            return len(self.encode.whole(text)) // 4
-        return sum(sum(map(self.__getitem__, pieces)) for pieces in self.encode.pieces(text))
+        tokens = sum(sum(map(self.__getitem__, pieces)) for pieces in pre_tokens(self.encode, text))
+        return tokens + sum(1 for _ in self.encode.special.finditer(text))
 
 
 _lengths: dict[tuple[str, int], Lengths] = {}

@@ -102,6 +102,27 @@ def test_token_counts(request, name):
     same(token_counts.token_counts(frame, BYTE_BPE).collect(), want)
 
 
+@pytest.mark.parametrize("file", [BYTE_BPE, WORD_BPE])
+def test_pre_tokens_of_every_script_take_both_tiers(spark, monkeypatch, file):
+    random.seed(2)
+    scripts = [
+        "\u039a\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1 \u03ba\u03cc\u03c3\u03bc\u03b5", "\u041f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440!", "\u4f60\u597d\u3002\u4e16\u754c", "\u201ccurly\u201d it\u2019s \u2014 5\u20ac",
+        "\u0645\u0631\u062d\u0628\u0627", "\u05e9\u05dc\u05d5\u05dd", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35", "a\u0301 e\u0308", "\U0001f600\U0001f468\u200d\U0001f469", "\u00b2\u00bd \u0660\u0661", "\u00a0\u2003\u3000 x", "\u0130\u01c5 \ufb01",
+        "<|endoftext|>", " <|startoftext|> ", "<|endoftext", "plain words'll do\n\n", "\t \n",
+    ]
+    library = Tokenizer.from_file(file)
+    samples = ["".join(random.choices(scripts, k=random.randint(1, 9))) for _ in range(3000)]
+    samples += [("\u041f\u0440\u0438\u0432\u0435\u0442 \u4f60\u597d\u3002\u4e16\u754c\n" * 200), "\u4e16" * 3000, *scripts]
+    monkeypatch.setattr(bpe, "CUT_EVERY", 50)
+    monkeypatch.setattr(bpe.Encoder, "whole", lambda self, text: pytest.fail("sent whole"))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(samples[:400])], "doc_id long, text string")
+    table = token_counts.frequent_lengths(frame, file)
+    lengths = token_counts.Lengths(table, file, entries=100)
+    assert any(ord(c) > 0x400 for piece in lengths.first for c in piece)
+    for text in samples:
+        assert lengths.count(text) == len(library.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "empty"])
 def test_shards(request, name):
     frame = request.getfixturevalue(name)
