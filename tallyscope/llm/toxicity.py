@@ -85,12 +85,19 @@ def language_of(packed: np.ndarray) -> int:
     return int(counts.argmax()) if counts.any() else len(LANGUAGE_WORDS)
 
 
-def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word and prefix buckets of texts with two blanks after each, and the texts' starts."""
-    gap = np.array([PAD | PAD << 16] * 2)
-    packed = np.concatenate([*(x for t in texts for x in (t, gap)), gap])  # an empty last text has a window, too
-    starts = np.cumsum([0, *(len(t) + 2 for t in texts[:-1])])
-    return packed & 0xFFFF, packed >> 16 & 0xFFFF, starts
+def joined(texts: list[np.ndarray], ends_here: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and prefix buckets of texts with three blanks after each, and the bounds of their windows:
+    the first window and the one past the last of each text in turn.
+
+    The last window of a text is all blank, so an empty text has one, too, and none reaches into the next
+    text. A piece that doesn't end its text stops where the next piece begins.
+    """
+    gap = np.array([PAD | PAD << 16] * 3)
+    packed = np.concatenate([*(x for t in texts for x in (t, gap)), gap])
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum([0, *(sizes[:-1] + 3)])
+    ends = starts + sizes + (1 if ends_here is None else np.where(ends_here, 1, -2))
+    return packed & 0xFFFF, packed >> 16 & 0xFFFF, np.stack([starts, ends], axis=1).ravel()
 
 
 def offsets() -> list[tuple[int, int]]:
@@ -146,15 +153,14 @@ class Network:
                     setattr(self, k, (now - change - RATE * DECAY * now).astype("f4"))
 
     def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-        own, begin, starts = joined(texts)
+        own, begin, bounds = joined(texts)
         x = self.embed[own] + self.embed[begin]
         pooled, at = [], []
         for i, width in enumerate(WIDTHS):
             first = offsets().index((width, 0))
             y = sum(x[j : len(x) - 2 + j] @ self.filters[first + j] for j in range(width)) + self.bias[i]
-            top = np.maximum.reduceat(y, starts, axis=0)
-            ends = np.append(starts[1:], len(y))
-            where = np.array([y[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)])
+            top = np.maximum.reduceat(y, bounds, axis=0)[::2]
+            where = np.array([y[a:b].argmax(axis=0) + a for a, b in bounds.reshape(-1, 2)])
             pooled.append(np.maximum(top, 0))
             at.append(where)
         hidden = np.stack(pooled, axis=1)  # texts, widths, filters
@@ -177,20 +183,21 @@ class Network:
         return grads
 
 
-def pieces(packed: np.ndarray) -> Iterator[np.ndarray]:
-    """Slices of a long text, each beginning with the last two words of the one before."""
-    yield packed[:BLOCK_WORDS]
+def pieces(packed: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """Slices of a long text, each beginning with the last two words of the one before, and whether it is
+    the last."""
+    yield packed[:BLOCK_WORDS], len(packed) <= BLOCK_WORDS
     for i in range(BLOCK_WORDS, len(packed), BLOCK_WORDS):
-        yield packed[i - 2 : i + BLOCK_WORDS]
+        yield packed[i - 2 : i + BLOCK_WORDS], i + BLOCK_WORDS >= len(packed)
 
 
 def chances(texts: list[np.ndarray], product: np.ndarray, bias: np.ndarray, out: np.ndarray, base: float) -> np.ndarray:
     """The chance of each text, from the product of embeddings and filters."""
     top = np.zeros((len(texts), len(WIDTHS), FILTERS), "f4")
-    block, owners, size = [], [], 0
+    block, owners, lasts, size = [], [], [], 0
 
     def flush() -> None:
-        own, begin, starts = joined(block)
+        own, begin, bounds = joined(block, lasts)
         y = product[own] + product[begin]
         column = 0
         for i, width in enumerate(WIDTHS):
@@ -198,15 +205,16 @@ def chances(texts: list[np.ndarray], product: np.ndarray, bias: np.ndarray, out:
                 y[j : len(y) - 2 + j, column + j * FILTERS : column + (j + 1) * FILTERS] for j in range(width)
             )
             column += width * FILTERS
-            here = np.maximum.reduceat(total, starts, axis=0)
+            here = np.maximum.reduceat(total, bounds, axis=0)[::2]
             np.maximum.at(top[:, i], owners, here)
-        block.clear(), owners.clear()
+        block.clear(), owners.clear(), lasts.clear()
 
     for i, text in enumerate(texts):
-        for part in pieces(text):
+        for part, last in pieces(text):
             block.append(part)
             owners.append(i)
-            size += len(part) + 2
+            lasts.append(last)
+            size += len(part) + 3
             if size >= BLOCK_WORDS:
                 flush()
                 size = 0
