@@ -8,7 +8,9 @@ A text's set holds the 64-bit hashes of its distinct five-word shingles. Two set
    ``needed`` groups that aren't empty. Each set is listed under the fingerprints of its groups, in its own
    size class and the next (a set with more empty groups than the margin is listed under them as well, so
    nothing is lost). Listings go through one shuffle as packed blocks; fingerprints that a single set has
-   are dropped there.
+   are dropped there. A task that meets a fingerprint in more than ``SMALL`` sets of a block already knows
+   it is a large one: it leaves ``SMALL`` + 1 of them in the fingerprint's bucket and deals the rest out by
+   set. So a bucket gets a bounded number a block, whatever share of the corpus has one fingerprint.
 2. Up to ``SMALL`` sets under one fingerprint give their pairs, counted over fingerprints; pairs that share
    fewer groups than linked sets must are dropped, the others compared exactly.
 3. Of more sets under one fingerprint, the one that shares most is the pivot, and every other is compared
@@ -16,7 +18,8 @@ A text's set holds the 64-bit hashes of its distinct five-word shingles. Two set
    the sets under a print still lie in several components, the sets with its pivot are points of counts in
    ``DIMENSIONS`` groups. Trees of boxes over parts of about ``PART`` points are joined: the summed coordinate
    minima of two boxes, then of two points, bound the overlap. Surviving pairs are compared exactly. Pairs
-   inside one component are never made.
+   inside one component are never made, and parts of the largest component never meet each other. Rows
+   of one print are joined in ``SALTS`` shares.
 4. Components come from the links by large and small stars.
 
 A tree over whole documents would not prune: sets of one size overlap in every low dimension. The
@@ -45,7 +48,10 @@ PART = 1000
 LEAF = 32
 BLOCK_BYTES = 24 << 20
 LISTED = 14  # bytes of a listing: 5 of the fingerprint, 8 of the set, 1 of the size class
+DEALT = 17  # bytes of a listing that is dealt by its set: 8, 8 and 1
 FLUSH = 1 << 19
+#: Shares in which the rows of one print are joined.
+SALTS = 16
 #: Sets whose documents are looked up by a broadcast of this many rows at most; beyond, by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -158,22 +164,35 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
     (print, a) for the sets under a large one, b then being null."""
     buckets = max(64, total_shingles * 2 // 3 * LISTED // BLOCK_BYTES)
 
-    def packed(prints: list[np.ndarray], nodes: list[int], levels: list[int]) -> pa.RecordBatch:
-        p = np.concatenate(prints)
-        n, level = (np.repeat(np.array(x, t), [len(y) for y in prints]) for x, t in ((nodes, "i8"), (levels, "u1")))
-        bucket = ((p >> np.uint64(40)) % np.uint64(buckets)).astype("i8")
+    def block_rows(bucket: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+        """Buckets, and for each its rows of ``parts`` one after the other as bytes."""
         order = np.argsort(bucket, kind="stable")
-        p, n, level, bucket = p[order], n[order], level[order], bucket[order]
+        bucket, parts = bucket[order], [x[order] for x in parts]
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
         blocks, start = [], 0
         for end in ends:
-            part = p[start:end]
-            high = (part >> np.uint64(32)).astype("u1")
-            blocks.append(
-                part.astype("<u4").tobytes() + high.tobytes() + n[start:end].astype("<i8").tobytes() + level[start:end].tobytes()
-            )
+            blocks.append(b"".join(x[start:end].tobytes() for x in parts))
             start = end
-        return pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+        return bucket[ends - 1], blocks
+
+    def packed(prints: list[np.ndarray], nodes: list[int], levels: list[int]) -> pa.RecordBatch:
+        p = np.concatenate(prints)
+        n, level = (np.repeat(np.array(x, t), [len(y) for y in prints]) for x, t in ((nodes, "<i8"), (levels, "u1")))
+        # how often its print came before in this block; a set has a print once
+        order = np.argsort(p, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], p[order][1:] != p[order][:-1]]))
+        before = np.empty(len(p), "i8")
+        before[order] = np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))
+        rest = before > SMALL
+        bucket = ((p >> np.uint64(40)) % np.uint64(buckets)).astype("i8")
+        low, high = p.astype("<u4"), (p >> np.uint64(32)).astype("u1")
+        keys, blocks = block_rows(bucket[~rest], [x[~rest] for x in (low, high, n, level)])
+        if rest.any():
+            whole = (p & np.uint64((1 << 40) - 1)).astype("<i8") | bucket << 40
+            dealt = -1 - (mixed(n.view("u8")) % np.uint64(buckets)).astype("i8")
+            more = block_rows(dealt[rest], [x[rest] for x in (whole, n, level)])
+            keys, blocks = np.concatenate([keys, more[0]]), blocks + more[1]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def run(batches):
         held("word hashes", lambda: _hashes)
@@ -195,8 +214,27 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
             if prints:
                 yield packed(prints, nodes, levels)
 
+    def under_large(prints: np.ndarray, levels: np.ndarray, nodes: np.ndarray) -> dict:
+        return {
+            "print": pa.array(prints), "level": pa.array(levels), "a": pa.array(nodes),
+            "b": pa.nulls(len(prints), pa.int64()), "shares": pa.array(np.ones(len(prints), "i8")),
+        }
+
+    def dealt_out(blocks: list[bytes]) -> pa.Table:
+        """Listings of prints that a block showed to be large."""
+        sizes = [len(x) // DEALT for x in blocks]
+        prints, nodes = (np.concatenate([np.frombuffer(x, "<i8", k, at * k) for x, k in zip(blocks, sizes)]) for at in (0, 8))
+        levels = np.concatenate([np.frombuffer(x, "u1", k, 16 * k) for x, k in zip(blocks, sizes)]).astype("i8")
+        order = np.lexsort((nodes, prints))
+        prints, nodes, levels = prints[order], nodes[order], levels[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (nodes[1:] != nodes[:-1])
+        return pa.table(under_large(prints[new], levels[new], nodes[new]))
+
     def shared(table: pa.Table) -> pa.Table:
         give_back()  # what the bucket before this one left
+        if table["bucket"][0].as_py() < 0:
+            return dealt_out(table["block"].to_pylist())
         low, high, node, level = [], [], [], []
         for block in table["block"].to_pylist():
             k = len(block) // LISTED
@@ -253,20 +291,28 @@ def enough() -> Column:
     return F.get(F.array(*(F.lit(needed(i)) for i in range(len(LEVELS)))), F.col("level").cast("int"))
 
 
-def small_pairs(listed: DataFrame) -> DataFrame:
+def small_pairs(listed: DataFrame, live: DataFrame) -> DataFrame:
     """Pairs that share enough; what they may share of large prints counts for them."""
     pairs = listed.where("b is not null").groupBy("a", "b", "level").agg(F.sum("shares").alias("shares"))
-    large = listed.where("b is null").groupBy("a", "level").agg(F.count("*").alias("large"))
+    large = live.groupBy("node", "level").agg(F.count("*").alias("large"))
     for k in "ab":
-        side = large.select(F.col("a").alias(k), "level", F.col("large").alias(f"{k}_large"))
+        side = large.select(F.col("node").alias(k), "level", F.col("large").alias(f"{k}_large"))
         pairs = pairs.join(side, [k, "level"], "left")
     more = F.least(F.coalesce("a_large", F.lit(0)), F.coalesce("b_large", F.lit(0)))
     return pairs.where(F.col("shares") + more >= enough()).select("a", "b").distinct()
 
 
+def with_print(live: DataFrame, facts: DataFrame) -> DataFrame:
+    """``live`` with ``facts``, one row per print: a print's rows are joined in shares by their sets."""
+    shares = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("share")
+    return live.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(
+        facts.select("*", shares), ["print", "share"]
+    ).drop("share")
+
+
 def pivots_of(live: DataFrame) -> DataFrame:
     """(print, pivot): of the sets under a large print the one that shares most."""
-    weights = live.join(live.groupBy("print").agg(F.count("*").alias("size")), "print")
+    weights = with_print(live, live.groupBy("print").agg(F.count("*").alias("size")))
     weights = weights.groupBy("node").agg(F.sum("size").alias("weight"))
     best = live.join(weights, "node").groupBy("print").agg(F.max(F.struct("weight", "node")).alias("best"))
     return best.select("print", F.col("best.node").alias("pivot"))
@@ -375,10 +421,19 @@ class Boxes:
 
 def surviving_pairs(rows: DataFrame) -> DataFrame:
     """``rows``: pivot, node, n, counts, root. Pairs with one pivot in different components that the
-    bounds let through. Many sets are cut into parts, and every two parts meet in one group."""
-    sizes = rows.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    cut = rows.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    bounds let through. Many sets are cut into parts, and every two parts meet in one group, but those
+    of the largest component among themselves: its sets go to parts of their own, the last ones."""
+    sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("size")).groupBy("pivot").agg(
+        F.max(F.struct("size", "root")).alias("largest"), F.sum("size").alias("size")
+    )
+    others = F.ceil((F.col("size") - F.col("largest.size")) / PART).cast("int")
+    sizes = sizes.select("pivot", F.col("largest.root").alias("largest"), others.alias("others"),
+                         F.ceil(F.col("largest.size") / PART).cast("int").alias("own")).where("others > 0")
+    cut = rows.join(sizes, "pivot").withColumn("at", F.xxhash64("node")).withColumn("is_own", F.col("root") == F.col("largest"))
+    part = F.when(F.col("is_own"), F.col("others") + F.pmod("at", "own")).otherwise(F.pmod("at", "others")).cast("int")
+    last = F.when(F.col("is_own"), F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+    cut = cut.withColumn("part", part)
+    other = F.explode(F.sequence(F.lit(0), last)).alias("other")
     dealt = cut.select("*", other).select(
         "pivot", "node", "n", "counts", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
     )
@@ -402,10 +457,12 @@ def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     """(node, root) of all sets that link with another, but the roots; None if there are none."""
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     listed = scratch(shared_listings(docs, total), "listings")
-    live = listed.where("b is null").select("print", "level", F.col("a").alias("node"))
+    # a set may be listed both in a bucket and with the rest that was dealt out
+    live = listed.where("b is null").select("print", "level", F.col("a").alias("node")).distinct()
+    live = scratch(live, "large-prints")
     pivots = scratch(pivots_of(live), "pivots")
-    stars = live.join(pivots, "print").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    pairs = scratch(small_pairs(listed).union(stars.distinct()), "candidates")
+    stars = with_print(live, pivots).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pairs = scratch(small_pairs(listed, live).union(stars.distinct()), "candidates")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = sets_of(docs, known, nodes)
     links = scratch(verified(pairs, sets), "links")
@@ -414,7 +471,7 @@ def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     else:
         rooted = live.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_prints = rooted.groupBy("print").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    families = rooted.join(open_prints.select("print"), "print").join(pivots, "print").select("pivot", "node", "root").distinct()
+    families = with_print(rooted, open_prints.select("print").join(pivots, "print")).select("pivot", "node", "root").distinct()
     points = sets.select("node", "n", "counts").dropDuplicates(["node"])
     rest = scratch(families.join(points, "node"), "open")
     if not rest.isEmpty():

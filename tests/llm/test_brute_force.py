@@ -149,3 +149,25 @@ def test_the_plan_uses_as_few_sequences_as_best_fit_decreasing():
                 ends = [0, *(o + n for o, n in sorted(parts))]
                 assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 40
             assert len(filled) <= len(room) + 1
+
+
+def test_language_blocks_are_bounded_and_change_nothing(monkeypatch):
+    """Blocks of a few grams, over many languages, give what one sum per text gives."""
+    rng = np.random.default_rng(4)
+    names = [f"l{i:03}" for i in range(300)]
+    table = rng.normal(-8, 1, (language.GRAMS + 1, 300)).astype("f4")
+    texts = ["", None, "a", "one text of words", "ab " * 700, "123", "ж" * 2000]
+    gathered = []
+    add = np.add.reduceat
+    monkeypatch.setattr(language, "CELLS", 300 * 64)
+    monkeypatch.setattr(language, "SLICE", 501)
+    fake = type("add", (), {"at": np.add.at, "reduceat": staticmethod(lambda x, *a, **k: gathered.append(x.size) or add(x, *a, **k))})
+    monkeypatch.setattr(language, "np", type("numpy", (), {**vars(np), "add": fake}))
+    langs, scores = language.score(texts, names, table)
+    assert max(gathered) <= 300 * 64
+    for text, lang, score in zip(texts, langs, scores):
+        ids = [i for part in language.slices(text or "") for i in language.grams(part)]
+        sums = table[ids].astype("f8").sum(axis=0) + table[-1]
+        best = int(sums.argmax())
+        assert lang == (names[best] if ids else "und")
+        assert abs(score - (1 / np.exp(sums - sums[best]).sum() if ids else 0)) < 1e-3

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyscope.llm import (
@@ -219,8 +220,37 @@ def test_plan_is_best_fit_decreasing():
             else:
                 room.append(40 - n)
         table = packing.plan(collections.Counter(lengths), 40)
-        last = max(int(s + (collections.Counter(lengths)[n] - r)) for n, r, s, _ in table)
-        assert last >= len(room) and len({int(s) for s in table[:, 2]}) <= len(room) + 1
+        used, counts = collections.defaultdict(list), collections.Counter(lengths)
+        for (n, rank, first, offset), after in zip(table.tolist(), [*table.tolist()[1:], None]):
+            end = after[1] if after and after[0] == n else counts[n]
+            for r in range(rank, end):
+                used[first + r - rank].append((offset, n))
+        assert sum(map(len, used.values())) == len(lengths)
+        for content in used.values():
+            ends = [0, *(a + n for a, n in sorted(content))]
+            assert [a for a, _ in sorted(content)] == ends[:-1] and ends[-1] <= 40
+        assert len(used) <= len(room) + 1
+
+
+def test_rows_that_repeat_are_packed_once_each(spark):
+    rows = [(7, 0, 0, 100, 5)] * 900 + [(i, 0, 0, 1 + i % 300, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    got = packing.best_fit(frame, 300).collect()
+    same([tuple(r)[:5] for r in got], rows)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["sequence_id"]].append((r["offset"], r["length"]))
+    for content in slots.values():
+        ends = [0, *(a + n for a, n in sorted(content))]
+        assert [a for a, _ in sorted(content)] == ends[:-1] and ends[-1] <= 300
+
+
+def test_stop_words_are_asked_of_latin_texts_only(spark):
+    greek = " ".join("λόγος και έργο με νόημα για τον κόσμο".split() + [f"λέξη{chr(945 + i % 24)}{i}" for i in range(80)])
+    latin = " ".join(f"wort{i}" for i in range(90))
+    rows = spark.createDataFrame([(1, greek), (2, latin), (3, latin + " der die das"), (4, "слово" * 3 + " " + greek[:9])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["kept"], r["broken_rules"]) for r in quality_rules.judge(rows).collect()}
+    assert got == {1: (True, []), 2: (False, ["stop_word_share"]), 3: (True, []), 4: (False, [])}
 
 
 @pytest.mark.parametrize("name", ["docs", "odd", "empty"])
@@ -397,7 +427,46 @@ def test_pairs_of_every_size_class_are_kept(spark):
     for level in range(len(jaccard.LEVELS)):
         rows += [(0, level, 2 * level, 1000, jaccard.needed(level)), (0, level, 2 * level + 1, 1000, jaccard.needed(level) - 1)]
     listed = spark.createDataFrame(rows, "print long, level long, a long, b long, shares long")
-    assert sorted(r["a"] for r in jaccard.small_pairs(listed).collect()) == [2 * i for i in range(len(jaccard.LEVELS))]
+    live = listed.where("b is null").select("print", "level", F.col("a").alias("node"))
+    assert sorted(r["a"] for r in jaccard.small_pairs(listed, live).collect()) == [2 * i for i in range(len(jaccard.LEVELS))]
+
+
+def test_a_print_that_most_sets_have_is_dealt_out(spark, monkeypatch):
+    """All sets hold one passage of the same shingles; blocks of a task hold many of them."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    random.seed(12)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(random.choices([f"w{k}" for k in range(900)], k=random.choice((0, 3, 4, 30)))))
+            for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    listed = jaccard.shared_listings(frame, 400 * 60).collect()
+    brute = collections.defaultdict(set)
+    for _, text in rows:
+        items = jaccard.shingles(text.encode())
+        for level, prints in jaccard.listings(items):
+            for p in prints.tolist():
+                brute[p & (1 << 40) - 1, level].add(jaccard.node_of(items))
+    large = collections.defaultdict(set)
+    for r in listed:
+        if r["b"] is None:
+            large[r["print"] & (1 << 40) - 1, r["level"]].add(r["a"])
+    assert large == {k: v for k, v in brute.items() if len(v) > 4} and max(map(len, large.values())) > 100
+    same([tuple(r)[:3] for r in jaccard.near_duplicates(frame).collect()], brute_components(rows))
+
+
+def test_parts_of_the_largest_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 25)
+    counts = np.full(jaccard.DIMENSIONS, 2, "<u2").tobytes()
+    n = 2 * jaccard.DIMENSIONS
+    rows = [(1, i, n, counts, 0) for i in range(300)] + [(1, 1000 + i, n, counts, 1000 + i // 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "pivot long, node long, n long, counts binary, root long")
+    got = jaccard.surviving_pairs(frame)
+    root = {r[1]: r[4] for r in rows}
+    want = {(a, b) for a in root for b in root if a < b and root[a] != root[b]}
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    alone = spark.createDataFrame(rows[:300], frame.schema)
+    assert jaccard.surviving_pairs(alone).count() == 0
 
 
 def test_language(docs, odd, empty):
