@@ -1,12 +1,14 @@
 """Best-fit packing of documents into sequences, planned on the histogram of lengths.
 
 1. Every document is encoded once; documents longer than a sequence are cut into full pieces and a
-   rest. What goes on is one narrow row per piece, written to the shared folder.
+   rest. What goes on is one narrow row per piece, numbered within its task and length and written to the
+   shared folder, which fixes the numbers.
 2. The driver gets the histogram: one count for each length, ``capacity`` rows whatever the corpus.
    Best-fit decreasing runs over counts: bins with the same room form a range of sequence numbers, and
    a step places as many pieces of one length as a range holds. The plan has one entry a step.
-3. Pieces take the planned slots: a piece's rank within its length, by bucket counts and a window
-   inside a bucket, selects the plan entry, hence sequence and offset. No task sees a whole length.
+3. Pieces take the planned slots: a piece's rank within its length, its number after the counts of the
+   tasks before, selects the plan entry, hence sequence and offset. Pieces aren't sorted, and neither a
+   length that most pieces have nor a row that repeats gathers in a task.
 
 The plan is broadcast. It grows with the number of lengths, not with the corpus; beyond
 ``PLAN_ENTRIES`` the planner raises instead of broadcasting.
@@ -31,8 +33,6 @@ from tallyscope.llm.common import documents, scratch, ship, text_bytes
 
 CAPACITY = 2048
 PLAN_ENTRIES = 4_000_000
-#: Pieces in one bucket of a rank, about.
-BUCKET_ROWS = 100_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -102,24 +102,38 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
+def numbered(rows: DataFrame, capacity: int) -> DataFrame:
+    """Adds _row, a row's number from 0 among those of its length in its task, and _task."""
+    names = rows.columns
+    at = names.index("length")
+
+    def number(batches):
+        reached = np.zeros(capacity + 1, "i8")
+        for batch in batches:
+            length = batch.column(at).to_numpy()
+            order = np.argsort(length, kind="stable")
+            starts = np.flatnonzero(np.diff(length[order], prepend=-1))
+            sizes = np.diff(starts, append=len(length))
+            place = np.empty(len(length), "i8")
+            place[order] = np.arange(len(length)) - np.repeat(starts, sizes) + reached[length[order]]
+            reached += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*names, "_row"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    return rows.mapInArrow(number, ", ".join([*fields, "_row long"])).withColumn("_task", F.spark_partition_id())
+
+
 def best_fit(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length (0 < length <= capacity)."""
+    """Adds sequence_id and offset to rows with a length (0 < length <= capacity)."""
     spark = rows.sparkSession
-    counted = {int(n): int(c) for n, c in rows.groupBy("length").count().collect()}
+    spread = scratch(numbered(rows, capacity), "pieces")
+    sizes = scratch(spread.groupBy("length", "_task").count(), "task-counts")
+    counted = {int(n): int(c) for n, c in sizes.groupBy("length").agg(F.sum("count")).collect()}
     table = plan(counted, capacity)
     sent = spark.sparkContext.broadcast((table[:, 0] << 44 | table[:, 1], table))
-    buckets = max(1, sum(counted.values()) // BUCKET_ROWS)
-    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("length", "_bucket").count()
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(
-        F.col("length").alias("_length"), F.col("_bucket").alias("_in"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")
-    )
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("_row", F.row_number().over(inside)).join(
-        firsts, (F.col("length") == F.col("_length")) & (F.col("_bucket") == F.col("_in"))
-    )
-    ranked = ranked.select(*rows.columns, (F.col("_first") + F.col("_row") - 1).alias("_rank"))
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("length", "_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    ranked = spread.join(firsts, ["length", "_task"]).select(*rows.columns, (F.col("_first") + F.col("_row")).alias("_rank"))
     names = rows.columns
 
     def place(batches):
@@ -137,7 +151,7 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    return best_fit(scratch(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return best_fit(pieces(docs, tokenizer, capacity), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
