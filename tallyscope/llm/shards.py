@@ -33,6 +33,7 @@ SALTS = 256
 #: Share of the bytes, in the smallest units, that goes where bytes are missing.
 TAIL = 0.02
 BUCKET_ROWS = 100_000
+SPREAD = 1 << 16
 DIMENSIONS = ("size", "tokens", "one")
 
 
@@ -63,7 +64,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -
         F.size(F.split(F.trim(text), r"\s+")).cast("long").alias("tokens"),
         F.md5(text.cast("binary")).alias("group"),
     )
-    rows = scratch(rows.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int")), "sizes")
+    # rows that are equal in all columns differ in their spread, so that their slots don't gather in one bucket
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("spread")
+    rows = rows.select("*", F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int").alias("cell"), spread)
+    rows = scratch(rows, "sizes")
     sums = [F.sum(c).alias(c) for c in ("size", "tokens")]
     groups = scratch(rows.groupBy("group", "cell").agg(*sums, F.count("*").alias("one")), "groups")
     total = groups.agg(*(F.sum(c).alias(c) for c in DIMENSIONS)).first()
@@ -100,7 +104,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -
     placed = placed.select(
         "doc_id", "size", "text_crc32", "group",
         F.when(F.col("parts").isNotNull(), F.col("parts")[part]).otherwise(F.col("cell_shard")).alias("shard"),
-        F.pmod(F.xxhash64("group", "doc_id", F.lit(3)), F.lit(buckets * 8)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("group", "doc_id", "spread", F.lit(3)), F.lit(buckets * 8)).cast("int").alias("bucket"),
     )
     placed = scratch(placed, "placed")
     sizes = placed.groupBy("shard", "bucket").count()
