@@ -7,7 +7,8 @@ language about ``SAMPLE_ROWS`` whole training texts, chosen by a hash of the id.
 scored at once: rows of the matrix are gathered for all grams and summed per text.
 
 A text that is null, empty or without letters is ``und`` with score 0; so is every text when nothing
-could be learned. A tie goes to the language first by name. Very long texts are scored slice by slice.
+could be learned. A tie goes to the language first by name. Very long texts are scored slice by slice, and at most ``CELLS``
+cells of the matrix are gathered at a time, whatever the number of languages.
 Repeated rows and null ids are predicted row by row; a null id counts as the empty text for folds.
 Other columns are ignored.
 """
@@ -129,14 +130,16 @@ def score(texts: list[str | None], names: list[str], table: np.ndarray) -> tuple
     for i, text in enumerate(texts if names else []):
         for part in slices(text or ""):
             ids = grams(part)
-            if len(ids):
-                seen[i] = True
-                block.append(ids)
+            seen[i] |= len(ids) > 0
+            # a block has ``most`` grams at most, however long a slice is
+            for at in range(0, len(ids), most):
+                some = ids[at : at + most]
+                if block and size + len(some) > most:
+                    flush()
+                    size = 0
+                block.append(some)
                 owners.append(i)
-                size += len(ids)
-            if size >= most:
-                flush()
-                size = 0
+                size += len(some)
     if block:
         flush()
     if not names:
