@@ -101,7 +101,8 @@ w as (
   select r, doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    strlen(text) * 2 <= length(text) * 3 as is_latin
   from t),
 tri as (
   select r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g
@@ -109,7 +110,7 @@ tri as (
 often as (select r, i from (select r, i, count(*) over (partition by r, g) as n from tri) where n > 1),
 covered as (select r, count(distinct j) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as j from often) group by r),
 n as (
-  select r, doc_id, len(words)::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+  select r, doc_id, len(words)::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, is_latin,
     len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
     coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
     len(list_filter(words, lambda x: lower(x) in ({", ".join(map(_text, dict.fromkeys(STOP_WORDS)))})))::bigint as n_stop_words
@@ -120,7 +121,7 @@ judged as (
       case when word_chars / greatest(n_words, 1) not between 1.5 and 20 then 'mean_word_chars' end,
       case when n_symbols / greatest(n_words, 1) > 0.5 then 'symbols_per_word' end,
       case when n_dup_lines / greatest(n_lines, 1) > 0.5 then 'dup_line_share' end,
-      case when n_stop_words / greatest(n_words, 1) < 0.01 then 'stop_word_share' end) as broken_rules
+      case when is_latin and n_stop_words / greatest(n_words, 1) < 0.01 then 'stop_word_share' end) as broken_rules
   from n)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and broken_rules = '' as kept, n_stop_words, broken_rules

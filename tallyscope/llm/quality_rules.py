@@ -5,7 +5,8 @@ ratio's name with its least and greatest allowed value. ``verdict`` turns the ta
 column plus the list of broken rules. There is no shuffle: a row is judged by itself.
 
 Repeated three-word windows are compared by their 64-bit hash; sorting (hash, position) pairs brings
-equal ones together. Null text counts as empty: no words, base_failed. A text of white space only, or
+equal ones together. The stop-word rule asks only texts in Latin letters, told by fewer than 1.5 bytes a code
+point: its words are those of four languages, and texts in other scripts can't hold them. Null text counts as empty: no words, base_failed. A text of white space only, or
 of one endless word, is a text like others. Repeated rows and null ids are judged one by one; columns
 of the input named like a result are replaced, others are ignored.
 """
@@ -45,6 +46,7 @@ def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "doc_id",
         F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.octet_length("text") * 2 <= F.length("text") * 3).alias("is_latin"),
         lines.alias("lines"),
         F.array_remove(F.split("text", SPACE), "").alias("words"),
     )
@@ -54,7 +56,7 @@ def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
         F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))), 1, F.greatest(n - 2, F.lit(0))
     )
     rows = rows.select(
-        "doc_id", "word_chars", "n_symbols",
+        "doc_id", "word_chars", "n_symbols", "is_latin",
         n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -80,12 +82,12 @@ def ratios() -> dict[str, Column]:
         "mean_word_chars": F.col("word_chars") / words,
         "symbols_per_word": F.col("n_symbols") / words,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "stop_word_share": F.col("n_stop_words") / words,
+        "stop_word_share": F.when(F.col("is_latin"), F.col("n_stop_words") / words),
     }
 
 
 def broken(rules: dict[str, tuple[float | None, float | None]]) -> Column:
-    """Names of the broken rules, compiled from the table."""
+    """Names of the broken rules, compiled from the table; a ratio that is null breaks none."""
     value, checks = ratios(), []
     for name, (least, most) in rules.items():
         too_low = value[name] < least if least is not None else F.lit(False)
