@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import inspect
 import os
 import tempfile
 import zipfile
@@ -65,6 +66,24 @@ def give_back() -> None:
         pass
 
 
+def lean(run: Callable) -> Callable:
+    """A function of batches, or of one group's table, after which a worker keeps no freed memory: it
+    may stay idle for long, beside an executor that needs the room."""
+
+    def batches_then_back(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    def group_then_back(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return batches_then_back if inspect.isgeneratorfunction(run) else group_then_back
+
+
 _held: dict[str, dict] = {}
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, give_back, held, scratch, ship, text_bytes, unused
+from tallyscope.llm.common import documents, give_back, held, lean, scratch, ship, text_bytes, unused
 from tallyscope.llm.components import components
 
 SHINGLE = 5
@@ -49,7 +49,7 @@ LEAF = 32
 BLOCK_BYTES = 24 << 20
 LISTED = 14  # bytes of a listing: 5 of the fingerprint, 8 of the set, 1 of the size class
 DEALT = 17  # bytes of a listing that is dealt by its set: 8, 8 and 1
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: Shares in which the rows of one print are joined.
 SALTS = 16
 #: Sets whose documents are looked up by a broadcast of this many rows at most; beyond, by a shuffle.
@@ -156,7 +156,7 @@ def features(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("text_key"), text_bytes().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long")
+    return rows.mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, node long")
 
 
 def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
@@ -282,8 +282,8 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
             }
         )
 
-    blocks = docs.select(text_bytes().cast("binary").alias("text")).mapInArrow(run, "bucket long, block binary")
-    return blocks.groupBy("bucket").applyInArrow(shared, "print long, level long, a long, b long, shares long")
+    blocks = docs.select(text_bytes().cast("binary").alias("text")).mapInArrow(lean(run), "bucket long, block binary")
+    return blocks.groupBy("bucket").applyInArrow(lean(shared), "print long, level long, a long, b long, shares long")
 
 
 def enough() -> Column:
@@ -351,7 +351,7 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
                     [pa.array(x, t) for x, t in zip(zip(*out), types)], names=["node", "n", "items", "counts"]
                 )
 
-    made = found.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, n long, items binary, counts binary")
+    made = found.select("node", F.col("text").cast("binary")).mapInArrow(lean(run), "node long, n long, items binary, counts binary")
     return scratch(made, "sets")
 
 
@@ -383,12 +383,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for k in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("counts").alias(f"{k}_counts")), k)
     pairs = pairs.where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b", "a_n", "b_n", "a_counts", "b_counts")
-    pairs = scratch(pairs.mapInArrow(bounded, "a long, b long").distinct(), "pairs")
+    pairs = scratch(pairs.mapInArrow(lean(bounded), "a long, b long").distinct(), "pairs")
     if pairs.count() <= BROADCAST_ROWS:
         pairs = F.broadcast(pairs)  # then the sets of one side stay where they are
     for k in "ab":
         pairs = sets.select(F.col("node").alias(k), F.col("items").alias(f"{k}_items")).join(pairs, k)
-    return pairs.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "a_items", "b_items").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 class Boxes:
@@ -450,7 +450,7 @@ def surviving_pairs(rows: DataFrame) -> DataFrame:
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), "i8")
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy("pivot", "p", "q").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("pivot", "p", "q").applyInArrow(lean(meet), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, known: DataFrame) -> DataFrame | None:

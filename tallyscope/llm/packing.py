@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ CAPACITY = 2048
 PLAN_ENTRIES = 4_000_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, number: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32; with ``number`` what ``numbered`` adds, too."""
     ship(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,7 +57,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(cut, schema)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    if not number:
+        return texts.mapInArrow(cut, schema)
+    add = numbering(3, capacity)  # in the same worker
+    return texts.mapInArrow(lambda batches: add(cut(batches)), f"{schema}, _row long").withColumn("_task", F.spark_partition_id())
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -102,10 +107,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def numbered(rows: DataFrame, capacity: int) -> DataFrame:
-    """Adds _row, a row's number from 0 among those of its length in its task, and _task."""
-    names = rows.columns
-    at = names.index("length")
+def numbering(at: int, capacity: int) -> Callable:
+    """Adds _row to batches, a row's number from 0 among those of its length (the column ``at``) in its task."""
 
     def number(batches):
         reached = np.zeros(capacity + 1, "i8")
@@ -117,16 +120,23 @@ def numbered(rows: DataFrame, capacity: int) -> DataFrame:
             place = np.empty(len(length), "i8")
             place[order] = np.arange(len(length)) - np.repeat(starts, sizes) + reached[length[order]]
             reached += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*names, "_row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "_row"])
+
+    return number
+
 
+def numbered(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds _row (see ``numbering``) and _task."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    number = numbering(rows.columns.index("length"), capacity)
     return rows.mapInArrow(number, ", ".join([*fields, "_row long"])).withColumn("_task", F.spark_partition_id())
 
 
 def best_fit(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length (0 < length <= capacity)."""
+    """Adds sequence_id and offset to rows with a length (0 < length <= capacity), numbered if they aren't."""
     spark = rows.sparkSession
-    spread = scratch(numbered(rows, capacity), "pieces")
+    spread = scratch(rows if "_row" in rows.columns else numbered(rows, capacity), "pieces")
+    rows = spread.drop("_row", "_task")
     sizes = scratch(spread.groupBy("length", "_task").count(), "task-counts")
     counted = {int(n): int(c) for n, c in sizes.groupBy("length").agg(F.sum("count")).collect()}
     table = plan(counted, capacity)
@@ -151,7 +161,7 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    return best_fit(pieces(docs, tokenizer, capacity), capacity)
+    return best_fit(pieces(docs, tokenizer, capacity, number=True), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
