@@ -221,7 +221,10 @@ def _series(periods: DataFrame, by: Sequence[str], keep_history: bool) -> DataFr
         ).alias("relative_std"),
         *history,
     )
-    recent = recent.withColumns({"moving_average": average(5), "recent_average": average(4)}).drop("newest")
+    return recent.withColumns({"moving_average": average(5), "recent_average": average(4)}).drop("newest")
+
+
+def _with_volatility(state: DataFrame) -> DataFrame:
     label = (
         F.when(F.col("volatility_score") >= V.VOLATILE_FROM, VOLATILE)
         .when(F.col("volatility_score") >= V.VARIABLE_FROM, VARIABLE)
@@ -234,7 +237,7 @@ def _series(periods: DataFrame, by: Sequence[str], keep_history: bool) -> DataFr
         .when(label == VARIABLE, F.format_string(REASON_VARIABLE, F.col("recent_periods"), ratio_text))
         .otherwise(F.format_string(REASON_STABLE, F.col("recent_periods"), ratio_text))
     )
-    return recent.withColumns({"volatility": label, "volatility_reason": reason})
+    return state.withColumns({"volatility": label, "volatility_reason": reason})
 
 
 def _messages(horizon: int) -> Column:
@@ -300,9 +303,22 @@ def forecast(
     are daily totals that are there already (``fold.daily_totals``); ``frame`` is not read then.
     """
     days = _daily(frame, metric, date, by) if days is None else days
-    periods = _periods(days, by, grain, drop_partial)
-    state = _series(periods, by, keep_history)
-    state = state.withColumn("horizon", F.lit(horizon).cast("long")).withColumn(
+    state = series_facts(days, by, grain, drop_partial, keep_history)
+    return described(state, metric, date, horizon, readiness_status, readiness_reason)
+
+
+def series_facts(
+    days: DataFrame, by: Sequence[str] = (), grain: str = "Auto", drop_partial: bool = False, keep_history: bool = False
+) -> DataFrame:
+    """One row per key with the numbers of its series, from daily totals: narrow rows, for joins."""
+    return _series(_periods(days, by, grain, drop_partial), by, keep_history)
+
+
+def described(
+    state: DataFrame, metric: str, date: str, horizon: int = 6, readiness_status: str = V.READY, readiness_reason: str = ""
+) -> DataFrame:
+    """``series_facts`` with all that follows from them within the row: points, status and texts."""
+    state = _with_volatility(state).withColumn("horizon", F.lit(horizon).cast("long")).withColumn(
         "messages", _messages(horizon)
     )
     usable = F.size("messages") == 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyscope import fixed_values as V
 from tallyscope.functions.coerce import fixed_text
+from tallyscope.functions.naming import quoted
 from tallyscope.operators import diagnostic as D
 from tallyscope.operators import intelligence as I
 from tallyscope.operators import predictive as P
@@ -204,6 +205,7 @@ def evidence(
 
     A layer that is not enabled stays a null struct. One aggregate over the raw rows is written, the
     layers are projections of it, and their rows are written again: rules, findings and reports read them.
+    The layers are joined as numbers and names; texts, many times as wide, are made of the joined rows.
     ``margin_named`` bounds the groups that the margin rule names, None for all.
     """
     keys = columns_of(by)
@@ -225,28 +227,42 @@ def evidence(
             **({"date": chosen["forecast_date"], "dated_metric": chosen["forecast_metric"]} if chosen["forecast"] else {}),
         ))
     if chosen["diagnostic"]:
-        diagnosed = D.facts_of_totals(
-            group_totals(folded, by), chosen["metric"], chosen["dimension"], by, margins is not None, margin_named=margin_named
-        ).withColumn("margin_text", D.margin_text()).select(*keys, F.struct(*wanted_d).alias("d"))
+        diagnosed = D.key_facts(group_totals(folded, by), by, margins is not None, margin_named=margin_named)
     if chosen["forecast"]:
-        predicted = P.forecast(
-            frame, chosen["forecast_metric"], chosen["forecast_date"], by, horizon=horizon,
-            readiness_status=chosen["predictive_status"], readiness_reason=chosen["predictive_reason"],
-            days=daily_totals(folded, by),
-        ).withColumn("volatility_text", P.volatility_text()).select(
-            *keys, F.struct(*wanted_p).alias("p")
-        )
-    no_d = F.lit(None).cast(_struct_type(D_TYPES)).alias("d")
-    no_p = F.lit(None).cast(_struct_type(P_TYPES)).alias("p")
+        predicted = P.series_facts(daily_totals(folded, by), by)
     if diagnosed is not None and predicted is not None:
-        rows = attach(diagnosed, predicted, by)
+        rows = attach(_packed(diagnosed, by, "d"), _packed(predicted, by, "p"), by)
     elif diagnosed is not None:
-        rows = diagnosed.select("*", no_p)
+        rows = _packed(diagnosed, by, "d")
     elif predicted is not None:
-        rows = predicted.select(*keys, no_d, "p")
+        rows = _packed(predicted, by, "p")
+    else:
+        rows = frame.groupBy(*keys).agg(F.lit(1).alias("__one")).select(*keys)
+    if diagnosed is not None:
+        rows = D.with_findings(rows.select("*", "d.*"), chosen["metric"], chosen["dimension"])
+        rows = _repacked(rows.withColumn("margin_text", D.margin_text()), by, "d", wanted_d, "p")
+    else:
+        rows = rows.withColumn("d", F.lit(None).cast(_struct_type(D_TYPES)))
+    if predicted is not None:
+        rows = P.described(
+            rows.select("*", "p.*"), chosen["forecast_metric"], chosen["forecast_date"], horizon,
+            chosen["predictive_status"], chosen["predictive_reason"],
+        )
+        rows = _repacked(rows.withColumn("volatility_text", P.volatility_text()), by, "p", wanted_p, "d")
     else:
-        rows = frame.groupBy(*keys).agg(F.lit(1).alias("__one")).select(*keys, no_d, no_p)
-    return materialise(rows)
+        rows = rows.withColumn("p", F.lit(None).cast(_struct_type(P_TYPES)))
+    return materialise(rows.select(*keys, "d", "p"))
+
+
+def _packed(facts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """The columns of ``facts`` besides the keys as one struct."""
+    return facts.select(*columns_of(by), F.struct(*[quoted(c) for c in facts.columns if c not in by]).alias(name))
+
+
+def _repacked(rows: DataFrame, by: Sequence[str], name: str, wanted: Sequence[str], other: str) -> DataFrame:
+    """Keys, ``other`` if it is there, and the wanted columns as the struct ``name``, null where it was null."""
+    full = F.when(F.col(name).isNotNull(), F.struct(*wanted)).alias(name)
+    return rows.select(*columns_of(by), *[c for c in rows.columns if c == other], full)
 
 
 _ENTRY = "struct<name:string,value:double,mean:double>"

@@ -117,3 +117,15 @@ def test_report(spark, tmp_path):
     kept = {r.region: r.report for r in read_report_text(spark, path, ["region"]).collect()}
     assert kept["West"] == again.first().report and "Generated: later" in kept["West"]
     assert kept == {r.region: r.report for r in reports.where("region != 'West'").collect()} | {"West": kept["West"]}
+
+
+def test_layers_are_joined_before_their_texts_are_made(spark, monkeypatch):
+    """The join of both layers sorts rows of a key's numbers; with the texts they are many times as wide."""
+    written = []
+    monkeypatch.setattr(X, "materialise", lambda frame: written.append(frame) or frame)
+    frame = frames.thirds_180(spark)
+    chosen = X.chosen_columns(I.dataset_facts(C.column_stats(frame)))
+    X.evidence(frame, chosen, ["region"])
+    plan = written[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" in plan and "Join" in plan
+    assert "format_string" not in plan[plan.index("Join") :]
