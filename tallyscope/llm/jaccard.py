@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import documents, give_back, held, lean, scratch, ship, text_bytes, unused
+from tallyscope.llm.common import documents, few_at_a_time, give_back, held, lean, scratch, ship, text_bytes, unused
 from tallyscope.llm.components import components
 
 SHINGLE = 5
@@ -148,10 +148,13 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches):
         held("word hashes", lambda: _hashes)
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            nodes = [node_of(x) if len(x) else None for x in sets]
+            sizes, nodes = [], []
+            for (text,) in few_at_a_time(batch, 2):
+                items = shingles(text)
+                sizes.append(len(items))
+                nodes.append(node_of(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
                 names=["doc_id", "text_key", "n_shingles", "node"],
             )
 
@@ -198,7 +201,7 @@ def shared_listings(docs: DataFrame, total_shingles: int) -> DataFrame:
         held("word hashes", lambda: _hashes)
         for batch in batches:
             prints, nodes, levels, seen, size = [], [], [], set(), 0
-            for text in batch.column(0).to_pylist():
+            for (text,) in few_at_a_time(batch, 0):
                 items = shingles(text)
                 if not len(items) or (node := node_of(items)) in seen:
                     continue
@@ -334,22 +337,27 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
         chosen = F.broadcast(chosen)
     found = rows.join(chosen, (F.xxhash64("text") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
 
+    def of_rows(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["node", "n", "items", "counts"])
+
     def run(batches):
         held("word hashes", lambda: _hashes)
         seen = set()  # rows that repeat in a task are skipped
         for batch in batches:
-            out = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out, size = [], 0
+            for node, text in few_at_a_time(batch, 0, 1):
                 items = shingles(text) if node not in seen else ()
                 if len(items) and node_of(items) == node:
                     seen.add(node)
                     counts = np.bincount((items & np.uint64(DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS)
                     out.append((node, len(items), items.tobytes(), np.minimum(counts, 0xFFFF).astype("<u2").tobytes()))
+                    size += len(items)
+                if size >= FLUSH:
+                    yield of_rows(out)
+                    out, size = [], 0
             if out:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out), types)], names=["node", "n", "items", "counts"]
-                )
+                yield of_rows(out)
 
     made = found.select("node", F.col("text").cast("binary")).mapInArrow(lean(run), "node long, n long, items binary, counts binary")
     return scratch(made, "sets")
@@ -361,7 +369,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("a_items").to_pylist(), batch.column("b_items").to_pylist()):
+            for x, y in few_at_a_time(batch, "a_items", "b_items"):
                 x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
                 if len(x) > len(y):
                     x, y = y, x
@@ -441,14 +449,17 @@ def surviving_pairs(rows: DataFrame) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         node, n, root, part = (table[c].to_numpy() for c in ("node", "n", "root", "part"))
         points, out = counts_in(table, "counts"), []
-        first, second = (np.flatnonzero(part == table[c][0].as_py()) for c in ("p", "q"))
+        p, q = (table[c][0].as_py() for c in ("p", "q"))
+        first, second = (np.flatnonzero(part == x) for x in (p, q))
         if len(first) and len(second):
             mine, theirs = (Boxes(root[x], n[x], points[x]) for x in (first, second))
             for x, y in mine.join(theirs):
                 x, y = node[first[x]], node[second[y]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), "i8")
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                once = (x < y) | (p != q)  # a part that meets itself has each pair twice
+                x, y = x[once], y[once]
+                out.append((np.minimum(x, y), np.maximum(x, y)))
+        a, b = (np.concatenate(x) for x in zip(*out)) if out else np.zeros((2, 0), "i8")
+        return pa.table({"a": a, "b": b})
 
     return dealt.groupBy("pivot", "p", "q").applyInArrow(lean(meet), "a long, b long").distinct()
 

@@ -525,3 +525,13 @@ def test_long_texts_score_like_short_ones(monkeypatch):
     whole = toxicity.chances([packed], *parts)
     monkeypatch.setattr(toxicity, "BLOCK_WORDS", 20)
     assert np.allclose(toxicity.chances([packed], *parts), whole)
+
+
+def test_rows_of_a_batch_are_values_a_few_at_a_time():
+    import pyarrow as pa
+
+    from tallyscope.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000)), "b": [b"x%d" % i for i in range(1000)]})
+    assert list(common.few_at_a_time(batch, 0, "b")) == [(i, b"x%d" % i) for i in range(1000)]
+    assert list(common.few_at_a_time(batch.slice(0, 0), 0)) == []
