@@ -179,15 +179,17 @@ def concentration_class(share: Column) -> Column:
 def _key_summary(totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per key from the group totals: extremes, totals and means in a single fold."""
     usable = F.col("grouped") & (F.col("row_count") > 0)
-    entry = F.struct(
-        F.col("group").alias("name"), _as_double("total").alias("value"), _mean().alias("mean")
-    )
+    fields = {"name": F.col("group"), "value": _as_double("total"), "mean": _mean()}
+
+    def entry(order: Column) -> Column:
+        """What a group is compared by, order and name, in front of what is kept of it."""
+        return F.when(usable, F.struct(order.alias("__order"), *[c.alias(n) for n, c in fields.items()]))
 
     def best(order: Column) -> Column:
-        return F.min_by(F.when(usable, entry), F.when(usable, F.struct(order, F.col("group"))))
+        return F.min(entry(order))
 
     def worst(order: Column) -> Column:
-        return F.max_by(F.when(usable, entry), F.when(usable, F.struct(order, F.col("group"))))
+        return F.max(entry(order))
 
     folded = totals.groupBy(*columns_of(by)).agg(
         F.sum(F.when(usable, F.col("total"))).cast("double").alias("whole"),
@@ -200,6 +202,9 @@ def _key_summary(totals: DataFrame, by: Sequence[str]) -> DataFrame:
         best(-_mean()).alias("best_mean"),
         best(_mean()).alias("lowest_mean"),
     )
+    folded = folded.withColumns(
+        {c: F.col(c).dropFields("__order") for c in ("top", "bottom", "best_mean", "lowest_mean")}
+    )
     share = F.col("top.value") / F.nullif(F.col("whole"), F.lit(0.0)) * 100
     return folded.select(
         "*",
@@ -306,6 +311,10 @@ def _flagged(totals: DataFrame, by: Sequence[str]) -> DataFrame:
         *keys, "group", (F.col("discounts") / F.col("margin_rows")).alias("average_discount"),
         F.col("profits").alias("total_profit"),
     )
+    counted = F.greatest(F.count("average_discount"), F.count("total_profit"))
+    if by:  # only keys with several groups have cutoffs to look for
+        groups = attach(groups, groups.groupBy(*keys).agg(counted.alias("__groups")), by).where("__groups >= 2")
+        groups = groups.drop("__groups")
     measures = F.array(
         F.struct(F.lit(0.75).alias("__cut"), F.col("average_discount").alias("__cut_value")),
         F.struct(F.lit(0.5).alias("__cut"), F.col("total_profit").alias("__cut_value")),

@@ -18,8 +18,8 @@ from tallyscope.operators import diagnostic as D
 from tallyscope.operators import intelligence as I
 from tallyscope.operators import predictive as P
 from tallyscope.operators.fold import daily_totals, fold, group_totals
-from tallyscope.operators.shape import attach, columns_of, numbered_items
-from tallyscope.session import materialise
+from tallyscope.operators.shape import KEY, attach, columns_of, numbered_items, one_key, own_keys
+from tallyscope.session import freed_shuffles, materialise
 
 # Categories, bases and texts of the rules.
 RISK, GROWTH = "Risk Controls", "Growth Opportunities"
@@ -184,7 +184,7 @@ _RECOMMENDATION = "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">
 
 def chosen_columns(facts: DataFrame) -> dict:
     """The column choices of a dataset: the one small collect between profiling and analysis."""
-    row = facts.select(
+    choices = (
         I.diagnostic_enabled().alias("diagnostic"),
         I.forecast_enabled().alias("forecast"),
         I.prescriptive_enabled().alias("prescriptive"),
@@ -194,8 +194,9 @@ def chosen_columns(facts: DataFrame) -> dict:
         F.get("forecast_dates", F.lit(0)).alias("forecast_date"),
         *[f"{layer}_{part}" for layer in ("diagnostic", "predictive", "prescriptive")
           for part in ("status", "reason")],
-    ).first()
-    return row.asDict()
+    )
+    with freed_shuffles(facts.sparkSession):
+        return facts.select(*choices).first().asDict()
 
 
 def evidence(
@@ -206,9 +207,9 @@ def evidence(
     A layer that is not enabled stays a null struct. One aggregate over the raw rows is written, the
     layers are projections of it, and their rows are written again: rules, findings and reports read them.
     The layers are joined as numbers and names; texts, many times as wide, are made of the joined rows.
+    Both layers carry the keys as one struct, so a key's rows move once in each layer and not again for joins.
     ``margin_named`` bounds the groups that the margin rule names, None for all.
     """
-    keys = columns_of(by)
     wanted_d = [
         "group_count", "top", "bottom", "best_mean", "lowest_mean", "mean_of_means", "top_share",
         "gap", "spread", "concentration", "metric", "dimension", "margin_groups", "margin_text",
@@ -218,7 +219,7 @@ def evidence(
         "status", "metric", "direction", "first_value", "latest_value", "volatility",
         "volatility_text", "messages", "findings", "periods", "status_reason", "readiness_reasons",
     ]
-    diagnosed = predicted = None
+    diagnosed, predicted, own = None, None, by
     margins = D.margin_columns(frame) if chosen["diagnostic"] else None
     if chosen["diagnostic"] or chosen["forecast"]:
         folded = materialise(fold(
@@ -226,6 +227,8 @@ def evidence(
             **({"dimension": chosen["dimension"], "metric": chosen["metric"]} if chosen["diagnostic"] else {}),
             **({"date": chosen["forecast_date"], "dated_metric": chosen["forecast_metric"]} if chosen["forecast"] else {}),
         ))
+        if own:
+            folded, by = one_key(folded, own), [KEY]
     if chosen["diagnostic"]:
         diagnosed = D.key_facts(group_totals(folded, by), by, margins is not None, margin_named=margin_named)
     if chosen["forecast"]:
@@ -237,7 +240,7 @@ def evidence(
     elif predicted is not None:
         rows = _packed(predicted, by, "p")
     else:
-        rows = frame.groupBy(*keys).agg(F.lit(1).alias("__one")).select(*keys)
+        rows = frame.groupBy(*columns_of(by)).agg(F.lit(1).alias("__one")).select(*columns_of(by))
     if diagnosed is not None:
         rows = D.with_findings(rows.select("*", "d.*"), chosen["metric"], chosen["dimension"])
         rows = _repacked(rows.withColumn("margin_text", D.margin_text()), by, "d", wanted_d, "p")
@@ -251,7 +254,8 @@ def evidence(
         rows = _repacked(rows.withColumn("volatility_text", P.volatility_text()), by, "p", wanted_p, "d")
     else:
         rows = rows.withColumn("p", F.lit(None).cast(_struct_type(P_TYPES)))
-    return materialise(rows.select(*keys, "d", "p"))
+    rows = rows.select(*columns_of(by), "d", "p")
+    return materialise(own_keys(rows, own) if by != own else rows)
 
 
 def _packed(facts: DataFrame, by: Sequence[str], name: str) -> DataFrame:

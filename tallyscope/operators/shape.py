@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.naming import quoted
-from tallyscope.session import materialise
+from tallyscope.session import checkpointed
 
 BRACKET_MISSED = "the sketch missed the quantile; raise the accuracy. Values of the key: "
 
@@ -17,12 +17,28 @@ def columns_of(by: Sequence[str]) -> list[Column]:
     return [quoted(name) for name in by]
 
 
+KEY = "__key"
+
+
+def one_key(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The keys as one struct, the column ``KEY``: never null itself, and equal where null fields meet."""
+    key = F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(by)]).alias(KEY)
+    return frame.select(key, *[quoted(c) for c in frame.columns if c not in by])
+
+
+def own_keys(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The inverse of ``one_key``."""
+    keys = [F.col(KEY)[f"k{i}"].alias(c) for i, c in enumerate(by)]
+    return frame.select(*keys, *[quoted(c) for c in frame.columns if c != KEY])
+
+
 def attach(frame: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the columns of ``facts`` (one row per key) to every row of ``frame``.
 
     Without keys ``facts`` is one row and becomes a scalar subquery, evaluated once. With keys it
     is an equi-join (null keys match), so a hot key is split by the adaptive skew join. ``facts``
-    is usually an aggregate of ``frame``; both then read the same shuffle output.
+    is usually an aggregate of ``frame``; both then read the same shuffle output. Keys that can't be null
+    (``one_key``) are compared plainly: the join then keeps the partitions of aggregates and windows over them.
     """
     added = [c for c in facts.columns if c not in by]
     if not by:
@@ -35,7 +51,8 @@ def attach(frame: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
     condition = None
     for i, c in enumerate(by):
-        same = quoted(c).eqNullSafe(F.col(f"__key{i}"))
+        known = not (frame.schema[c].nullable or facts.schema[c].nullable)
+        same = quoted(c) == F.col(f"__key{i}") if known else quoted(c).eqNullSafe(F.col(f"__key{i}"))
         condition = same if condition is None else condition & same
     return frame.join(right, condition, "left").drop(*[f"__key{i}" for i in range(len(by))])
 
@@ -65,7 +82,7 @@ def number_rows(
     A global range sort is written once; a row's number is its place in its sorted slice plus the
     sizes of the slices before it (one row per slice), minus the start of its key.
     """
-    slices = materialise(frame.orderBy(*columns_of(by), *order))
+    slices = checkpointed(frame.orderBy(*columns_of(by), *order))
     placed = slices.select(
         "*",
         F.spark_partition_id().alias("__slice"),

@@ -7,6 +7,7 @@ from tallyscope.operators import columns as C
 from tallyscope.operators import intelligence as I
 from tallyscope.operators import prescriptive as X
 from tallyscope.operators import report as R
+from tallyscope.session import materialise
 from tests import frames
 
 
@@ -74,6 +75,34 @@ def test_one_key_equals_no_key(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+def test_null_keys_have_their_own_row(spark):
+    frame = frames.thirds_180(spark)
+    chosen, alone = analysed(frame)
+    both = F.explode(F.array(F.lit(None).cast("string"), F.lit("x")))
+    keyed = X.prescriptive(frame.select("*", both.alias("k"), F.lit(None).cast("int").alias("n")), chosen, ["k", "n"])
+    wanted = sorted(map(str, X.recommendations(alone).collect()))
+    rows = X.recommendations(keyed, ["k", "n"])
+    for key in ("k is null", "k = 'x'"):
+        assert sorted(map(str, rows.where(key).drop("k", "n").collect())) == wanted
+
+
+def test_rows_of_a_key_move_once_in_each_layer(spark, monkeypatch):
+    """Joins that match null keys by two expressions would shuffle every side again."""
+    written = []
+    monkeypatch.setattr(X, "materialise", lambda frame: written.append(frame) or materialise(frame))
+    frame = frames.thirds_180(spark)
+    chosen = X.chosen_columns(I.dataset_facts(C.column_stats(frame)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        X.evidence(frame.withColumn("k", F.col("region")), chosen, ["k"])
+        plan = written[-1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "hashpartitioning" in plan
+    assert "hashpartitioning(coalesce(" not in plan
+
+
 def test_report(spark, tmp_path):
     from tallyscope.operators import narrative as N
     from tallyscope.sources.report_text import read_report_text, write_report_text

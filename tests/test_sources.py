@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.operators import columns as C
-from tallyscope.session import materialise, shared_folder
+from tallyscope.session import FREE_SHUFFLES, checkpointed, materialise, shared_folder
 from tallyscope.sources import csv_files as S
+from tallyscope.sources.tables import business
 
 
 @pytest.fixture
@@ -83,6 +86,43 @@ def test_materialise_uses_the_shared_folder(spark):
     assert "Range" not in frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_materialised_rows_leave_no_shuffle_files(spark):
+    """Lineage is cut, so nothing reads these files again; on large tables they are most of the disk."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in map(str, (files.apply(i).getName() for i in range(files.size()))) if name.startswith("shuffle_")}
+
+    rows = spark.range(5000).selectExpr("id % 7 as k", "cast(id as decimal(18,4)) as v", "if(id = 1, null, 'x') as t")
+    sums = rows.groupBy("k", "t").agg(F.sum("v").alias("v"), F.array_sort(F.collect_set("t")).alias("ts"))
+    wanted = sorted(map(str, sums.collect()))
+    for write in (materialise, checkpointed):
+        before = shuffled()
+        kept = write(sums.select("*"))
+        end = time.time() + 20
+        while shuffled() - before and time.time() < end:  # they are deleted in the background
+            time.sleep(0.2)
+        assert not shuffled() - before
+        assert kept.dtypes == sums.dtypes and sorted(map(str, kept.collect())) == wanted
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+    nothing = materialise(spark.range(3).select(F.lit(None).alias("k"), "id"))
+    assert nothing.dtypes[0] == ("k", "void") and nothing.count() == 3
+
+
+def test_lines_of_an_order_end_in_one_task(spark):
+    """Lines meet their part first: texts of orders aren't shuffled with them, and folds by order are small."""
+    with_these = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in with_these}
+    for k, v in with_these.items():
+        spark.conf.set(k, v)
+    try:
+        plan = business(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        assert "order_id" in plan.outputPartitioning().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_whole_numbers_keep_every_digit(spark, tmp_path):
     path = tmp_path / "ids.csv"
     path.write_text(
