@@ -1,20 +1,20 @@
 """One aggregate over the raw rows, from which group totals, margins and daily totals are projected.
 
-The rows are read once. Grouping sets fold them, on the map side already, to one row per (keys, group) and
-one per (keys, day), with the sums and counts of every measure that the layers above need.
+The rows are read once. They are folded, on the map side already, to one row per (keys, group) and one per
+(keys, day), each with the sums and counts that the layers above need of that set; the others stay empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.coerce import as_number, as_timestamp, clean_dimension
 from tallyscope.operators.shape import columns_of
 
-GROUPS, DAYS = "groups", "days"
+GROUPS, DAYS = "__groups", "__days"
 
 
 def fold(
@@ -31,20 +31,25 @@ def fold(
     ``margins`` names the discount and profit columns; they are summed over rows that have a group and
     both values. Rows without a group or a readable date fall under a null group or day.
     """
-    nothing = F.lit(None).cast("double")
-    cells = frame.select(
-        *columns_of(by),
-        (F.lit(None).cast("string") if dimension is None else clean_dimension(frame, dimension)).alias("group"),
-        (F.lit(None).cast("timestamp_ntz") if date is None else as_timestamp(frame, date)).alias("at"),
-        (nothing if metric is None else as_number(frame, metric)).alias("metric"),
-        (nothing if dated_metric is None else as_number(frame, dated_metric)).alias("dated"),
-        *((nothing if margins is None else as_number(frame, name)).alias(n) for n, name in zip(("discount", "profit"), margins or ("", ""))),
-    ).withColumn("day", F.col("at").cast("date"))
-    keys = columns_of(by)
-    sets = ([[*keys, "group"]] if dimension is not None else []) + ([[*keys, "day"]] if date is not None else [])
+    measures = {"metric": metric, "dated": dated_metric, **dict(zip(("discount", "profit"), margins or ()))}
+    values = {"group": F.lit(None).cast("string"), "at": F.lit(None).cast("timestamp_ntz")}
+    values |= {n: F.lit(None).cast("double") for n in ("metric", "dated", "discount", "profit")}
+    values |= {} if dimension is None else {"group": clean_dimension(frame, dimension)}
+    values |= {} if date is None else {"at": as_timestamp(frame, date)}
+    values |= {n: as_number(frame, name) for n, name in measures.items() if name is not None}
+    plain = frame.select(*columns_of(by), *[v.alias(f"__{n}") for n, v in values.items()])
+    own = {GROUPS: ("group", "metric", "discount", "profit"), DAYS: ("at", "dated")}
+
+    def cell(kept: Sequence[str]) -> Column:
+        """The values of one set; those of the other are null, so that no sum is shuffled twice."""
+        kinds = {n: plain.schema[f"__{n}"].dataType for n in values}
+        return F.struct(*[(F.col(f"__{n}") if n in kept else F.lit(None).cast(kinds[n])).alias(n) for n in values])
+
+    sets = ([GROUPS] if dimension is not None else []) + ([DAYS] if date is not None else [])
+    cells = plain.select(*columns_of(by), *[cell(own[s]).alias(s) for s in sets]).unpivot(columns_of(by), sets, "set", "cell")
+    cells = cells.select(*columns_of(by), "set", "cell.*").withColumn("day", F.col("at").cast("date"))
     both = F.col("discount").isNotNull() & F.col("profit").isNotNull()
-    folded = cells.groupingSets(sets, *keys, "group", "day").agg(
-        F.grouping("group").alias("__no_group"),
+    return cells.groupBy(*columns_of(by), "set", "group", "day").agg(
         F.sum("metric").alias("total"),
         F.count("metric").alias("row_count"),
         F.sum(F.when(both, F.col("discount"))).cast("double").alias("discounts"),
@@ -56,7 +61,6 @@ def fold(
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
     )
-    return folded.withColumn("set", F.when(F.col("__no_group") == 0, GROUPS).otherwise(DAYS)).drop("__no_group")
 
 
 def group_totals(folded: DataFrame, by: Sequence[str] = ()) -> DataFrame:

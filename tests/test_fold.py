@@ -35,3 +35,15 @@ def test_both_sets_equal_their_own_aggregates(spark):
     names = ["region", "day", "total", "metric_rows", "n_rows", "first_at", "last_at"]
     assert days.select(names).exceptAll(daily.select(names)).count() == 0 and days.count() == daily.count()
     assert rows.select(F.sum("n_rows")).first()[0] == 2 * frame.count()
+
+
+def test_each_set_carries_its_own_sums_only(spark):
+    """Sums of the other set would be shuffled and written a second time."""
+    rows = folded(spark)
+    groups, days = rows.where(F.col("set") == O.GROUPS), rows.where(F.col("set") == O.DAYS)
+    assert groups.where("dated_total is not null or dated_rows > 0 or first_at is not null").count() == 0
+    assert days.where("total is not null or row_count > 0 or margin_rows > 0 or profits is not null").count() == 0
+    alone = O.fold(business(spark, FOLDER), ["region"], dimension="nation", metric="quantity")
+    assert dict(alone.dtypes)["first_at"] == "timestamp_ntz" and alone.count() == groups.count()
+    alone = O.fold(business(spark, FOLDER), [], date="order_date", dated_metric="quantity")
+    assert dict(alone.dtypes)["group"] == "string" and alone.count() == days.select("day").distinct().count()
